@@ -112,7 +112,7 @@ def user_streaks(spark, sf_dir):
 
 # Every coin entry by rule; a streak bonus falls on the row where the run reaches its length.
 COIN_SQL = """
-  SELECT "user", event_id, 10 AS amount, 'PREDICTION_MADE' AS reason, created_at AS ts FROM vote
+  SELECT "user", event_id, CAST(10 AS BIGINT) AS amount, 'PREDICTION_MADE' AS reason, created_at AS ts FROM vote
   UNION ALL
   SELECT "user", event_id, 25, 'FIRST_PREDICTION', created_at FROM (SELECT *, row_number() OVER (
     PARTITION BY "user" ORDER BY created_at, seq) AS rn FROM vote) WHERE rn = 1
@@ -186,7 +186,7 @@ def newest_votes(spark, sf_dir):
 
 
 @query("""
-SELECT 1 AS "user", o_orderkey AS event_id FROM orders
+SELECT CAST(1 AS BIGINT) AS "user", o_orderkey AS event_id FROM orders
 WHERE (o_orderkey % 7 = 0) <> (o_orderkey % 14 = 0 OR o_orderkey % 5 = 0)""")
 def toggled_watchlist(spark, sf_dir):
     return K.toggle_watch(B.watchlist(spark, sf_dir), B.watch_changes(spark, sf_dir))

@@ -263,7 +263,7 @@ def trade_metrics(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, date_diff('day', o_orderdate, l_shipdate) - 60 AS delay_days,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, date_diff('day', o_orderdate, l_shipdate) - 60 AS delay_days,
   CASE WHEN date_diff('day', o_orderdate, l_shipdate) < 60 THEN 'EARLY'
     WHEN date_diff('day', o_orderdate, l_shipdate) > 60 THEN 'LATE' ELSE 'ON TIME' END AS timing
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")

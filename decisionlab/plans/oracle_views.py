@@ -87,7 +87,8 @@ _W69 = _W68 | {signal: (category, weight) for category, signal, weight in dims.W
 VIEWS: dict[str, tuple[str, str]] = {
     "w68": ("", _weights([(c, s, w) for s, (c, w) in _W68.items()])),
     "w69": ("", _weights([(c, s, w) for s, (c, w) in _W69.items()])),
-    "rates": ("", _values(B.SEGMENT_RATES, "area, approved, total, rate")),
+    "rates": ("", "SELECT area, approved, total, CAST(rate AS DOUBLE) AS rate FROM ("
+              + _values(B.SEGMENT_RATES, "area, approved, total, rate") + ")"),
     "risk": ("", _values(B.SEGMENT_RISK, "area, risk")),
     "conf": ("", "SELECT name, area, CAST(day AS DATE) AS abstract_release FROM ("
              + _values(B.SEGMENT_CONFERENCES, "name, area, day") + ")"),
@@ -203,10 +204,10 @@ VIEWS: dict[str, tuple[str, str]] = {
     "norm_quote": ("quote", """
     SELECT ticker, ts, seq,
       CASE WHEN seq % 13 <> 0 THEN price END AS price,
-      CASE WHEN seq % 13 = 0 THEN 0.0 WHEN seq % 3 = 0 AND seq % 50 <> 0 THEN seq % 50
-        WHEN seq % 2 = 0 THEN 2.5 ELSE 0.0 END AS change_pct,
-      CASE WHEN seq % 13 = 0 THEN 0.0 ELSE seq % 4 END AS change,
-      CASE WHEN seq % 13 = 0 OR seq % 5 = 0 THEN 0.0 ELSE seq % 1000 END AS volume,
+      CAST(CASE WHEN seq % 13 = 0 THEN 0.0 WHEN seq % 3 = 0 AND seq % 50 <> 0 THEN seq % 50
+        WHEN seq % 2 = 0 THEN 2.5 ELSE 0.0 END AS DOUBLE) AS change_pct,
+      CAST(CASE WHEN seq % 13 = 0 THEN 0 ELSE seq % 4 END AS DOUBLE) AS change,
+      CAST(CASE WHEN seq % 13 = 0 OR seq % 5 = 0 THEN 0 ELSE seq % 1000 END AS DOUBLE) AS volume,
       CASE WHEN seq % 13 = 0 THEN 0.0 ELSE price * 10 END AS market_cap,
       CASE WHEN seq % 13 <> 0 AND seq % 6 = 1 THEN 'name-' || ticker ELSE ticker END AS name
     FROM quote"""),
@@ -239,7 +240,8 @@ VIEWS: dict[str, tuple[str, str]] = {
     "watch": ("", 'SELECT 1 AS "user", o_orderkey AS event_id FROM orders WHERE o_orderkey % 7 = 0'),
     "prior": ("event", """
     SELECT event_id, drug, event_date, outcome,
-      coalesce(sum(CASE WHEN outcome = 'CRL' THEN 1 ELSE 0 END) OVER w, 0) AS prior_rejections,
+      CAST(coalesce(sum(CASE WHEN outcome = 'CRL' THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT)
+        AS prior_rejections,
       max(CASE WHEN outcome = 'CRL' THEN event_date END) OVER w AS last_rejection
     FROM event WINDOW w AS (PARTITION BY drug ORDER BY event_date, event_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),

@@ -285,7 +285,7 @@ def decay_signals(spark, sf_dir):
 
 @query("""
 SELECT signal, CASE event_id % 3 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'CONFIRMED' ELSE 'NONE' END
-  AS fda_rationale_match, count(*) AS n, -0.5 AS mean_weight
+  AS fda_rationale_match, count(*) AS n, CAST(-0.5 AS DOUBLE) AS mean_weight
 FROM signal GROUP BY 1, 2""", "signal")
 def signal_validation(spark, sf_dir):
     sealed = documents.parse_sealed(B.sealed_documents(spark, sf_dir))

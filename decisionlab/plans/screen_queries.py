@@ -67,7 +67,7 @@ def events_within_30_days(spark, sf_dir):
 
 @query(f"""
 SELECT event_id, {OUT} AS days_out, {zone_sql(OUT)} AS zone,
-  CASE {zone_sql(OUT)} WHEN 'EXPIRED' THEN 100 WHEN 'DANGER' THEN 95 WHEN 'EXIT' THEN 85
+  CASE {zone_sql(OUT)} WHEN 'EXPIRED' THEN CAST(100 AS BIGINT) WHEN 'DANGER' THEN 95 WHEN 'EXIT' THEN 85
     WHEN 'PEAK' THEN 70 WHEN 'OPTIMAL' THEN 45 WHEN 'EARLY' THEN 20 ELSE 5 END AS progress
 FROM event""", "event")
 def window_zones(spark, sf_dir):
@@ -273,7 +273,7 @@ def conference_overlap(spark, sf_dir):
 
 @query(f"""
 WITH d AS (SELECT *, {OUT} AS days_out FROM scored)
-SELECT * FROM (
+SELECT event_id, rule, CAST(priority AS BIGINT) AS priority, days_out FROM (
   SELECT event_id, unnest(list_filter([
     CASE WHEN days_out BETWEEN 0 AND 3 THEN {{'rule': 'BINARY_RISK', 'priority': 110}} END,
     CASE WHEN days_out BETWEEN 4 AND 7 THEN {{'rule': 'EXIT_ALERT', 'priority': 100}} END,
