@@ -180,7 +180,7 @@ def percent(prob: Column | str) -> Column:
 def ratio_pct(part: Column | str, whole: Column | str) -> Column:
     """100 * part / whole for counts, one decimal, half up, in whole-number arithmetic.
 
-    A whole of zero gives zero.
+    A whole of zero counts as one, so that no part of nothing is 0.
     """
     a, n = _col(part).cast("long"), F.greatest(_col(whole).cast("long"), F.lit(1).cast("long"))
     return F.floor((a * 2000 + n) / (n * 2)).cast("double") / 10.0

@@ -62,8 +62,8 @@ def with_sentiment(events: DataFrame, by_event: DataFrame) -> DataFrame:
 def leaderboard(votes: DataFrame, outcomes: DataFrame, limit: int | None = None) -> DataFrame:
     """Per user: votes, scored (a delay counts as scored), correct, accuracy and points.
 
-    Votes are first counted per user, event and label, so that a hot event or user is small
-    before it meets the outcomes. With `limit` only the leaders are kept, sorted.
+    Takes current votes. Equal rows are counted before they meet the outcomes, which have
+    one row per event. With `limit` only the leaders are kept, sorted.
     """
     counted = votes.groupBy("user", "event_id", "label").agg(F.count(F.lit(1)).alias("_n"))
     joined = counted.join(outcomes.select("event_id", "outcome"), "event_id", "left")

@@ -43,7 +43,7 @@ def ledger_digest(lines: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
     lines become the lines of the next level, until one hash is left.
     """
     level = number_rows(lines.select("seq", "line"), ["seq"], "n")
-    count = lines.count()
+    count = level.count()
     while True:
         count = -(-count // block)
         level = _hash_blocks(level, block)

@@ -24,9 +24,10 @@ EVERY = "*"
 
 
 def nest_signals(signals: DataFrame) -> DataFrame:
-    """Long signals as one ordered array per event; an event has at most one row per signal."""
+    """Long signals as one ordered array per event, never longer than the list of names."""
+    once = signals.groupBy("event_id", "signal").agg(F.min("pos").alias("pos"))
     entries = F.array_sort(F.collect_list(F.struct("pos", "signal")))
-    return signals.groupBy("event_id").agg(
+    return once.groupBy("event_id").agg(
         F.transform(entries, lambda e: e["signal"]).alias("signals")
     )
 
@@ -191,8 +192,23 @@ def rescore_summary(report: DataFrame) -> DataFrame:
     )
 
 
-def ab_backtest(scored_a: DataFrame, scored_b: DataFrame) -> DataFrame:
-    """Per decided event: did version b fix, break or keep what version a called?"""
+def score_both(events: DataFrame, weights_a: DataFrame, weights_b: DataFrame) -> DataFrame:
+    """Probability, tier and correctness of decided events under two versions, in one pass."""
+    cols = ["event_id", "outcome", "signals"]
+    out = events.select(cols).filter(F.col("outcome").isin("APPROVED", "CRL"))
+    for name, weights in (("a", weights_a), ("b", weights_b)):
+        out = score(out, weights).select(
+            *cols,
+            *[c for c in out.columns if c not in cols],
+            F.col("prob").alias(f"prob_{name}"),
+            F.col("tier").alias(f"tier_{name}"),
+            C.is_correct("prob", "outcome").alias(f"correct_{name}"),
+        )
+    return out.drop("signals")
+
+
+def ab_join(scored_a: DataFrame, scored_b: DataFrame) -> DataFrame:
+    """The same table from two stored score tables, joined on the event."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(
@@ -203,7 +219,11 @@ def ab_backtest(scored_a: DataFrame, scored_b: DataFrame) -> DataFrame:
             C.is_correct("prob", "outcome").alias(f"correct_{name}"),
         ).filter(F.col(f"correct_{name}").isNotNull())
 
-    both = side(scored_a, "a").join(side(scored_b, "b").drop("outcome"), "event_id")
+    return side(scored_a, "a").join(side(scored_b, "b").drop("outcome"), "event_id")
+
+
+def ab_backtest(both: DataFrame) -> DataFrame:
+    """Per decided event: did version b fix, break or keep what version a called?"""
     a, b = F.col("correct_a"), F.col("correct_b")
     change = (
         F.when(~a & b, "FIXED").when(a & ~b, "REGRESSED").when(a & b, "STABLE")

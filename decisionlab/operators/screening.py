@@ -262,11 +262,20 @@ def upcoming_conferences(conferences: DataFrame, as_of: str, days: int = 60) ->
 
 
 def conference_overlap(events: DataFrame, conferences: DataFrame, n: int) -> DataFrame:
-    """Events with a conference of their area releasing abstracts up to `n` days before."""
+    """Events with a conference of their area releasing abstracts up to `n` days before.
+
+    Time is cut into spans of n + 1 days, and a conference can only concern its own span
+    and the next, so an event meets the conferences of its area and span alone.
+    """
     days = F.datediff("event_date", "abstract_release")
+    span = F.floor(F.unix_date("abstract_release") / (n + 1))
+    spans = conferences.select(
+        "name", "area", "abstract_release", F.explode(F.array(span, span + 1)).alias("_span")
+    )
     return (
         events.select("event_id", "area", "event_date")
-        .join(conferences.select("name", "area", "abstract_release"), "area")
+        .withColumn("_span", F.floor(F.unix_date("event_date") / (n + 1)))
+        .join(spans, ["area", "_span"])
         .filter(days.between(0, n))
         .select("event_id", "name", "abstract_release", days.alias("days_before"))
     )
@@ -289,6 +298,7 @@ def feed(
         (F.col("avoid") & (days > 0), "AVOID", 80),
         ((F.col("tier") == "TIER_1") & (days > 0) & (days <= 45), "HIGH_CONVICTION", 70),
         (F.col("weekend") & (days > 0) & (days <= 14), "WEEKEND_WARN", 60),
+        ((days > 0) & (days <= 30), "PREDICT_PROMPT", 30),
     ]
     found = [
         F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(priority).alias("priority")))
@@ -298,23 +308,18 @@ def feed(
         "event_id", "days_out", F.explode(F.array_compact(F.array(*found))).alias("_r")
     ).select("event_id", "_r.rule", "_r.priority", "days_out")
 
-    soon = zoned.filter((days > 0) & (days <= 30)).select("event_id", "days_out")
-    open_calls = soon if predictions is None else missing_from(soon, predictions, "event_id")
-    prompts = open_calls.select(
-        "event_id",
-        F.lit("PREDICT_PROMPT").alias("rule"),
-        F.lit(30).alias("priority"),
-        "days_out",
-    )
+    if predictions is not None:
+        called = predictions.select(F.col("event_id").alias("_called")).distinct()
+        done = (F.col("rule") == "PREDICT_PROMPT") & (F.col("event_id") == F.col("_called"))
+        alerts = alerts.join(called, done, "left_anti")
+
     meetings = upcoming_conferences(conferences, as_of).select(
         F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"),
         F.concat(F.lit("CONFERENCE: "), "name").alias("rule"),
         F.lit(40).alias("priority"),
         F.col("days_until").alias("days_out"),
     )
-    return (
-        alerts.unionByName(prompts).unionByName(meetings).orderBy(F.desc("priority"), "event_id")
-    )
+    return alerts.unionByName(meetings).orderBy(F.desc("priority"), "event_id")
 
 
 def zone_changes(events: DataFrame, before: str, after: str) -> DataFrame:

@@ -224,11 +224,11 @@ def proof_summary(spark, sf_dir):
 
 @query("""
 SELECT o_orderkey AS event_id, CASE k % 3 WHEN 0 THEN lo WHEN 1 THEN lo END AS lo,
-  CASE k % 3 WHEN 0 THEN lo WHEN 1 THEN k % 40 + 45.0 END AS hi,
+  CASE k % 3 WHEN 0 THEN lo WHEN 1 THEN lo + 5 END AS hi,
   CASE k % 3 WHEN 0 THEN 'APPROVAL' WHEN 1 THEN 'POSITIVE' END AS label,
-  CASE WHEN k % 6 > 0 THEN k % 900 + 0.25 END AS price,
+  CAST(CASE WHEN k % 6 > 0 THEN k % 900 + 0.25 END AS DOUBLE) AS price,
   CASE WHEN k % 7 < 2 THEN NULL WHEN k % 7 = 2 THEN -lo ELSE lo + 0.5 END AS gain
-FROM (SELECT *, o_orderkey AS k, o_orderkey % 40 + 40.0 AS lo FROM orders)""")
+FROM (SELECT *, o_orderkey AS k, CAST(o_orderkey % 40 + 40 AS DOUBLE) AS lo FROM orders)""")
 def prediction_texts(spark, sf_dir):
     return B.stamped(spark, sf_dir).select(
         "event_id",

@@ -58,6 +58,12 @@ def distinct_signals(spark, sf_dir):
     return events.distinct_signals(B.signal_events(spark, sf_dir))
 
 
+@query("SELECT event_id, array_to_string(signals, ',') AS signals FROM flags WHERE len(signals) > 0", "flags")
+def nested_signals(spark, sf_dir):
+    nested = S.nest_signals(B.signals(spark, sf_dir))
+    return nested.select("event_id", F.array_join("signals", ",").alias("signals"))
+
+
 SCORE_SQL = """
 SELECT event_id, round(total_adj, 4) AS total_adj, round(logit, 4) AS logit,
   round(prob, 6) AS prob, tier, action FROM scored"""
@@ -185,8 +191,10 @@ AB_SQL = f"""
 
 
 def _backtest(spark, sf_dir):
-    """Both versions over the same events; the events are read and shuffled once."""
-    return S.ab_backtest(B.scored(spark, sf_dir, "v10_68"), B.scored(spark, sf_dir, "v10_69"))
+    return S.ab_backtest(S.score_both(
+        B.signal_events(spark, sf_dir),
+        dims.weights_table(spark, "v10_68"), dims.weights_table(spark, "v10_69"),
+    ))
 
 
 @query(f"""
@@ -198,6 +206,15 @@ def ab_backtest(spark, sf_dir):
     )
 
 
+@query(f"""
+SELECT event_id, change, round((prob_b - prob_a) * 100, 1) AS delta_pp FROM ({AB_SQL})
+""", "scored scored69")
+def ab_backtest_joined(spark, sf_dir):
+    """The same backtest from two separately scored tables."""
+    both = S.ab_join(B.scored(spark, sf_dir, "v10_68"), B.scored(spark, sf_dir, "v10_69"))
+    return S.ab_backtest(both).select("event_id", "change", "delta_pp")
+
+
 @query(f"""
 SELECT count(*) AS total, count(*) FILTER (correct_a) AS correct_a,
   count(*) FILTER (correct_b) AS correct_b,

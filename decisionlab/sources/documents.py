@@ -61,7 +61,7 @@ def read_universe(rows: DataFrame) -> DataFrame:
 def calendar_text(events: DataFrame, producer: str = "decisionlab") -> DataFrame:
     """One iCalendar text per event. Needs `prob` and `tier`."""
     day = F.date_format("event_date", "yyyyMMdd")
-    score = F.format_string("%.1f", F.round(F.col("prob") * 100, 1))
+    score = F.format_string("%.1f", C.percent("prob"))
     title = F.concat_ws("", "type", F.lit(": "), "ticker", F.lit(" — "), "drug")
     about = F.concat_ws(
         "",
