@@ -10,7 +10,7 @@ from datetime import date
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 
 from decisionlab import schema
@@ -226,8 +226,8 @@ ERF_P = 0.3275911
 ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
 RISK_FREE_RATE = 0.05
 
-# Largest table a job may treat as a dimension and hand to every task.
-MAX_DIM_ROWS = 10_000
+# Largest table a job may write into its plan as constants.
+MAX_DIM_ROWS = 1_000
 
 
 def local_table(spark: SparkSession, rows: list[tuple], columns: T.StructType) -> DataFrame:
@@ -236,27 +236,22 @@ def local_table(spark: SparkSession, rows: list[tuple], columns: T.StructType) -
     return spark.createDataFrame(table, schema=columns)
 
 
-def fits_dim(df: DataFrame, limit: int = MAX_DIM_ROWS) -> bool:
-    """True when `df` holds at most `limit` rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+def dim_rows(df: DataFrame, limit: int = MAX_DIM_ROWS) -> list[Row] | None:
+    """The rows of a small table, None when it has more than `limit`; reads no more than that."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
 
 
 def weights_table(spark: SparkSession, version: str = "v10_68") -> DataFrame:
     """The weight table of one version."""
-    from decisionlab.sources.events import load_weights
-
-    base = _weights(spark, "v10_68", WEIGHTS_V10_68)
-    if version == "v10_68":
-        return base
+    rows = {signal: (category, weight) for category, signal, weight in WEIGHTS_V10_68}
     if version == "v10_69":
-        return load_weights(base, _weights(spark, "v10_69", WEIGHTS_V10_69_CHANGES), "v10_69")
-    raise ValueError(f"unknown weight version {version!r}")
-
-
-def _weights(spark: SparkSession, version: str, rows: list[tuple[str, str, str]]) -> DataFrame:
+        rows |= {signal: (category, weight) for category, signal, weight in WEIGHTS_V10_69_CHANGES}
+    elif version != "v10_68":
+        raise ValueError(f"unknown weight version {version!r}")
     return local_table(
         spark,
-        [(version, signal, category, Decimal(weight)) for category, signal, weight in rows],
+        [(version, signal, category, Decimal(w)) for signal, (category, w) in rows.items()],
         schema.SIGNAL_WEIGHT,
     )
 

@@ -1,20 +1,27 @@
 """Additive log-odds scores, their regression checks and version-to-version backtests.
 
 Events carry their signals as an array of names (or as a map of name to recorded weight).
-A score then needs no shuffle: the weight table, checked to be small, reaches every row as
-one map. Signals held as a long table are summed with a join and a grouped sum instead.
+A score then needs no shuffle: the weight table, checked to be small, becomes a constant map
+in the plan. Signals held as a long table, or with a weight table that is not small, are
+summed with a join and a grouped sum instead.
+
+Weights are summed in whole millionths, so a sum does not depend on its order.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisionlab import dims
 from decisionlab.functions import columns as C
 from decisionlab.operators.ordered import running
+from decisionlab.sources.events import explode_signals
 
-TOTAL = "decimal(18,6)"
+MICRO = 1_000_000
+BASE = int(Decimal(dims.BASE_LOGIT) * MICRO)
 MANUFACTURING = ["form_483", "import_alert", "manufacturing_warning", "cGMP_violation"]
 HIGH_RISK_AREAS = ["ta_high_risk", "ta_very_high_risk"]
 DESIGNATIONS = [
@@ -32,25 +39,30 @@ def nest_signals(signals: DataFrame) -> DataFrame:
     )
 
 
+def _micro(weight: Column) -> Column:
+    return (weight * MICRO).cast("long")
+
+
+def _lookup(weights: DataFrame) -> Column | None:
+    """The weight table as a constant map of name to millionths, None when it is not small."""
+    rows = dims.dim_rows(weights.select("signal", "weight"))
+    if rows is None:
+        return None
+    pairs = [F.lit(v) for r in rows for v in (r.signal, int(r.weight * MICRO))]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>")
+
+
 def with_weights(events: DataFrame, weights: DataFrame, out: str = "signal_weights") -> DataFrame:
-    """Add the weight of each signal of the event, in order; 0 for a signal without weight."""
-    if not dims.fits_dim(weights):
-        raise ValueError("weight table is too large for a dimension: score long signals instead")
-    by_name = weights.agg(
-        F.map_from_entries(F.collect_list(F.struct("signal", F.col("weight").cast(TOTAL))))
-    ).scalar()
-    return (
-        events.withColumn("_weights", by_name)
-        .withColumn(
-            out,
-            F.transform(
-                _names(events),
-                lambda s: F.coalesce(
-                    F.try_element_at(F.col("_weights"), s), F.lit(0).cast(TOTAL)
-                ),
-            ),
-        )
-        .drop("_weights")
+    """Add the weight of each signal in millionths, in order; 0 for a signal without weight."""
+    table = _lookup(weights)
+    if table is None:
+        raise ValueError("the weight table is not small: use long signals")
+    return events.withColumn(out, _weigh(events, table))
+
+
+def _weigh(events: DataFrame, table: Column) -> Column:
+    return F.transform(
+        _names(events), lambda s: F.coalesce(F.try_element_at(table, s), F.lit(0)).cast("long")
     )
 
 
@@ -70,16 +82,19 @@ def score(
     """
     if signals is not None:
         return _score_long(events, signals, weights)
+    zero = F.lit(0).cast("long")
     if weights is None:
-        scored = events.withColumn("_w", F.transform(
-            F.map_values("signals"), lambda w: w.cast(TOTAL)
-        ))
+        total = F.aggregate(F.map_values("signals"), zero, lambda a, w: a + _micro(w))
     else:
-        scored = with_weights(events, weights, "_w")
-    total = F.aggregate("_w", F.lit(0).cast(TOTAL), lambda a, w: (a + w).cast(TOTAL))
-    return _with_score(scored.withColumn("_total", F.coalesce(total, F.lit(0).cast(TOTAL)))).drop(
-        "_w"
-    )
+        table = _lookup(weights)
+        if table is None:
+            return _score_long(events, explode_signals(events), weights)
+        total = F.aggregate(
+            _names(events),
+            zero,
+            lambda a, s: a + F.coalesce(F.try_element_at(table, s), F.lit(0)).cast("long"),
+        )
+    return _with_score(events.withColumn("_total", F.coalesce(total, zero)))
 
 
 def _score_long(events: DataFrame, signals: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -88,16 +103,15 @@ def _score_long(events: DataFrame, signals: DataFrame, weights: DataFrame | None
     else:
         table = weights.select("signal", F.col("weight").alias("_v"))
         weighted = signals.join(table, "signal")
-    totals = weighted.groupBy("event_id").agg(F.sum("_v").cast(TOTAL).alias("_total"))
+    totals = weighted.groupBy("event_id").agg(F.sum(_micro(F.col("_v"))).alias("_total"))
     joined = events.join(totals, "event_id", "left")
-    return _with_score(joined.withColumn("_total", F.coalesce("_total", F.lit(0).cast(TOTAL))))
+    return _with_score(joined.withColumn("_total", F.coalesce("_total", F.lit(0).cast("long"))))
 
 
 def _with_score(df: DataFrame) -> DataFrame:
-    logit = (F.col("_total") + F.lit(dims.BASE_LOGIT).cast("decimal(12,6)")).cast("double")
     return (
-        df.withColumn("total_adj", F.round(F.col("_total"), 4).cast("double"))
-        .withColumn("logit", logit)
+        df.withColumn("total_adj", F.round(F.col("_total") / MICRO, 4))
+        .withColumn("logit", (F.col("_total") + BASE) / MICRO)
         .withColumn("prob", C.sigmoid("logit"))
         .withColumn("tier", C.tier("prob"))
         .withColumn("action", C.action("tier"))
@@ -107,39 +121,36 @@ def _with_score(df: DataFrame) -> DataFrame:
 
 def waterfall(events: DataFrame, weights: DataFrame) -> DataFrame:
     """The base row, then each signal in stored order with running logit and probability."""
-    base = F.lit(dims.BASE_LOGIT).cast(TOTAL)
+    base = F.array(F.lit(BASE).cast("long"))
     rows = with_weights(events, weights, "_w").select(
         "event_id",
         _names(events).alias("_names"),
-        F.concat(F.array(base), F.col("_w")).alias("_steps"),
+        F.concat(base, F.col("_w")).alias("_steps"),
     )
     exploded = rows.select(
         "event_id",
         "_names",
         "_steps",
         F.greatest(
-            F.array_max(F.transform("_steps", lambda v: F.abs(v))), F.lit(1).cast(TOTAL)
+            F.array_max(F.transform("_steps", lambda v: F.abs(v))), F.lit(MICRO)
         ).alias("_top"),
-        F.posexplode("_steps").alias("pos", "value"),
+        F.posexplode("_steps").alias("pos", "_value"),
     )
-    running_logit = F.aggregate(
+    reached = F.aggregate(
         F.slice("_steps", F.lit(1), F.col("pos") + 1),
-        F.lit(0).cast(TOTAL),
-        lambda a, v: (a + v).cast(TOTAL),
-    ).cast("double")
+        F.lit(0).cast("long"),
+        lambda a, v: a + v,
+    )
     return exploded.select(
         "event_id",
         "pos",
         F.when(F.col("pos") == 0, "base").otherwise(F.get("_names", F.col("pos") - 1)).alias(
             "step"
         ),
-        F.col("value").cast("double").alias("value"),
-        running_logit.alias("cumulative_logit"),
-        C.sigmoid(running_logit).alias("cumulative_prob"),
-        (F.abs(F.col("value").cast("double")) / F.col("_top").cast("double") * 60).alias(
-            "bar_width"
-        ),
-    )
+        (F.col("_value") / MICRO).alias("value"),
+        (reached / MICRO).alias("cumulative_logit"),
+        (F.abs("_value") / F.col("_top") * 60).alias("bar_width"),
+    ).withColumn("cumulative_prob", C.sigmoid("cumulative_logit"))
 
 
 def apply_overrides(
@@ -344,7 +355,7 @@ def signal_validation(checks: DataFrame) -> DataFrame:
 
 def _signal_rows(scored: DataFrame, weights: DataFrame, *cols: Column | str) -> DataFrame:
     """One row per event and signal, plus one per event under the name EVERY for totals."""
-    every = F.struct(F.lit(EVERY).alias("signal"), F.lit(0).cast(TOTAL).alias("weight"))
+    every = F.struct(F.lit(EVERY).alias("signal"), F.lit(0).cast("long").alias("weight"))
     pairs = F.zip_with(
         _names(scored),
         "signal_weights",
@@ -364,7 +375,7 @@ def signal_effects(scored: DataFrame, weights: DataFrame) -> DataFrame:
     rows = _signal_rows(scored, weights, correct).filter(F.col("correct").isNotNull())
     grouped = rows.groupBy("signal").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.col("weight").cast("double")).alias("mean_weight"),
+        F.avg(F.col("weight") / MICRO).alias("mean_weight"),
         F.count_if("correct").alias("hits"),
         F.count_if(~F.col("correct")).alias("misses"),
     )

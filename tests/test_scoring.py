@@ -174,3 +174,11 @@ def test_decay_bands(spark):
             (2, "crl_time_decay_1yr", Decimal(0)), (3, "crl_time_decay_2yr", Decimal("0.15")),
             (4, "crl_time_decay_4yr_plus", Decimal("0.45")),
         ]
+
+
+def test_large_weight_table_falls_back_to_the_join(spark, golden, monkeypatch):
+    w = dims.weights_table(spark)
+    want = rows(S.score(golden, w), "event_id", "prob")
+    monkeypatch.setattr(dims.dim_rows, "__defaults__", (10,))
+    assert dims.dim_rows(w) is None
+    assert rows(S.score(golden, w), "event_id", "prob") == want
