@@ -280,8 +280,14 @@ def coin_progress(balance: Column | str) -> Column:
 # Options
 
 
-def erf(x: Column) -> Column:
-    t = 1.0 / (1.0 + F.abs(x) * dims.ERF_P)
+def erf_scale(x: Column | str) -> Column:
+    """The inner variable of the error function's polynomial."""
+    return 1.0 / (1.0 + F.abs(_col(x)) * dims.ERF_P)
+
+
+def erf(x: Column | str, scale: Column | str) -> Column:
+    """Error function of `x`; `scale` holds `erf_scale(x)`, which is used five times."""
+    x, t = _col(x), _col(scale)
     poly = F.lit(0.0)
     for a in reversed(dims.ERF_A):
         poly = (poly + a) * t
@@ -289,21 +295,6 @@ def erf(x: Column) -> Column:
     return F.when(x < 0, -y).otherwise(y)
 
 
-def call_price(
-    spot: Column | str, strike: Column | str, years: Column | str, rate: float, vol: Column | str
-) -> Column:
-    """Black-Scholes call; the intrinsic value when time or volatility is not positive."""
-    s, k, t, v = _col(spot), _col(strike), _col(years), _col(vol)
-    d1 = (F.ln(s / k) + (F.lit(rate) + v * v / 2) * t) / (v * F.sqrt(t))
-    d2 = d1 - v * F.sqrt(t)
-
-    def cdf(x: Column) -> Column:
-        return (erf(x / F.sqrt(F.lit(2.0))) + 1.0) * 0.5
-
-    priced = s * cdf(d1) - k * F.exp(t * -rate) * cdf(d2)
-    return F.when((t <= 0) | (v <= 0), F.greatest(s - k, F.lit(0.0))).otherwise(priced)
-
-
 # Partial dates
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from decisionlab.functions import columns as C
 from decisionlab.operators.ordered import number_rows, running
+from decisionlab.session import cut_lineage
 
 DIGEST_BLOCK = 1000
 CHAIN_BLOCK = 256
@@ -70,7 +71,7 @@ def verify_seals(records: DataFrame) -> DataFrame:
 
 
 def build_chain(
-    df: DataFrame, key: str, block: int = CHAIN_BLOCK, hot_rows: int | None = None
+    df: DataFrame, key: str, block: int = CHAIN_BLOCK, hot: bool | None = None
 ) -> DataFrame:
     """Chain the lines of each key in `seq` order: h(i) = sha256(h(i-1) + line(i)).
 
@@ -79,7 +80,7 @@ def build_chain(
     """
     numbered = running(
         df.select(key, "seq", "line"), [key], ["seq"],
-        sums={"n": F.lit(1).cast("long")}, hot_rows=hot_rows,
+        sums={"n": F.lit(1).cast("long")}, hot=hot,
     )
     rows = F.array_sort(F.collect_list(F.struct("n", "seq", "line")))
     blocks = numbered.groupBy(key, F.floor((F.col("n") - 1) / block).alias("block")).agg(
@@ -102,7 +103,9 @@ def _chain(lines: Column) -> Column:
 
 def chain_heads(chain: DataFrame, key: str, block: int = CHAIN_BLOCK) -> DataFrame:
     """The head hash of each key: the ends of its chains are chained again until one is left."""
-    level = chain.groupBy(key, "block").agg(F.max_by("hash", "n").alias("line"))
+    ends = chain.groupBy(key, "block").agg(F.max_by("hash", "n").alias("line"))
+    # One row per chain; written once, since the depth is read from it first.
+    level = cut_lineage(ends)
     longest = level.agg(F.max("block")).first()[0] or 0
     while longest > 0:
         rows = F.array_sort(F.collect_list(F.struct("block", "line")))
@@ -119,12 +122,12 @@ def chain_heads(chain: DataFrame, key: str, block: int = CHAIN_BLOCK) -> DataFra
     return level.select(key, F.col("line").alias("head"))
 
 
-def verify_chain(records: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+def verify_chain(records: DataFrame, key: str, hot: bool | None = None) -> DataFrame:
     """Whether each record names the hash of the record before it; the first names none."""
     before = running(
         records, [key], ["ts", "id"],
         lasts={"_before": F.struct(F.col("hash").alias("h"))},
-        include_current=False, hot_rows=hot_rows,
+        include_current=False, hot=hot,
     )
     expected = F.col("_before")["h"]
     return before.withColumn("expected_hash", expected).withColumn(

@@ -37,7 +37,7 @@ def price_asof(
     quotes: DataFrame,
     *,
     strict: bool = False,
-    hot_rows: int | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Each prediction with the last quote of its ticker at or before its time.
 
@@ -61,7 +61,7 @@ def price_asof(
     )
     merged = asked.withColumn("ts", F.col("ts").cast("timestamp")).unionByName(known)
     carried = running(
-        merged, ["ticker"], ["ts", "side", "id"], lasts={"last": F.col("q")}, hot_rows=hot_rows
+        merged, ["ticker"], ["ts", "side", "id"], lasts={"last": F.col("q")}, hot=hot
     )
     return carried.filter(F.col("side") == before).select(
         "id", "ticker", "ts", "last.price", "last.quote_ts"
@@ -230,6 +230,25 @@ def fresh_values(
     return newest.withColumn("age_seconds", age).withColumn("stale", age > ttl_seconds)
 
 
+def _with_call(
+    df: DataFrame, out: str, spot: str, years: str, vol: str, rate: float
+) -> DataFrame:
+    """Add the Black-Scholes price of a call on `strike`; the intrinsic value when time or
+    volatility is not positive. Each step is a column, so that none is worked out twice."""
+    s, k, t, v = F.col(spot), F.col("strike"), F.col(years), F.col(vol)
+    live = (t > 0) & (v > 0)
+    d1 = (F.ln(s / k) + (F.lit(rate) + v * v / 2) * t) / (v * F.sqrt(t))
+    root2 = F.sqrt(F.lit(2.0))
+    steps = df.withColumn("_d1", F.when(live, d1)).withColumns(
+        {"_x1": F.col("_d1") / root2, "_x2": (F.col("_d1") - v * F.sqrt(t)) / root2}
+    )
+    steps = steps.withColumns({"_u1": C.erf_scale("_x1"), "_u2": C.erf_scale("_x2")})
+    first, second = (1.0 + C.erf("_x1", "_u1")) * 0.5, (1.0 + C.erf("_x2", "_u2")) * 0.5
+    priced = s * first - k * F.exp(t * -rate) * second
+    price = F.when(live, priced).otherwise(F.greatest(s - k, F.lit(0.0)))
+    return steps.withColumn(out, price).drop("_d1", "_x1", "_x2", "_u1", "_u2")
+
+
 def option_grid(contracts: DataFrame, moves: list[float]) -> DataFrame:
     """Profit of each call option (`spot`, `strike`, `days`, `pre_iv`, `post_iv`) per move.
 
@@ -238,17 +257,17 @@ def option_grid(contracts: DataFrame, moves: list[float]) -> DataFrame:
     if len(moves) > dims.MAX_DIM_ROWS:
         raise ValueError("too many scenarios")
     rate = dims.RISK_FREE_RATE
-    grid = contracts.withColumn("move", F.explode(F.array(*[F.lit(float(m)) for m in moves])))
     years = F.col("days") / F.lit(365.0)
-    after = F.greatest((F.col("days") - 1) / F.lit(365.0), F.lit(0.001))
-    post_spot = F.col("spot") * (F.col("move") / 100 + 1)
-    before = C.call_price("spot", "strike", years, rate, "pre_iv")
-    then = C.call_price(post_spot, F.col("strike"), after, rate, "post_iv")
-    pnl = F.col("post_premium") - F.col("premium")
+    # The price today does not depend on the move: it is worked out before the rows multiply.
+    today = _with_call(contracts.withColumn("_t", years), "premium", "spot", "_t", "pre_iv", rate)
+    grid = today.withColumn("move", F.explode(F.array(*[F.lit(float(m)) for m in moves])))
+    grid = grid.withColumn(
+        "_t", F.greatest((F.col("days") - 1) / F.lit(365.0), F.lit(0.001))
+    ).withColumn("_spot", F.col("spot") * (F.col("move") / 100 + 1))
+    grid = _with_call(grid, "post_premium", "_spot", "_t", "post_iv", rate)
     return (
-        grid.withColumn("premium", before)
-        .withColumn("post_premium", then)
-        .withColumn("pnl", pnl)
+        grid.drop("_t", "_spot")
+        .withColumn("pnl", F.col("post_premium") - F.col("premium"))
         .withColumn(
             "pnl_pct",
             F.when(F.col("premium") > 0, F.col("pnl") / F.col("premium") * 100).otherwise(0.0),

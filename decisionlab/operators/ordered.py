@@ -24,7 +24,7 @@ def ordering(names: list[str]) -> list[Column]:
     return [F.col(n[1:]).desc() if n.startswith("-") else F.col(n).asc() for n in names]
 
 
-def has_hot_key(df: DataFrame, keys: list[str], limit: int) -> bool:
+def has_hot_key(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> bool:
     """True when some key has more than `limit` rows (a map-side combined count)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") > limit).limit(1).count() > 0
@@ -38,17 +38,19 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     include_current: bool = True,
-    hot_rows: int | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add running sums and last non-null values per key in the given order.
 
     `keys` plus `order` must identify a row. With `include_current=False` the values are
     those before the row. `lasts` needs an ascending order. `sums` of `lit(1)` numbers rows.
+    `hot` says whether some key is too large for one task; unset, the rows are counted first.
     """
     sums, lasts = sums or {}, lasts or {}
-    limit = HOT_ROWS if hot_rows is None else hot_rows
     end = 0 if include_current else -1
-    if keys and not has_hot_key(df, keys, limit):
+    if keys and hot is None:
+        hot = has_hot_key(df, keys)
+    if keys and not hot:
         w = Window.partitionBy(*keys).orderBy(*ordering(order)).rowsBetween(
             Window.unboundedPreceding, end
         )

@@ -107,7 +107,7 @@ STREAK_SQL = 'SELECT "user", arg_max(length, run) AS current, max(length) AS bes
 
 @query(STREAK_SQL, "runs")
 def user_streaks(spark, sf_dir):
-    return K.streaks(_judged(spark, sf_dir))
+    return K.streaks(_judged(spark, sf_dir), K.hot_users(B.votes(spark, sf_dir)))
 
 
 # Every coin entry by rule; a streak bonus falls on the row where the run reaches its length.
@@ -135,8 +135,8 @@ COIN_SQL = """
 COIN_VIEWS = "vote judged crowd"
 
 
-def _coins(spark, sf_dir):
-    return K.coin_events(B.votes(spark, sf_dir), B.outcomes(spark, sf_dir))
+def _coins(spark, sf_dir, hot=None):
+    return K.coin_events(B.votes(spark, sf_dir), B.outcomes(spark, sf_dir), hot)
 
 
 @query(f"""
@@ -153,7 +153,8 @@ SELECT "user", event_id, reason, amount, CAST(sum(amount) OVER (PARTITION BY "us
 FROM (SELECT *, row_number() OVER (PARTITION BY "user", event_id, reason, ts) AS copy
   FROM ({COIN_SQL}))""", COIN_VIEWS)
 def coin_balance(spark, sf_dir):
-    return K.coin_balance(_coins(spark, sf_dir)).select(
+    hot = K.hot_users(B.votes(spark, sf_dir), K.ENTRIES_PER_VOTE)
+    return K.coin_balance(_coins(spark, sf_dir, hot), hot).select(
         "user", "event_id", "reason", "amount", "balance"
     )
 

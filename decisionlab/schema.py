@@ -104,7 +104,7 @@ SEALED_RECORD = _struct(
         ("loss_avoided_per_share", _D), ("net_swing_vs_holding", _D),
     )),
     ("signal_validation", T.MapType(_S, SIGNAL_CHECK)),
-    ("prior_record_hash", _S),
+    ("prior_record_hash", _S), ("prior_verification_hash", _S), ("timestamp_utc", _S),
 )
 
 SEALED = _struct(

@@ -45,14 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder inside the shared folder, grouped by application for later removal."""
+    root = shared_dir(spark).rstrip("/")
+    return f"{root}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back; survives executor loss."""
-    context = df.sparkSession.sparkContext
-    path = shared_dir(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder and read it back.
+
+    The rows survive the loss of executors, and later steps read only the columns they need.
+    """
+    path = new_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

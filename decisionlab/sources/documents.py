@@ -15,7 +15,9 @@ def read_sealed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_sealed(documents: DataFrame) -> DataFrame:
-    """Parse `text` into the record, its stored hash and the record's own text.
+    """Parse `text` into the record, its hashes, its time and the record's own text.
+
+    The hash of the record before stands under either of two names.
 
     The record's text is cut from the document and moved two spaces left, since writing the
     parsed record again would not give the same bytes.
@@ -28,6 +30,10 @@ def parse_sealed(documents: DataFrame) -> DataFrame:
         .withColumn("record_text", F.regexp_replace(body, r"\n  ", "\n"))
         .withColumn("record", F.col("_s.record"))
         .withColumn("stored_hash", F.col("_s.integrity.hash"))
+        .withColumn(
+            "prior_hash", F.coalesce("record.prior_record_hash", "record.prior_verification_hash")
+        )
+        .withColumn("ts", F.col("record.timestamp_utc").try_cast("timestamp"))
         .drop("_s")
     )
 

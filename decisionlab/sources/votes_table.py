@@ -26,8 +26,14 @@ def upsert_predictions(
     batch: DataFrame, table: str, batch_id: int, by: str = "event_id", buckets: int = BUCKETS
 ) -> None:
     """Store the batch's last vote per user and event."""
-    rows = current_votes(batch.select(COLUMNS)).withColumn("bucket", _bucket(by, buckets))
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/log/batch={batch_id}")
+    rows = current_votes(batch.select(COLUMNS))
+    _write(rows, f"{table}/log/batch={batch_id}", by, buckets)
+
+
+def _write(rows: DataFrame, path: str, by: str, buckets: int) -> None:
+    """Write by bucket; the rebalance gathers small buckets and splits a large one."""
+    placed = rows.withColumn("bucket", _bucket(by, buckets)).hint("rebalance", "bucket")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _read(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame | None:
@@ -83,9 +89,7 @@ def compact(
 ) -> None:
     """Fold all batches up to `through` into a base; readers use it once it is marked done."""
     rows = read_votes(spark, table, columns, before=through + 1)
-    rows.withColumn("bucket", _bucket(by, buckets)).write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(f"{table}/base/batch={through}")
+    _write(rows, f"{table}/base/batch={through}", by, buckets)
     spark.range(through, through + 1).withColumnRenamed("id", "batch").write.mode("append").parquet(
         f"{table}/done"
     )

@@ -107,14 +107,14 @@ def test_no_scored_votes_means_zero(spark, outcomes):
     assert (r.total_predictions, r.scored_predictions, r.accuracy_pct, r.points) == (1, 0, 0.0, 0)
 
 
-@pytest.mark.parametrize("hot", [None, 0])
+@pytest.mark.parametrize("hot", [None, True])
 def test_streaks(spark, votes, outcomes, hot):
     scored = K.scored_votes(K.current_votes(votes), outcomes)
     got = {r.user: (r.current, r.best) for r in K.streaks(scored, hot).collect()}
     assert got == loop_streaks(make_votes())
 
 
-@pytest.mark.parametrize("hot", [None, 0])
+@pytest.mark.parametrize("hot", [None, True])
 def test_streak_bonuses(spark, hot):
     data = [("u", e, START + timedelta(days=e), e not in (4, 9)) for e in range(25)]
     df = spark.createDataFrame(data, "user string, event_id long, decided_at timestamp, correct boolean")
@@ -122,7 +122,7 @@ def test_streak_bonuses(spark, hot):
         [(2, "STREAK_3"), (7, "STREAK_3"), (12, "STREAK_3"), (14, "STREAK_5"), (19, "STREAK_10")], key=repr)
 
 
-@pytest.mark.parametrize("hot", [None, 0])
+@pytest.mark.parametrize("hot", [None, True])
 def test_coins(spark, votes, outcomes, hot):
     entries = K.coin_events(votes, outcomes, hot)
     total = {r.reason: r.n for r in entries.groupBy("reason").agg(F.count("*").alias("n")).collect()}

@@ -110,7 +110,7 @@ def chain(lines):
     return out
 
 
-@pytest.mark.parametrize("block,hot", [(256, None), (256, 0), (3, 0), (2, None)])
+@pytest.mark.parametrize("block,hot", [(256, None), (256, True), (3, True), (2, None)])
 def test_chain(spark, block, hot):
     data = [("hot" if i % 3 else f"k{i}", i, f"line {i}") for i in range(60)]
     df = spark.createDataFrame(data, "k string, seq long, line string").repartition(4)
@@ -133,7 +133,7 @@ def test_chain(spark, block, hot):
         assert heads[k] == ends[0]
 
 
-@pytest.mark.parametrize("hot", [None, 0])
+@pytest.mark.parametrize("hot", [None, True])
 def test_verify_chain_and_links(spark, hot):
     data = [
         ("x", 1, 1, "h1", None), ("x", 2, 2, "h2", "h1"), ("x", 3, 3, "h3", "h1"), ("x", 4, 4, "h4", "zz"),
@@ -186,6 +186,14 @@ def test_sealed_files(spark, tmp_path):
     read = documents.read_sealed(spark, str(tmp_path))
     checked = I.verify_seals(read)
     assert rows(checked, F.col("record.catalyst_id"), "sealed") == [("r1", True), ("r2", False)]
+    follower = {"catalyst_id": "r3", "prior_verification_hash": read.first().stored_hash,
+                "timestamp_utc": "2026-02-14T04:30:56.245Z"}
+    (tmp_path / "c.json").write_text(sealed(follower))
+    chained = documents.read_sealed(spark, str(tmp_path)).select(
+        F.col("record.catalyst_id").alias("id"), F.col("stored_hash").alias("hash"), "prior_hash", "ts"
+    )
+    links = I.link_records(chained)
+    assert ("r3", "LINKED") in rows(links, "id", "link") and links.filter("link = 'ROOT'").count() == 2
     checks = documents.signal_checks(read)
     assert checks.count() == 4
     from decisionlab.operators.scoring import signal_validation

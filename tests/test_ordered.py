@@ -33,12 +33,12 @@ def brute(data, keyed, include):
 
 @pytest.mark.parametrize("keys", [["k"], []])
 @pytest.mark.parametrize("include", [True, False])
-@pytest.mark.parametrize("hot_rows", [0, 10**9])
-def test_running(spark, keys, include, hot_rows):
+@pytest.mark.parametrize("hot", [True, False])
+def test_running(spark, keys, include, hot):
     data, df = table(spark)
     got = O.running(
         df.repartition(5), keys, ["day", "id"], sums={"s": F.col("v")}, lasts={"l": F.col("x")},
-        include_current=include, hot_rows=hot_rows,
+        include_current=include, hot=hot,
     )
     assert got.columns == [*df.columns, "s", "l"]
     assert rows(got, "id", "s", "l") == brute(data, bool(keys), include)
