@@ -81,9 +81,10 @@ def equity_curve(ledger: DataFrame, start: float = 10_000.0) -> DataFrame:
     The running sum is taken over range partitions of the ordered ledger, so neither the
     whole ledger nor one busy day passes through a single task.
     """
-    n = ledger.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = ledger.select("seq", "date", counted_move().alias("_move"))
     curve = running(rows, [], ["date", "seq"], sums={"_sum": F.col("_move")})
+    # Counted on the rows `running` has already stored, not on the ledger's sources again.
+    n = curve.agg(F.count(F.lit(1)).alias("n")).scalar()
     return curve.withColumn(
         "balance", F.lit(start) + F.lit(start) / n * F.col("_sum").cast("double") / 100.0
     ).select("seq", "date", "balance")

@@ -228,7 +228,11 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decided events with score, call, correctness and a move text."""
-    decided = scored(spark, sf_dir).filter(F.col("outcome") != "DELAYED")
+    return ledger_of(scored(spark, sf_dir))
+
+
+def ledger_of(events: DataFrame) -> DataFrame:
+    decided = events.filter(F.col("outcome") != "DELAYED")
     sign = F.when(F.col("outcome") == "APPROVED", "+").otherwise("-")
     return decided.select(
         F.col("event_id").alias("seq"),

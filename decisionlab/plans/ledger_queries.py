@@ -10,6 +10,7 @@ from decisionlab.operators import ledger as L
 from decisionlab.plans import bindings as B
 from decisionlab.plans.oracle_views import action_sql, number_sql, pct_sql, tier_sql
 from decisionlab.plans.registry import query, r6, text
+from decisionlab.session import cut_lineage
 from decisionlab.sources import documents
 
 
@@ -165,12 +166,16 @@ WHERE (action = 'AVOID') <> ({action_sql('tier')} = 'AVOID')
 UNION ALL SELECT 'conflicting outcomes', ticker || '|' || drug FROM ledger
 GROUP BY ticker, drug HAVING count(DISTINCT outcome) > 1""", "scored rates ledger")
 def audit(spark, sf_dir):
-    return I.audit(B.scored(spark, sf_dir), B.ledger(spark, sf_dir), B.rates(spark))
+    """Scored once and stored, since the rules read the events and the ledger four times."""
+    scored = cut_lineage(B.scored(spark, sf_dir).drop("signals", "designations"))
+    return I.audit(scored, B.ledger_of(scored), B.rates(spark))
 
 
 def _snapshots(spark, sf_dir):
     """The ledger, and the same with some rows gone, some new and some with another tier."""
-    rows = B.ledger(spark, sf_dir).select("seq", "ticker", "date", "outcome", "score", "tier")
+    rows = cut_lineage(
+        B.ledger(spark, sf_dir).select("seq", "ticker", "date", "outcome", "score", "tier")
+    )
     old = rows.filter(F.col("seq") % 13 != 0)
     tier = F.when(F.col("seq") % 17 == 0, "TIER_X").otherwise(F.col("tier"))
     return old, rows.filter(F.col("seq") % 19 != 0).withColumn("tier", tier)
