@@ -289,7 +289,9 @@ def feed(
     `predictions` holds the event ids the reader has already called; the prompt to predict
     is raised for the others.
     """
-    zoned = window_zone(events, as_of)
+    # No rule concerns the past, so those events go before anything is joined to them.
+    ahead = events.filter(F.col("event_date") >= F.lit(as_of).cast("date"))
+    zoned = window_zone(ahead, as_of)
     days, zone = F.col("days_out"), F.col("zone")
     rules = [
         (zone == "DANGER", "BINARY_RISK", 110),
@@ -324,9 +326,15 @@ def feed(
 
 def zone_changes(events: DataFrame, before: str, after: str) -> DataFrame:
     """Events whose zone differs between two dates: the alerts of the days between."""
+    first, last = sorted((before, after))
+    reach = dims.WINDOW_ZONES[-1][0]
+    # Past the first date an event is expired on both, beyond the last zone it is far on both.
+    near = F.col("event_date").between(
+        F.lit(first).cast("date"), F.date_add(F.lit(last).cast("date"), reach)
+    )
     old = C.zone(C.days_out("event_date", before))
     new = C.zone(C.days_out("event_date", after))
-    return events.select(
+    return events.filter(near).select(
         "event_id", "event_date", old.alias("old_zone"), new.alias("new_zone")
     ).filter(F.col("old_zone") != F.col("new_zone"))
 

@@ -173,3 +173,21 @@ def test_heatmap_equal_shares(spark):
     assert rows(S.heatmap_items(df, size_by="equal"), "pct") == [(50.0,), (50.0,)]
     assert rows(S.heatmap(df), "grp", "n") == [("CNS", 1), ("X", 1)]
     assert [r.grp for r in S.heatmap(df).collect()] == ["X", "CNS"]
+
+
+@pytest.mark.parametrize("after", [AS_OF, "2026-01-08", "2026-02-20", "2025-12-01"])
+def test_zone_changes_against_every_event(spark, after):
+    df = spark.createDataFrame([event(i, d) for i, d in enumerate(range(-60, 120))], COLS)
+    days = {r.event_id: r.event_date for r in df.collect()}
+
+    def zone_of(day, as_of):
+        out = (day - date.fromisoformat(as_of)).days
+        if out < 0:
+            return "EXPIRED"
+        return next((name for last, name, _ in dims.WINDOW_ZONES if out <= last), "FAR")
+
+    want = sorted(
+        ((i, zone_of(d, AS_OF), zone_of(d, after)) for i, d in days.items()), key=repr
+    )
+    got = rows(S.zone_changes(df, AS_OF, after), "event_id", "old_zone", "new_zone")
+    assert got == [x for x in want if x[1] != x[2]]
