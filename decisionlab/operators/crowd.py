@@ -19,6 +19,8 @@ from decisionlab.operators.ordered import (
 
 # Most coin entries one vote can earn: made, first, right, early, contrarian, streak.
 ENTRIES_PER_VOTE = 6
+# A coin entry names its vote: with the reason, `seq` makes it unique.
+ENTRY_KEYS = ["user", "event_id", "seq"]
 
 
 def vote_reason(kind: Column | None = None) -> Column:
@@ -134,7 +136,7 @@ def streaks(scored: DataFrame, hot: bool | None = None) -> DataFrame:
 def streak_bonuses(scored: DataFrame, hot: bool | None = None) -> DataFrame:
     """A coin entry each time a run of right votes reaches one of the rewarded lengths."""
     order = ["decided_at", "event_id"]
-    rows = scored.select("user", "event_id", "decided_at", "correct")
+    rows = scored.select("user", "event_id", "seq", "decided_at", "correct")
     placed = running(
         rows, ["user"], order, sums={"_rn": F.lit(1).cast("long")}, hot=hot
     )
@@ -152,8 +154,8 @@ def streak_bonuses(scored: DataFrame, hot: bool | None = None) -> DataFrame:
         reward = F.when(length == n, entry) if reward is None else reward.when(length == n, entry)
     return (
         since.filter(F.col("correct") & length.isin(dims.STREAK_LENGTHS))
-        .select("user", "event_id", reward.alias("_c"))
-        .select("user", "event_id", "_c.*")
+        .select(*ENTRY_KEYS, reward.alias("_c"))
+        .select(*ENTRY_KEYS, "_c.*")
     )
 
 
@@ -176,9 +178,9 @@ def coin_events(
     if hot is None:
         hot = hot_users(votes)
     first = first_votes(votes)
-    made = votes.select("user", "event_id", _entry("PREDICTION_MADE", F.col("created_at")).alias("_c"))
+    made = votes.select(*ENTRY_KEYS, _entry("PREDICTION_MADE", F.col("created_at")).alias("_c"))
     welcome = first.select(
-        "user", "event_id", _entry("FIRST_PREDICTION", F.col("created_at")).alias("_c")
+        *ENTRY_KEYS, _entry("FIRST_PREDICTION", F.col("created_at")).alias("_c")
     )
 
     current = current_votes(votes)
@@ -200,15 +202,15 @@ def coin_events(
         ),
     ]
     found = F.array_compact(F.array(*[F.when(test, _entry(rule, at)) for test, rule in rules]))
-    judged = scored.join(crowd, "event_id").select("user", "event_id", F.explode(found).alias("_c"))
+    judged = scored.join(crowd, "event_id").select(*ENTRY_KEYS, F.explode(found).alias("_c"))
     rows = made.unionByName(welcome).unionByName(judged)
     bonuses = streak_bonuses(scored, hot)
-    return rows.select("user", "event_id", "_c.*").unionByName(bonuses)
+    return rows.select(*ENTRY_KEYS, "_c.*").unionByName(bonuses)
 
 
 def first_votes(votes: DataFrame) -> DataFrame:
     """The first vote of each user."""
-    first = F.min_by(F.struct("event_id", "created_at"), F.struct("created_at", "seq"))
+    first = F.min_by(F.struct("event_id", "seq", "created_at"), F.struct("created_at", "seq"))
     return votes.groupBy("user").agg(first.alias("_v")).select("user", "_v.*")
 
 
@@ -218,18 +220,8 @@ def coin_balance(entries: DataFrame, hot: bool | None = None) -> DataFrame:
     A vote yields at most `ENTRIES_PER_VOTE` entries, so `hot_users(votes, ENTRIES_PER_VOTE)`
     settles `hot` without working out the entries twice.
     """
-    order = ["ts", "event_id", "reason", "copy"]
-    return running(
-        _number_copies(entries), ["user"], order,
-        sums={"balance": F.col("amount")}, hot=hot,
-    ).drop("copy")
-
-
-def _number_copies(entries: DataFrame) -> DataFrame:
-    """Fold entries that agree in everything into one row, so that the order is total."""
-    keys = ["user", "event_id", "reason", "ts", "amount"]
-    folded = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return folded.select(*keys, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    order = ["ts", "event_id", "reason", "seq"]
+    return running(entries, ["user"], order, sums={"balance": F.col("amount")}, hot=hot)
 
 
 def coin_tier(entries: DataFrame) -> DataFrame:
@@ -244,7 +236,7 @@ def coin_tier(entries: DataFrame) -> DataFrame:
 
 def newest_coins(entries: DataFrame, n: int = 100) -> DataFrame:
     """The newest `n` coin entries of each user."""
-    return top_n_by(entries, ["user"], ["-ts", "-event_id", "reason"], n)
+    return top_n_by(entries, ["user"], ["-ts", "-event_id", "reason", "seq"], n)
 
 
 def toggle_watch(watch: DataFrame, changes: DataFrame) -> DataFrame:

@@ -57,8 +57,17 @@ def accuracy_by(ledger: DataFrame, *by: str) -> DataFrame:
 
 
 def accuracy_cube(ledger: DataFrame, *by: str) -> DataFrame:
-    """The same for every combination of the dimensions at once; null stands for 'all'."""
-    return ledger.cube(*by).agg(F.grouping_id().cast("int").alias("level"), *_accuracy())
+    """The same for every combination of the dimensions at once; null stands for 'all'.
+
+    The rows are counted per group first, so that only the counts are repeated per level.
+    """
+    total, correct = F.sum("total"), F.sum("correct")
+    return accuracy_by(ledger, *by).cube(*by).agg(
+        F.grouping_id().cast("int").alias("level"),
+        total.alias("total"),
+        correct.alias("correct"),
+        C.ratio_pct(correct, total).alias("accuracy"),
+    )
 
 
 def _accuracy() -> list[Column]:

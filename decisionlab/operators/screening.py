@@ -37,13 +37,13 @@ def screen(
 
 def watched(events: DataFrame, watch: DataFrame) -> DataFrame:
     """Events on the watchlist."""
-    return events.join(watch.select("event_id"), "event_id", "left_semi")
+    return events.join(watch.select("event_id").distinct(), "event_id", "left_semi")
 
 
 def missing_from(a: DataFrame, b: DataFrame, key: str | list[str]) -> DataFrame:
-    """Rows of `a` whose key does not occur in `b`."""
+    """Rows of `a` whose key does not occur in `b`, which shrinks to its keys first."""
     keys = [key] if isinstance(key, str) else key
-    return a.join(b.select(keys), keys, "left_anti")
+    return a.join(b.select(keys).distinct(), keys, "left_anti")
 
 
 def within_days(events: DataFrame, as_of: str, n: int) -> DataFrame:

@@ -112,20 +112,21 @@ def user_streaks(spark, sf_dir):
 
 # Every coin entry by rule; a streak bonus falls on the row where the run reaches its length.
 COIN_SQL = """
-  SELECT "user", event_id, CAST(10 AS BIGINT) AS amount, 'PREDICTION_MADE' AS reason, created_at AS ts FROM vote
+  SELECT "user", event_id, seq, CAST(10 AS BIGINT) AS amount, 'PREDICTION_MADE' AS reason,
+    created_at AS ts FROM vote
   UNION ALL
-  SELECT "user", event_id, 25, 'FIRST_PREDICTION', created_at FROM (SELECT *, row_number() OVER (
+  SELECT "user", event_id, seq, 25, 'FIRST_PREDICTION', created_at FROM (SELECT *, row_number() OVER (
     PARTITION BY "user" ORDER BY created_at, seq) AS rn FROM vote) WHERE rn = 1
   UNION ALL
-  SELECT "user", event_id, 50, 'CORRECT_BINARY', decided_at FROM judged WHERE correct
+  SELECT "user", event_id, seq, 50, 'CORRECT_BINARY', decided_at FROM judged WHERE correct
   UNION ALL
-  SELECT "user", event_id, 25, 'EARLY_BIRD', decided_at FROM judged
+  SELECT "user", event_id, seq, 25, 'EARLY_BIRD', decided_at FROM judged
   WHERE date_diff('day', created_at, decided_at) >= 14
   UNION ALL
-  SELECT j."user", j.event_id, 150, 'CONTRARIAN_WIN', decided_at FROM judged j JOIN crowd c USING (event_id)
+  SELECT j."user", j.event_id, seq, 150, 'CONTRARIAN_WIN', decided_at FROM judged j JOIN crowd c USING (event_id)
   WHERE correct AND 100 * CASE label WHEN 'APPROVE' THEN approve_votes ELSE crl_votes END < 30 * total_votes
   UNION ALL
-  SELECT "user", event_id, CASE place WHEN 3 THEN 75 WHEN 5 THEN 200 ELSE 500 END,
+  SELECT "user", event_id, seq, CASE place WHEN 3 THEN 75 WHEN 5 THEN 200 ELSE 500 END,
     'STREAK_' || place, decided_at
   FROM (SELECT *, row_number() OVER (PARTITION BY "user", run ORDER BY decided_at, event_id)
       - CASE WHEN run > 0 THEN 1 ELSE 0 END AS place
@@ -148,14 +149,13 @@ def coin_events(spark, sf_dir):
 
 
 @query(f"""
-SELECT "user", event_id, reason, amount, CAST(sum(amount) OVER (PARTITION BY "user"
-  ORDER BY ts, event_id, reason, copy) AS BIGINT) AS balance
-FROM (SELECT *, row_number() OVER (PARTITION BY "user", event_id, reason, ts) AS copy
-  FROM ({COIN_SQL}))""", COIN_VIEWS)
+SELECT "user", event_id, seq, reason, amount, CAST(sum(amount) OVER (PARTITION BY "user"
+  ORDER BY ts, event_id, reason, seq) AS BIGINT) AS balance
+FROM ({COIN_SQL})""", COIN_VIEWS)
 def coin_balance(spark, sf_dir):
     hot = K.hot_users(B.votes(spark, sf_dir), K.ENTRIES_PER_VOTE)
     return K.coin_balance(_coins(spark, sf_dir, hot), hot).select(
-        "user", "event_id", "reason", "amount", "balance"
+        "user", "event_id", "seq", "reason", "amount", "balance"
     )
 
 
@@ -173,7 +173,7 @@ def coin_tiers(spark, sf_dir):
 
 @query(f"""
 SELECT "user", event_id, reason, amount FROM (SELECT *, row_number() OVER (PARTITION BY "user"
-  ORDER BY ts DESC, event_id DESC, reason) AS rn FROM ({COIN_SQL})) WHERE rn <= 10""", COIN_VIEWS)
+  ORDER BY ts DESC, event_id DESC, reason, seq) AS rn FROM ({COIN_SQL})) WHERE rn <= 10""", COIN_VIEWS)
 def newest_coins(spark, sf_dir):
     return K.newest_coins(_coins(spark, sf_dir), 10).select("user", "event_id", "reason", "amount")
 

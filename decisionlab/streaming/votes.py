@@ -18,12 +18,21 @@ from decisionlab.operators.ordered import latest_by
 from decisionlab.sources import votes_table
 
 
-def accepted_votes(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Valid votes of a stream (`id`, `user`, `event_id`, `label`, `created_at`, `seq`), each once."""
-    valid = stream.withColumn("created_at", F.col("created_at").cast("timestamp")).filter(
+def accepted_votes(stream: DataFrame) -> DataFrame:
+    """The valid votes of a stream (`id`, `user`, `event_id`, `label`, `created_at`, `seq`)."""
+    return stream.withColumn("created_at", F.col("created_at").cast("timestamp")).filter(
         crowd.vote_reason().isNull()
     )
-    return valid.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+
+
+def votes_once(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The valid votes, each id once, for sinks that only append.
+
+    The upserting streams below do without it: they fold repeats map-side and a repeat of a
+    stored vote changes nothing, so many copies of one vote never meet in one task.
+    """
+    timed = accepted_votes(stream).withWatermark("created_at", delay)
+    return timed.dropDuplicatesWithinWatermark(["id"])
 
 
 def run_batches(
@@ -49,7 +58,7 @@ def run_batches(
 
 
 def ingest_votes(stream: DataFrame, table: str, checkpoint: str) -> None:
-    """Validate, drop repeats and upsert the votes of a stream."""
+    """Validate the votes of a stream and upsert the last one per user and event."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         votes_table.upsert_predictions(batch, table, batch_id)

@@ -116,8 +116,10 @@ def test_streaks(spark, votes, outcomes, hot):
 
 @pytest.mark.parametrize("hot", [None, True])
 def test_streak_bonuses(spark, hot):
-    data = [("u", e, START + timedelta(days=e), e not in (4, 9)) for e in range(25)]
-    df = spark.createDataFrame(data, "user string, event_id long, decided_at timestamp, correct boolean")
+    data = [("u", e, e + 100, START + timedelta(days=e), e not in (4, 9)) for e in range(25)]
+    df = spark.createDataFrame(
+        data, "user string, event_id long, seq long, decided_at timestamp, correct boolean"
+    )
     assert rows(K.streak_bonuses(df, hot), "event_id", "reason") == sorted(
         [(2, "STREAK_3"), (7, "STREAK_3"), (12, "STREAK_3"), (14, "STREAK_5"), (19, "STREAK_10")], key=repr)
 
@@ -139,6 +141,7 @@ def test_coins(spark, votes, outcomes, hot):
     assert ends == {r.user: r.balance for r in K.coin_tier(entries).collect()}
     per_user = balance.groupBy("user").agg(F.count("*").alias("n"), F.countDistinct("balance").alias("d"))
     assert per_user.filter("n <> d").count() == 0
+    assert entries.count() == entries.select("user", "reason", "seq").distinct().count()
 
 
 @pytest.mark.parametrize("balance,tier,progress", [
@@ -203,6 +206,17 @@ def test_streams_equal_batch(spark, votes, outcomes, tmp_path):
     assert {r.user: (r.current, r.best) for r in got.collect()} == loop_streaks(data)
 
 
+def test_votes_once(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    data = make_votes(40)
+    write_files(spark, source, data + data[-3:] + [("bad", "u", 1, "MAYBE", data[-1][4], 99)], 2)
+    query = V.votes_once(stream_of(spark, source)).writeStream.format("parquet").option(
+        "path", out
+    ).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert rows(spark.read.parquet(out), "id") == sorted((v[0],) for v in data)
+
+
 def test_vote_table_replay_and_compaction(spark, tmp_path):
     table, data = str(tmp_path / "t"), make_votes(120)
     df = spark.createDataFrame(data, VOTE)
