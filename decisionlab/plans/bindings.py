@@ -9,6 +9,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from decisionlab import dims, schema
 from decisionlab.functions import columns as C
@@ -42,8 +43,19 @@ SEGMENT_CONFERENCES = [
 ]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def table_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The columns of a table, looked up in its files once per process."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return _SCHEMAS[path]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(table_schema(spark, path)).parquet(path)
 
 
 def rates(spark: SparkSession) -> DataFrame:
@@ -209,7 +221,7 @@ def vote_columns(rows: DataFrame) -> DataFrame:
 def vote_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1000) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     rows = (
-        spark.readStream.schema(spark.read.parquet(path).schema)
+        spark.readStream.schema(table_schema(spark, path))
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(f"{path}*")
     )

@@ -215,7 +215,7 @@ FROM quote GROUP BY 1""", "quote")
 def stream_quotes(spark, sf_dir):
     """The newest quote per ticker, kept by a stream."""
     path, out = f"{sf_dir}/orders.parquet", new_dir(spark, "fresh")
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").select(
+    stream = spark.readStream.schema(B.table_schema(spark, path)).parquet(f"{path}*").select(
         F.col("o_custkey").cast("string").alias("ticker"),
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.col("o_totalprice").alias("value"),

@@ -10,6 +10,12 @@ from decisionlab.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("decisionlab-tests", "local[8]", spark__sql__shuffle__partitions="8")
+    session = get_session(
+        "decisionlab-tests",
+        "local[8]",
+        spark__sql__shuffle__partitions="8",
+        # Small tables would otherwise end in one range, and the split path would not be tested.
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    )
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -82,3 +82,25 @@ def test_latest_and_top(spark):
     assert {r.k: r.id for r in top.filter("rn = 1").collect()} == want
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_ranges_are_many_and_ordered(spark):
+    """The test session makes several ranges, and the hot key lies in more than one."""
+    _, df = table(spark)
+    ranged = df.repartitionByRange("k", "day", "id").withColumn("p", F.spark_partition_id())
+    spans = ranged.groupBy("p").agg(F.count("*").alias("n")).collect()
+    assert len(spans) >= 6 and max(r.n for r in spans) < 200
+    assert ranged.filter("k = 'hot'").select("p").distinct().count() > 1
+
+
+@pytest.mark.parametrize("merge", ["true", "false"])
+def test_merged_ranges_give_the_same(spark, merge):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, merge)
+    try:
+        data, df = table(spark)
+        got = O.running(df, [], ["day", "id"], sums={"s": F.col("v")}, lasts={"l": F.col("x")})
+        assert rows(got, "id", "s", "l") == brute(data, False, True)
+    finally:
+        spark.conf.set(name, before)
