@@ -147,9 +147,10 @@ def proof_summary(flagged: DataFrame) -> DataFrame:
 def trade_metrics(trades: DataFrame) -> DataFrame:
     """Holding days, gain, loss avoided and the net swing against holding on."""
     entry, exit_, post = F.col("entry_price"), F.col("exit_price"), F.col("post_price")
-    gain_pct = (exit_ - entry) / entry * 100
+    zero = F.lit(0.0)
+    gain_pct = (exit_ - entry) / F.nullif(entry, zero) * 100
     # The avoided loss is stated against the exit price.
-    avoided_pct = (exit_ - post) / exit_ * 100
+    avoided_pct = (exit_ - post) / F.nullif(exit_, zero) * 100
     return trades.select(
         "*",
         F.datediff("exit_date", "entry_date").alias("holding_days"),

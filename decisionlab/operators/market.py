@@ -104,8 +104,9 @@ def peak_move(predictions: DataFrame, quotes: DataFrame, top_level: int = 7) ->
     found = probes.join(tops, ["ticker", "day"]).groupBy(*key).agg(
         F.max(F.get("peaks", F.col("level"))).alias("peak")
     )
+    price = F.nullif("price", F.lit(0.0))
     return predictions.join(found, key, "left").withColumn(
-        "peak_pct", (F.col("peak") - F.col("price")) / F.col("price") * 100
+        "peak_pct", (F.col("peak") - price) / price * 100
     )
 
 
@@ -233,10 +234,10 @@ def fresh_values(
 def _with_call(
     df: DataFrame, out: str, spot: str, years: str, vol: str, rate: float
 ) -> DataFrame:
-    """Add the Black-Scholes price of a call on `strike`; the intrinsic value when time or
-    volatility is not positive. Each step is a column, so that none is worked out twice."""
+    """Add the Black-Scholes price of a call on `strike`; the intrinsic value when time,
+    volatility or a price is not positive. Each step is a column, worked out once."""
     s, k, t, v = F.col(spot), F.col("strike"), F.col(years), F.col(vol)
-    live = (t > 0) & (v > 0)
+    live = (t > 0) & (v > 0) & (s > 0) & (k > 0)
     d1 = (F.ln(s / k) + (F.lit(rate) + v * v / 2) * t) / (v * F.sqrt(t))
     root2 = F.sqrt(F.lit(2.0))
     steps = df.withColumn("_d1", F.when(live, d1)).withColumns(

@@ -220,7 +220,7 @@ def heatmap(events: DataFrame, group_by: str = "area", size_by: str = "prob") ->
     )
     # One row per area, type or tier is left, so the total fits any task.
     total = F.sum("size").over(Window.partitionBy(F.lit(0)))
-    return groups.withColumn("pct", F.col("size") / total * 100).orderBy(
+    return groups.withColumn("pct", F.col("size") / F.nullif(total, F.lit(0.0)) * 100).orderBy(
         F.desc("sum_prob"), "grp"
     )
 
@@ -230,7 +230,7 @@ def heatmap_items(
 ) -> DataFrame:
     """Each event's share of the whole map in percent: its probability, or 1/n when equal."""
     size = F.col("prob") if size_by == "prob" else F.lit(1.0)
-    total = events.agg(F.sum(size).alias("total")).scalar()
+    total = F.nullif(events.agg(F.sum(size).alias("total")).scalar(), F.lit(0.0))
     return events.select(
         "event_id", _heat_group(group_by).alias("grp"), (size / total * 100).alias("pct")
     )

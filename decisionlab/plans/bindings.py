@@ -211,7 +211,7 @@ def vote_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("event_id").cast("string").alias("id"),
         F.col("user_id").alias("user"),
-        F.get_json_object("props", "$.k").cast("long").alias("event_id"),
+        F.get_json_object("props", "$.k").try_cast("long").alias("event_id"),
         F.when(approving, "APPROVE").otherwise("CRL").alias("label"),
         F.col("ts").alias("created_at"),
         F.col("event_id").alias("seq"),

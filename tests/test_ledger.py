@@ -213,6 +213,15 @@ def test_trade_metrics(spark):
     assert round(r.avoided_per_share, 2) == 17.67 and round(r.net_swing, 2) == 26.15
 
 
+def test_trade_at_no_price(spark):
+    df = spark.createDataFrame(
+        [(date(2026, 1, 30), 0.0, date(2026, 2, 6), 0.0, 1.0)],
+        "entry_date date, entry_price double, exit_date date, exit_price double, post_price double",
+    )
+    r = L.trade_metrics(df).first()
+    assert (r.holding_days, r.gain_pct, r.avoided_pct, r.net_swing) == (7, None, None, None)
+
+
 def test_flags_and_lead_days(spark):
     df = spark.createDataFrame([
         ("EW-1", "WIN (86-day lead time)", "2025-10-15 00:00:00", "2026-01-31", "2026-01-09", None),

@@ -49,7 +49,7 @@ def test_peak_move(spark, top_level):
     asked = []
     for i in range(150):
         start = date(2026, 1, 1) + timedelta(days=rng.randrange(-5, 205))
-        asked.append((i, rng.choice(["HOT", "A", "Z"]), 10.0, start, start + timedelta(days=rng.randrange(-1, 180))))
+        asked.append((i, rng.choice(["HOT", "A", "Z"]), 10.0 * (i % 3), start, start + timedelta(days=rng.randrange(-1, 180))))
     got = M.peak_move(
         spark.createDataFrame(asked, "id long, ticker string, price double, from_day date, to_day date"),
         spark.createDataFrame(known, QUOTE), top_level,
@@ -163,7 +163,10 @@ def black_scholes(s, k, t, r, v):
 
 def test_options(spark):
     data = [(1, 50.0, 55.0, 30, 1.5, 0.6), (2, 50.0, 40.0, 0, 1.5, 0.6), (3, 50.0, 55.0, 30, 0.0, 0.0)]
+    odd = [(4, 50.0, 0.0, 30, 1.5, 0.6), (5, 0.0, 50.0, 30, 1.5, 0.6)]
     df = spark.createDataFrame(data, "id int, spot double, strike double, days int, pre_iv double, post_iv double")
+    free = spark.createDataFrame(odd, df.schema)
+    assert rows(M.option_grid(free, [0.0]), "id", "premium", "pnl_pct") == [(4, 50.0, 0.0), (5, 0.0, 0.0)]
     for r in M.option_grid(df, [10.0, -20.0]).collect():
         pre = black_scholes(r.spot, r.strike, r.days / 365, 0.05, r.pre_iv)
         post = black_scholes(r.spot * (1 + r.move / 100), r.strike, max((r.days - 1) / 365, 0.001), 0.05, r.post_iv)

@@ -173,6 +173,9 @@ def test_heatmap_equal_shares(spark):
     assert rows(S.heatmap_items(df, size_by="equal"), "pct") == [(50.0,), (50.0,)]
     assert rows(S.heatmap(df), "grp", "n") == [("CNS", 1), ("X", 1)]
     assert [r.grp for r in S.heatmap(df).collect()] == ["X", "CNS"]
+    none = df.withColumn("prob", F.lit(0.0))
+    assert rows(S.heatmap(none), "pct") == [(None,), (None,)]
+    assert rows(S.heatmap_items(none), "pct") == [(None,), (None,)]
 
 
 @pytest.mark.parametrize("after", [AS_OF, "2026-01-08", "2026-02-20", "2025-12-01"])
