@@ -375,7 +375,7 @@ def signal_effects(scored: DataFrame, weights: DataFrame) -> DataFrame:
     rows = _signal_rows(scored, weights, correct).filter(F.col("correct").isNotNull())
     grouped = rows.groupBy("signal").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.col("weight") / MICRO).alias("mean_weight"),
+        (F.sum("weight") / F.count(F.lit(1)) / MICRO).alias("mean_weight"),
         F.count_if("correct").alias("hits"),
         F.count_if(~F.col("correct")).alias("misses"),
     )

@@ -182,3 +182,52 @@ def test_large_weight_table_falls_back_to_the_join(spark, golden, monkeypatch):
     monkeypatch.setattr(dims.dim_rows, "__defaults__", (10,))
     assert dims.dim_rows(w) is None
     assert rows(S.score(golden, w), "event_id", "prob") == want
+
+
+def test_read_events(spark, tmp_path):
+    import json
+
+    from decisionlab.sources.events import read_events
+
+    data = [
+        {"event_id": "b", "event_date": "2026-02-01", "ticker": "B", "signals": {"x": 0.5, "a": -1.25},
+         "designations": ["Orphan Drug"], "enrollment": 12, "weekend": True},
+        {"event_id": "a", "event_date": "2026-01-01", "ticker": "A", "signals": {}, "prob": 1},
+    ]
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(d) for d in data))
+    (tmp_path / "array.json").write_text(json.dumps(data, indent=1))
+    lines = read_events(spark, str(tmp_path / "lines.json"), "json")
+    assert [r.event_id for r in lines.collect()] == ["a", "b"]
+    assert rows(read_events(spark, str(tmp_path / "array.json"), "json", multi_line=True)) == rows(lines)
+    lines.write.parquet(str(tmp_path / "p"))
+    stored = read_events(spark, str(tmp_path / "p"))
+    assert rows(stored) == rows(lines)
+    assert rows(explode_signals(stored), "event_id", "pos", "signal", "recorded_weight") == [
+        ("b", 0, "x", Decimal("0.500000")), ("b", 1, "a", Decimal("-1.250000"))
+    ]
+    assert S.score(stored).filter("event_id = 'b'").first().total_adj == -0.75
+
+
+def test_tier_never_falls_as_probability_rises(spark):
+    df = spark.range(1001).select((F.col("id") / 1000).alias("p")).withColumn("t", C.tier("p"))
+    tiers = [r.t for r in df.orderBy("p").collect()]
+    assert tiers == sorted(tiers, reverse=True) and len(set(tiers)) == 4
+
+
+def test_shuffled_rows_score_the_same(spark, golden):
+    w = dims.weights_table(spark)
+    want = rows(S.signal_effects(S.score(golden, w), w))
+    assert rows(S.signal_effects(S.score(golden.repartition(6).orderBy(F.rand(3)), w), w)) == want
+
+
+def test_calibration_and_miss_profile(spark, golden):
+    scored = S.score(golden, dims.weights_table(spark))
+    bins = {r.bin: (r.n, r.observed) for r in S.calibration(scored, by_tier=True).collect()}
+    want = {}
+    for _, outcome, _, _, _, tier, *_ in golden_backtest():
+        n, hit = want.get(tier, (0, 0))
+        want[tier] = (n + 1, hit + (outcome == "APPROVED"))
+    assert bins == {t: (n, round(100 * hit / n + 1e-9, 1)) for t, (n, hit) in want.items()}
+    profile = S.miss_profile(scored.withColumn("type", F.lit("PDUFA")), dims.weights_table(spark))
+    got = {r.error: (r.misses, r.top_negative) for r in profile.collect()}
+    assert got["FALSE NEGATIVE"] == (3, "prior_CRL") and got["FALSE POSITIVE"][0] == 2
