@@ -104,6 +104,11 @@ def verify_seals(spark, sf_dir):
     return checked.select("event_id", "sealed")
 
 
+def _chain(spark, sf_dir):
+    """The lines are stored first: they are counted per ticker, then chained."""
+    return I.build_chain(cut_lineage(B.chain_lines(spark, sf_dir)), "ticker")
+
+
 CHAIN = """
   WITH RECURSIVE numbered AS (
     SELECT ticker, seq, line, row_number() OVER (PARTITION BY ticker ORDER BY seq) AS n FROM canon),
@@ -116,12 +121,12 @@ CHAIN = """
 
 @query(f"SELECT * FROM ({CHAIN} SELECT ticker, seq, n, hash FROM chain)", "canon")
 def build_chain(spark, sf_dir):
-    return I.build_chain(B.chain_lines(spark, sf_dir), "ticker").select("ticker", "seq", "n", "hash")
+    return _chain(spark, sf_dir).select("ticker", "seq", "n", "hash")
 
 
 @query(f"SELECT * FROM ({CHAIN} SELECT ticker, arg_max(hash, n) AS head FROM chain GROUP BY 1)", "canon")
 def chain_heads(spark, sf_dir):
-    return I.chain_heads(I.build_chain(B.chain_lines(spark, sf_dir), "ticker"), "ticker")
+    return I.chain_heads(_chain(spark, sf_dir), "ticker")
 
 
 RECORDS = """

@@ -11,6 +11,7 @@ from decisionlab.operators import screening as S
 from decisionlab.plans import bindings as B
 from decisionlab.plans.oracle_views import kind_sql, pct_sql, zone_sql
 from decisionlab.plans.registry import query, r6, text
+from decisionlab.session import cut_lineage
 from decisionlab.sources import documents
 
 DAY = f"DATE '{B.AS_OF}'"
@@ -242,7 +243,8 @@ def heatmap_by_type(spark, sf_dir):
 SELECT event_id, tier AS grp, round(prob / (SELECT sum(prob) FROM scored) * 100, 8) AS pct
 FROM scored""", "scored")
 def heatmap_items(spark, sf_dir):
-    items = S.heatmap_items(B.scored(spark, sf_dir), "tier", "prob")
+    scored = cut_lineage(B.scored(spark, sf_dir).select("event_id", "type", "tier", "prob"))
+    items = S.heatmap_items(scored, "tier", "prob")
     return items.select("event_id", "grp", r6("pct", places=8))
 
 
