@@ -174,8 +174,8 @@ def scored(spark: SparkSession, sf_dir: str, version: str = "v10_68") -> DataFra
 
 
 def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First published scores of every tenth ticker."""
-    customer = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 10 == 0)
+    """First published scores of the tickers."""
+    customer = table(spark, sf_dir, "customer")
     orig = (F.col("c_acctbal") + 1000) / 11000
     return customer.select(
         F.col("c_custkey").cast("string").alias("ticker"),
@@ -185,21 +185,24 @@ def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named signal changes: some rejections become manufacturing-only, some get re-weighted."""
-    long = signals(spark, sf_dir)
-    rejected = long.filter((F.col("signal") == "prior_CRL") & (F.col("event_id") % 3 == 0))
-    moved = F.array(
-        F.struct(F.lit("drop").alias("op"), F.lit("prior_CRL").alias("signal")),
-        F.struct(F.lit("set").alias("op"), F.lit("prior_CRL_cmc_only").alias("signal")),
-    )
-    resubmitted = long.filter(
-        (F.col("signal") == "resubmission_post_CRL") & (F.col("event_id") % 5 == 0)
-    )
-    return (
-        rejected.select("event_id", F.explode(moved).alias("m"))
-        .select("event_id", "m.*")
-        .unionByName(resubmitted.select("event_id", F.lit("set").alias("op"), "signal"))
+    """Named signal changes: a rejection with an inspection finding becomes
+    manufacturing-only, and resubmissions of experienced sponsors are re-weighted."""
+
+    def has(name: str) -> Column:
+        return F.array_contains("signals", name)
+
+    def change(test: Column, op: str, name: str) -> Column:
+        return F.when(test, F.struct(F.lit(op).alias("op"), F.lit(name).alias("signal")))
+
+    inspected = has("prior_CRL") & has("form_483")
+    changes = F.array(
+        change(inspected, "drop", "prior_CRL"),
+        change(inspected, "set", "prior_CRL_cmc_only"),
+        change(has("resubmission_post_CRL") & has("experienced_sponsor"), "set", "resubmission_post_CRL"),
     )
+    return signal_events(spark, sf_dir).select(
+        "event_id", F.explode(F.array_compact(changes)).alias("m")
+    ).select("event_id", "m.*")
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,8 +232,7 @@ def vote_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1000)
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") < 100)
-    return rows.select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("event_id"),
         _case("o_orderstatus", {"F": "APPROVE", "O": "CRL"}, "DELAYED").alias("outcome"),
         F.date_add(F.lit("2024-01-05").cast("date"), (F.col("o_orderkey") % 40).cast("int"))
@@ -402,14 +404,16 @@ def options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 7 == 0)
-    return rows.select(F.lit(1).cast("long").alias("user"), F.col("o_orderkey").alias("event_id"))
+    """Each customer watches their urgent events."""
+    rows = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    return rows.select(F.col("o_custkey").alias("user"), F.col("o_orderkey").alias("event_id"))
 
 
 def watch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").filter((key % 14 == 0) | (key % 5 == 0))
-    return rows.select(F.lit(1).cast("long").alias("user"), key.alias("event_id"))
+    """They switch delayed events and those of high priority."""
+    switched = (F.col("o_orderstatus") == "P") | (F.col("o_orderpriority") == "2-HIGH")
+    rows = table(spark, sf_dir, "orders").filter(switched)
+    return rows.select(F.col("o_custkey").alias("user"), F.col("o_orderkey").alias("event_id"))
 
 
 def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,8 +187,8 @@ def newest_votes(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(1 AS BIGINT) AS "user", o_orderkey AS event_id FROM orders
-WHERE (o_orderkey % 7 = 0) <> (o_orderkey % 14 = 0 OR o_orderkey % 5 = 0)""")
+SELECT o_custkey AS "user", o_orderkey AS event_id FROM orders
+WHERE (o_orderpriority = '1-URGENT') <> (o_orderstatus = 'P' OR o_orderpriority = '2-HIGH')""")
 def toggled_watchlist(spark, sf_dir):
     return K.toggle_watch(B.watchlist(spark, sf_dir), B.watch_changes(spark, sf_dir))
 

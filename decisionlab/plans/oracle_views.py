@@ -143,7 +143,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "orig": ("", """
     SELECT CAST(c_custkey AS VARCHAR) AS ticker, (c_acctbal + 1000) / 11000 AS orig_score,
       CASE WHEN (c_acctbal + 1000) / 11000 >= 0.6 THEN 'TRADED' ELSE 'AVOIDED' END AS action
-    FROM customer WHERE c_custkey % 10 = 0"""),
+    FROM customer"""),
     "vote": ("", """
     SELECT CAST(event_id AS VARCHAR) AS id, user_id AS "user",
       CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS event_id,
@@ -158,7 +158,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     SELECT o_orderkey AS event_id,
       CASE o_orderstatus WHEN 'F' THEN 'APPROVE' WHEN 'O' THEN 'CRL' ELSE 'DELAYED' END AS outcome,
       CAST(DATE '2024-01-05' + CAST(o_orderkey % 40 AS INTEGER) AS TIMESTAMP) AS decided_at
-    FROM orders WHERE o_orderkey < 100"""),
+    FROM orders"""),
     "crowd": ("latest", f"""
     SELECT event_id, count(*) AS total_votes,
       count(*) FILTER (label = 'APPROVE') AS approve_votes,
@@ -237,7 +237,9 @@ VIEWS: dict[str, tuple[str, str]] = {
     SELECT CAST(d.doc_id % 50 AS VARCHAR) AS ticker, d.source AS platform,
       avg(l.quality) * 100 AS score, count(l.quality) AS n
     FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1, 2"""),
-    "watch": ("", 'SELECT 1 AS "user", o_orderkey AS event_id FROM orders WHERE o_orderkey % 7 = 0'),
+    "watch": ("", """
+    SELECT o_custkey AS "user", o_orderkey AS event_id FROM orders
+    WHERE o_orderpriority = '1-URGENT'"""),
     "prior": ("event", """
     SELECT event_id, drug, event_date, outcome,
       CAST(coalesce(sum(CASE WHEN outcome = 'CRL' THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT)

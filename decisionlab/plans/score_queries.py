@@ -123,13 +123,14 @@ def score_waterfall(spark, sf_dir):
 
 
 OVERRIDE_SQL = """
-  SELECT event_id, 'drop' AS op, signal FROM signal WHERE signal = 'prior_CRL' AND event_id % 3 = 0
+  SELECT event_id, 'drop' AS op, 'prior_CRL' AS signal FROM flags
+  WHERE list_has_all(signals, ['prior_CRL', 'form_483'])
   UNION ALL
-  SELECT event_id, 'set', 'prior_CRL_cmc_only' FROM signal
-  WHERE signal = 'prior_CRL' AND event_id % 3 = 0
+  SELECT event_id, 'set', 'prior_CRL_cmc_only' FROM flags
+  WHERE list_has_all(signals, ['prior_CRL', 'form_483'])
   UNION ALL
-  SELECT event_id, 'set', signal FROM signal
-  WHERE signal = 'resubmission_post_CRL' AND event_id % 5 = 0"""
+  SELECT event_id, 'set', 'resubmission_post_CRL' FROM flags
+  WHERE list_has_all(signals, ['resubmission_post_CRL', 'experienced_sponsor'])"""
 
 MOVED_SQL = f"""
   SELECT s.event_id, s.signal, w.weight FROM signal s JOIN w68 w ON w.signal = s.signal

@@ -32,10 +32,10 @@ def screen_events(spark, sf_dir):
 
 @query("""
 SELECT e.event_id, e.area FROM event e JOIN watch w ON w.event_id = e.event_id
-WHERE e.area = 'MACHINERY' AND e.type LIKE 'Phase%'""", "event watch")
+WHERE e.area = 'MACHINERY' AND e.type LIKE 'PDUFA%'""", "event watch")
 def screen_watchlist(spark, sf_dir):
     found = S.screen(
-        B.events(spark, sf_dir), area="MACHINERY", kind="readout", watch=B.watchlist(spark, sf_dir)
+        B.events(spark, sf_dir), area="MACHINERY", kind="decision", watch=B.watchlist(spark, sf_dir)
     )
     return found.select("event_id", "area")
 
