@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlab.llm import embedding_dedup, simhash
+from decisionlab.llm import embedding_dedup, packing, simhash, training_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query()
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents' token sequences, written in a keyed order as binary shards."""
+    return training_order.materialise(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of at most 2,048 token ids."""
+    return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
+
+
 @query()
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at 4 or fewer differing bits of a 4-word SimHash."""
