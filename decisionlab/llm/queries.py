@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlab.llm import embedding_dedup, packing, simhash, training_order
+from decisionlab.llm import embedding_dedup, packing, simhash, training_order, url_reputation
+from decisionlab.llm.url_reputation import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,83 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# The rules of the page filter.
+URL_RULES = [
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+]
+
+URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3)
+    ELSE '' END AS rest FROM pages
+), rows AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+    regexp_extract(host, '[^.]*[.]?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix
+  FROM rows LEFT JOIN known
+    ON doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:[.]html)?/?$', 1), '') AS BIGINT)
+  GROUP BY host
+), domains AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM counts GROUP BY domain, suffix
+), suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
+), s0 AS (
+  SELECT *, greatest(1e-6, least(1 - 1e-6, (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0.5 END FROM suffixes))) AS p
+  FROM suffixes
+), s1 AS (SELECT suffix, (k * p + bad) / (k + n) AS prior FROM s0, (SELECT STRENGTH AS k FROM s0 WHERE n > 0)
+), d0 AS (
+  SELECT domain, suffix, n, bad, greatest(1e-6, least(1 - 1e-6, prior)) AS p FROM domains JOIN s1 USING (suffix)
+), d1 AS (SELECT domain, suffix, (k * p + bad) / (k + n) AS prior FROM d0, (SELECT STRENGTH AS k FROM d0 WHERE n > 0)
+), h0 AS (
+  SELECT host, n, bad, greatest(1e-6, least(1 - 1e-6, prior)) AS p FROM counts JOIN d1 USING (domain, suffix)
+), h1 AS (
+  SELECT host, n, bad, k + n AS size, (k * p + bad) / (k + n) AS mean
+  FROM h0, (SELECT STRENGTH AS k FROM h0 WHERE n > 0)
+), fitting AS (
+  SELECT r.page_id, r.host, r.path, rule, verdict,
+    row_number() OVER (PARTITION BY r.page_id ORDER BY length(rule) DESC) AS place
+  FROM rows r JOIN (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+    ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'),
+    ('net/fr/', 'net', '/fr/', 'block')) AS rules (rule, rule_host, rule_path, verdict)
+  ON (r.host = rule_host OR ends_with(r.host, '.' || rule_host)) AND starts_with(r.path, rule_path)
+)
+SELECT r.page_id, r.host, r.path, f.rule,
+  coalesce(f.verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  n AS n_labelled, CAST(bad AS BIGINT) AS n_bad
+FROM rows r JOIN h1 USING (host) LEFT JOIN fitting f ON f.page_id = r.page_id AND f.place = 1
+""".replace("STRENGTH", """1 / least(greatest(CASE WHEN sum(n) > count(*)
+      THEN (sum(n * pow(bad / n - p, 2) / (p * (1 - p))) - count(*)) / (sum(n) - count(*))
+      ELSE 0.9 END, 0.01), 0.9) - 1""")
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the outcome of the document they show: the number that ends their path."""
+    labels = read(spark, sf_dir, "labels")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    known = labels.groupBy("doc_id").agg(F.max(F.when(bad, 1).otherwise(0)).alias("bad"))
+    number = F.regexp_extract(url_reputation.path_of(F.col("url")), r"/([0-9]{1,18})(?:[.]html)?/?$", 1)
+    pages = read(spark, sf_dir, "pages").select("url", number.try_cast("long").alias("doc_id"))
+    return pages.join(known, "doc_id").select("url", "bad")
+
+
+@query(URL_SQL)
+def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by the url rules, else by its host's labelled record."""
+    pages = read(spark, sf_dir, "pages")
+    judged = url_reputation.judge(pages, page_outcomes(spark, sf_dir), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
+
+
 @query()
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all documents' token sequences, written in a keyed order as binary shards."""
