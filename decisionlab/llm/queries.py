@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlab.llm import embedding_dedup, packing, simhash, training_order, url_reputation
+from decisionlab.llm import embedding_dedup, packing, secret_scan, simhash, training_order, url_reputation
 from decisionlab.llm.url_reputation import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,104 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+SECRETS_SQL = r"""
+WITH found AS (
+  SELECT doc_id, kind, unnest(m) AS match, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap,
+    generate_subscripts(m, 1) AS i
+  FROM (
+    SELECT doc_id, kind, regexp_extract_all(t, pattern, 0) AS m, string_split_regex(t, pattern) AS g
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), (VALUES
+      ('assign', 'ASSIGN'), ('access', 'AKIA[A-Z0-9]{12,}'),
+      ('hex', '[0-9a-f]{32,}'), ('random', '[A-Za-z0-9+/_-]{24,}')) AS p (kind, pattern)
+  ) WHERE len(m) > 0
+), placed AS (
+  SELECT doc_id, kind, match, CAST(sum(gap + length(match)) OVER w AS BIGINT) AS stop,
+    CAST(sum(gap + length(match)) OVER w AS BIGINT) - length(match) AS start
+  FROM found WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING)
+), base AS (
+  SELECT doc_id, kind, start, stop, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS place
+  FROM placed WHERE kind <> 'random' AND (kind <> 'assign' OR length(regexp_extract(match, 'ASSIGN', 2)) >= 8)
+), coded AS (
+  SELECT *, CASE
+      WHEN regexp_full_match(match, '[0-9a-f]+|[0-9A-F]+') AND regexp_matches(match, '[0-9]')
+        AND regexp_matches(match, '[A-Fa-f]') THEN 'hex'
+      WHEN regexp_full_match(match, '[A-Z2-7]+') AND regexp_matches(match, '[2-7]') AND regexp_matches(match, '[A-Z]') THEN 'base32'
+      WHEN regexp_full_match(match, '[0-9a-z]+') AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[a-z]') THEN 'base36'
+      WHEN regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[0-9]') THEN 'base64'
+    END AS code
+  FROM placed WHERE kind = 'random'
+), runs AS (
+  SELECT doc_id, start, stop, code || ':' || CAST(CAST(floor(log2(length(match))) AS BIGINT) AS VARCHAR) AS stratum,
+    CASE code WHEN 'hex' THEN lower(match) WHEN 'base64' THEN translate(match, '-_', '+/') ELSE match END AS run,
+    CASE code WHEN 'hex' THEN '0123456789abcdef' WHEN 'base32' THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
+      WHEN 'base36' THEN '0123456789abcdefghijklmnopqrstuvwxyz'
+      ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' END AS alphabet
+  FROM coded WHERE code IS NOT NULL
+), counted AS (
+  SELECT *, CAST(length(run) AS DOUBLE) AS n, length(alphabet) AS size,
+    list_transform(string_split(run, ''), lambda c: strpos(alphabet, c) - 1) AS v,
+    list_sum(list_transform(string_split(alphabet, ''), lambda c: pow(length(run) - length(replace(run, c, '')), 2))) AS squares
+  FROM runs
+), sided AS (
+  SELECT *, list_transform(v, lambda x: CASE WHEN x >= size // 2 THEN 1 ELSE 0 END) AS sides, list_sum(v) / n AS middle FROM counted
+), measured AS (
+  SELECT *, squares * size / n - n AS chi, CAST(list_sum(sides) AS DOUBLE) AS high,
+    1 + list_sum(list_transform(range(1, len(v)), lambda i: CASE WHEN sides[i] <> sides[i + 1] THEN 1 ELSE 0 END)) AS seen,
+    list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - middle) * (v[i + 1] - middle))) AS steps,
+    list_sum(list_transform(v, lambda x: (x - middle) * (x - middle))) AS variance
+  FROM sided
+), scaled AS (
+  SELECT *, 2 * (n - high) * high / n + 1 AS mean,
+    (2 * (n - high) * high / n) * (2 * (n - high) * high / n - 1) / (n - 1) AS spread FROM measured
+), scored AS (
+  SELECT doc_id, start, stop, stratum, (chi - (size - 1) - n) / sqrt(2 * (size - 1) + 4 * n) AS z1,
+    CASE WHEN spread > 0 THEN (abs(seen - mean) - 0.6 * mean) / sqrt(spread) END AS z2,
+    CASE WHEN variance > 0 THEN (abs(steps / variance) - 0.6) * sqrt(n) END AS z3 FROM scaled
+), levelled AS (
+  SELECT doc_id, start, stop, stratum, CAST(ceil(10000 * greatest(
+    1 / (1 + exp(-(1.5976 * z1 + 0.07056 * pow(z1, 3)))),
+    coalesce(1 / (1 + exp(-(1.5976 * z2 + 0.07056 * pow(z2, 3)))), 1.0),
+    coalesce(1 / (1 + exp(-(1.5976 * z3 + 0.07056 * pow(z3, 3)))), 1.0))) AS INTEGER) AS level FROM scored
+), cutoffs AS (
+  SELECT stratum, max(level) AS cutoff FROM (
+    SELECT stratum, level, count(*) OVER (PARTITION BY stratum ORDER BY level) AS place,
+      count(*) OVER (PARTITION BY stratum) AS total FROM levelled)
+  WHERE level / 10000 <= 0.01 * place / total GROUP BY stratum
+), spans AS (
+  SELECT doc_id, kind, start, stop, place FROM base
+  UNION ALL
+  SELECT doc_id, 'random', start, stop, 3 FROM levelled l JOIN cutoffs USING (stratum)
+  WHERE level <= cutoff AND NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.doc_id = l.doc_id AND b.start < l.stop AND l.start < b.stop)
+), lists AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN lists USING (doc_id)
+""".replace("ASSIGN", secret_scan.ASSIGN.replace("'", "''"))
+
+
+@query(SECRETS_SQL)
+def op5_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: base patterns, and runs that pass for random."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["rank"] < 3)
+    counts = [
+        F.size(F.filter("spans", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}")
+        for kind in ("assign", "access", "hex")
+    ]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query()
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at 4 or fewer differing bits of a 4-word SimHash."""
