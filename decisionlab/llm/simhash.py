@@ -76,9 +76,7 @@ def near_pairs(prints: DataFrame, bits: int = 4) -> DataFrame:
         value = F.shiftrightunsigned("fp", low)
         value = value.bitwiseAND(F.lit(mask)) if high - low < 64 else value
         flips = [0] + [1 << j if j < 63 else -(1 << 63) for j in range(high - low)]
-        ball = F.transform(
-            F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, v=value: v.bitwiseXOR(x)
-        )
+        ball = F.array(*[value.bitwiseXOR(F.lit(x).cast("long")) for x in flips])
         keys.append(prints.select("fp", F.lit(i).alias("part"), F.explode(ball).alias("value")))
     table = keys[0]
     for more in keys[1:]:
