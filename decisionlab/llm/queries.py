@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decisionlab.llm import embedding_dedup, packing, secret_scan, simhash, training_order, url_reputation
@@ -206,10 +206,11 @@ def op5_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: base patterns, and runs that pass for random."""
     found = secret_scan.scan(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rank"] < 3)
-    counts = [
-        F.size(F.filter("spans", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for kind in ("assign", "access", "hex")
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     return found.select(
         "doc_id", *counts,
         F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"),
