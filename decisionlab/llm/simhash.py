@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decisionlab.llm.graph import components
@@ -67,15 +67,21 @@ def near_pairs(prints: DataFrame, bits: int = 4) -> DataFrame:
     enough differ by at most two bits within one of them. Each fingerprint enters, for each
     segment, its value there and every value one bit away: two values at most two bits apart
     share one. Table matches are then held against the complete distance within the join.
+    Of the places where a pair meets, only one counts: the first segment that is close enough,
+    and there the value of `a` with the lowest differing bit turned.
     """
     parts = bits // 3 + 1
     edges = [round(64 * i / parts) for i in range(parts + 1)]
+
+    def segment(fp: Column, i: int) -> Column:
+        width = edges[i + 1] - edges[i]
+        value = F.shiftrightunsigned(fp, edges[i])
+        return value.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else value
+
     keys = []
-    for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-        mask = (1 << (high - low)) - 1
-        value = F.shiftrightunsigned("fp", low)
-        value = value.bitwiseAND(F.lit(mask)) if high - low < 64 else value
-        flips = [0] + [1 << j if j < 63 else -(1 << 63) for j in range(high - low)]
+    for i in range(parts):
+        flips = [0] + [1 << j if j < 63 else -(1 << 63) for j in range(edges[i + 1] - edges[i])]
+        value = segment(F.col("fp"), i)
         ball = F.array(*[value.bitwiseXOR(F.lit(x).cast("long")) for x in flips])
         keys.append(prints.select("fp", F.lit(i).alias("part"), F.explode(ball).alias("value")))
     table = keys[0]
@@ -83,9 +89,17 @@ def near_pairs(prints: DataFrame, bits: int = 4) -> DataFrame:
         table = table.unionByName(more)
     a, b = table.alias("a"), table.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits
+    here, earlier = F.lit(False), F.lit(True)
+    for i in range(parts):
+        mine = segment(F.col("a.fp"), i)
+        apart = mine.bitwiseXOR(segment(F.col("b.fp"), i))
+        lowest = F.when(apart == -(1 << 63), apart).otherwise(apart.bitwiseAND(-apart))
+        meet = (F.col("a.part") == i) & (F.col("a.value") == mine.bitwiseXOR(lowest))
+        here = here | (meet & earlier)
+        earlier = earlier & (F.bit_count(apart) > 2)
     same = (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value"))
-    found = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & near)
-    return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    found = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & near & here)
+    return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def near_groups(
