@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlab.llm import embedding_dedup, packing, secret_scan, simhash, training_order, url_reputation
+from decisionlab.llm import decontaminate, embedding_dedup, packing, quality_fm, secret_scan, simhash, toxicity_crf, training_order, url_reputation
+from decisionlab.llm.labelled import held_out
 from decisionlab.llm.url_reputation import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +108,37 @@ def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
 
 
+# Windows of 13 words with at most two that differ, found by the five positions 0, 1, 3, 6, 7 of a
+# seed, which two mismatches can never all hit.
+LEAKS_SQL = r"""
+WITH lists AS (
+  SELECT 'doc' AS side, doc_id AS id, regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10ffff}]+') AS w FROM documents
+  UNION ALL
+  SELECT 'item', item_id, regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10ffff}]+') FROM benchmark
+), texts AS (
+  SELECT side, id, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+  FROM lists WHERE len(w) >= 13
+), places AS (SELECT side, id, w, unnest(range(1, len(w) - 6)) AS i FROM texts
+), seeds AS (
+  SELECT side, id, i, concat_ws(' ', w[i], w[i + 1], w[i + 3], w[i + 6], w[i + 7]) AS seed FROM places
+), pairs AS (
+  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.i - o AS i, b.i - o AS j
+  FROM seeds d JOIN seeds b ON d.side = 'doc' AND b.side = 'item' AND d.seed = b.seed, range(6) AS offsets (o)
+)
+SELECT DISTINCT doc_id, item_id
+FROM pairs JOIN texts d ON d.side = 'doc' AND d.id = doc_id JOIN texts b ON b.side = 'item' AND b.id = item_id
+WHERE i >= 1 AND j >= 1 AND i + 12 <= len(d.w) AND j + 12 <= len(b.w)
+  AND list_sum(list_transform(range(13), lambda k: CASE WHEN d.w[i + k] = b.w[j + k] THEN 1 ELSE 0 END)) >= 11
+"""
+
+
+@query(LEAKS_SQL)
+def op2_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with a benchmark item, but for substituted words."""
+    found = decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id")
+
+
 @query()
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all documents' token sequences, written in a keyed order as binary shards."""
@@ -229,6 +261,34 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scored(found: DataFrame, threshold: float) -> DataFrame:
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that models may learn from: two thirds of all keys."""
+    return read(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+
+
+@query()
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = read(spark, sf_dir, "documents")
+    return scored(quality_fm.score(docs, quality_fm.train(docs, training_labels(spark, sf_dir))), 0.5)
+
+
+@query()
+def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = read(spark, sf_dir, "documents")
+    return scored(toxicity_crf.score(docs, toxicity_crf.train(docs, training_labels(spark, sf_dir))), 0.7)
+
+
 @query()
 def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked at a cosine of 0.93 or more."""
