@@ -10,6 +10,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,46 +67,44 @@ def shard_path(root: str, shard: int) -> str:
     return f"{root}/shard-{shard:06d}.bin"
 
 
-def write_shards(root: str, ids_per_record: int, width: int, slots_per_shard: int):
-    """Write rows that arrive by slot; a shard lies wholly in one task.
+class ShardWriter:
+    """Fixed-stride records of consecutive slots, one shard file at a time.
 
     A shard is written under a name of its own and moved into place when it is complete, so a
     task that runs twice, or dies, leaves whole shards only, and the same bytes.
     """
-    stride = HEADER.itemsize + width * ids_per_record
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = filesystem(root)
-        shard, out, temporary = None, None, ""
-
-        def finish() -> None:
-            if out is not None:
-                out.close()
-                fs.move(temporary, shard_path(folder, shard))
-
-        for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            rows = batch.column("ids").to_pylist()
-            crcs = []
-            for slot, ids in zip(slots.tolist(), rows, strict=True):
-                if slot // slots_per_shard != shard:
-                    finish()
-                    shard = slot // slots_per_shard
-                    temporary = f"{folder}/.{shard:06d}-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(temporary)
-                crcs.append(zlib.crc32(ids))
-                head = np.array([(len(ids) // width, crcs[-1])], HEADER).tobytes()
-                out.write((head + ids).ljust(stride, b"\0"))
-            names = [n for n in batch.schema.names if n != "ids"]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names],
-                 pa.array(slots // slots_per_shard), pa.array(slots % slots_per_shard * stride),
-                 pa.array(crcs, pa.int64())],
-                [*names, "shard", "byte_offset", "ids_crc32"],
-            )
-        finish()
-
-    return run
+    def __init__(self, root: str, ids_per_record: int, width: int, slots_per_shard: int):
+        self.fs, self.folder = filesystem(root)
+        self.width, self.slots_per_shard = width, slots_per_shard
+        self.stride = HEADER.itemsize + width * ids_per_record
+        self.slot, self.ids, self.shard, self.out, self.name = None, [], None, None, ""
+
+    def add(self, slot: int, ids: bytes) -> None:
+        """More ids for `slot`; slots come in order, and the pieces of one in their order."""
+        if slot != self.slot:
+            self.end_record()
+            if slot // self.slots_per_shard != self.shard:
+                self.end_shard()
+                self.shard = slot // self.slots_per_shard
+                self.name = f"{self.folder}/.{self.shard:06d}-{uuid.uuid4().hex}"
+                self.out = self.fs.open_output_stream(self.name)
+            self.slot = slot
+        self.ids.append(ids)
+
+    def end_record(self) -> None:
+        if self.ids:
+            ids = b"".join(self.ids)
+            head = np.array([(len(ids) // self.width, zlib.crc32(ids))], HEADER).tobytes()
+            self.out.write((head + ids).ljust(self.stride, b"\0"))
+            self.ids = []
+
+    def end_shard(self) -> None:
+        self.end_record()
+        if self.out is not None:
+            self.out.close()
+            self.fs.move(self.name, shard_path(self.folder, self.shard))
+            self.out = None
 
 
 def materialise(
@@ -122,19 +121,21 @@ def materialise(
 ) -> DataFrame:
     """Write all sequences of `docs` in training order and return their index.
 
-    A document's ids, closed by `end_id`, are cut into sequences of `ids_per_record`; the
-    last one may be shorter. All sequences are numbered in the order of the scan, and a
-    keyed permutation gives each number its slot. Shard s holds the slots from
-    s * `slots_per_shard` on, one fixed-stride record each, so slot t is found by arithmetic
-    and a reader goes on from any slot by one seek (`read_slots`). Index rows: `key`, `start`,
-    `length`, `slot`, `shard`, `byte_offset`, `ids_crc32`. Files: `path`, by default a new folder
-    in the shared folder, holds the shards, `index` and `layout` (both Parquet).
+    Every document's ids are closed by `end_id`. The tasks of the scan lay theirs end to end
+    and cut them into sequences of `ids_per_record`; only a task's last one may be shorter. All
+    sequences are numbered in the order of the scan, and a keyed permutation gives each number
+    its slot. Shard s holds the slots from s * `slots_per_shard` on, one fixed-stride record
+    each, so slot t is found by arithmetic and a reader goes on from any slot by one seek
+    (`read_slots`). Index rows, one per document and sequence: `key`, `start` (its document's
+    ids before it), `length`, `slot`, `offset` (ids before it in the record), `shard`, `byte_offset`
+    (of its first id in the shard), `ids_crc32`. Files: `path`, by default a new folder in the shared
+    folder, holds the shards, `index` and `layout` (both Parquet).
 
     The texts are tokenised once; the table of ids is written, and each of its tasks then
-    needs only how many sequences came before it, one number a task. The records are
-    shuffled once, straight to the task that writes their shard. A null or empty text is one
-    sequence with the end id alone. Null keys, repeated keys and repeated rows are documents of
-    their own. Other columns are not read. No documents: no shards, an empty index.
+    needs only how many sequences came before it, one number a task. The pieces are
+    shuffled once, straight to the task that writes their shard. A null or empty text is the end id
+    alone. Null keys, repeated keys and repeated rows are documents of their own. Other
+    columns are not read. No documents: no shards, an empty index.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_path()
@@ -152,10 +153,9 @@ def materialise(
                 ids, firsts = [], []
                 for words in part.column("text").to_pylist():
                     own = np.frombuffer(encode(words), "<u4")
-                    own = np.append(own, np.uint32(end_id)).astype(f"<u{width}")
-                    ids.append(own.tobytes())
+                    ids.append(np.append(own, np.uint32(end_id)).astype(f"<u{width}").tobytes())
                     firsts.append(first)
-                    first += -(-len(own) // ids_per_record)
+                    first += len(own) + 1
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array([worker] * len(ids), pa.int64()),
                      pa.array(firsts, pa.int64()), pa.array(ids, pa.binary())],
@@ -166,41 +166,63 @@ def materialise(
     ids_path = f"{path}/ids"
     rows.mapInArrow(tokenise, schema).write.option("compression", "zstd").parquet(ids_path)
     ids = spark.read.schema(schema).parquet(ids_path)
-    pieces = F.ceil(F.octet_length("ids") / F.lit(width * ids_per_record))
-    ends = ids.groupBy("worker").agg(F.max(F.col("first") + pieces).alias("n")).collect()
+    end = F.max(F.col("first") + F.octet_length("ids") / F.lit(width))
+    ends = ids.groupBy("worker").agg(F.ceil(end / ids_per_record).alias("n")).collect()
     before, total = {}, 0
     for worker, n in sorted(map(tuple, ends)):
         before[worker], total = total, total + n
     order = Permutation(total, seed)
-    size = width * ids_per_record
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         for batch in batches:
             for part in chunks(batch, "ids", CHUNK):
-                rows, starts, index, cuts = [], [], [], []
-                for i, (worker, first, own) in enumerate(
-                    zip(*(part.column(n).to_pylist() for n in ("worker", "first", "ids")), strict=True)
-                ):
-                    for j, s in enumerate(range(0, len(own), size)):
+                rows, starts, lengths, index, offsets, cuts = [], [], [], [], [], []
+                columns = [part.column(n).to_pylist() for n in ("worker", "first", "ids")]
+                for i, (worker, first, own) in enumerate(zip(*columns, strict=True)):
+                    n, at = len(own) // width, 0
+                    while at < n:
+                        sequence, offset = divmod(first + at, ids_per_record)
+                        length = min(n - at, ids_per_record - offset)
                         rows.append(i)
-                        starts.append(s // width)
-                        index.append(before[worker] + first + j)
-                        cuts.append(own[s : s + size])
+                        starts.append(at)
+                        lengths.append(length)
+                        index.append(before[worker] + sequence)
+                        offsets.append(offset)
+                        cuts.append(pack(own[width * at : width * (at + length)]))
+                        at += length
                 slots = order.slot(np.array(index, np.int64))
+                longs = [starts, lengths, slots, offsets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key").take(pa.array(rows, pa.int64())),
-                     pa.array(starts, pa.int64()),
-                     pa.array([len(c) // width for c in cuts], pa.int64()),
-                     pa.array(slots), pa.array(cuts, pa.binary())],
-                    ["key", "start", "length", "slot", "ids"],
+                     *[pa.array(x, pa.int64()) for x in longs], pa.array(cuts, pa.binary())],
+                    ["key", "start", "length", "slot", "offset", "ids"],
                 )
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        shards = ShardWriter(path, ids_per_record, width, slots_per_shard)
+        for batch in batches:
+            slots, offsets = batch.column("slot").to_numpy(), batch.column("offset").to_numpy()
+            crcs = []
+            for slot, own in zip(slots.tolist(), batch.column("ids").to_pylist(), strict=True):
+                own = unpack(own)
+                shards.add(slot, own)
+                crcs.append(zlib.crc32(own))
+            places = slots % slots_per_shard * shards.stride + HEADER.itemsize + width * offsets
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(slots // slots_per_shard), pa.array(places),
+                 pa.array(crcs, pa.int64())],
+                [*batch.schema.names[:-1], "shard", "byte_offset", "ids_crc32"],
+            )
+        shards.end_shard()
+
+    longs = "start long, length long, slot long, offset long"
     shards = max(1, -(-total // slots_per_shard))
-    placed = ids.mapInArrow(place, f"key {kind}, start long, length long, slot long, ids binary")
+    placed = ids.mapInArrow(place, f"key {kind}, {longs}, ids binary")
     dealt = placed.repartitionById(shards, F.floor(F.col("slot") / slots_per_shard).cast("int"))
-    index = dealt.sortWithinPartitions("slot").mapInArrow(
-        write_shards(path, ids_per_record, width, slots_per_shard),
-        f"key {kind}, start long, length long, slot long, shard long, byte_offset long, ids_crc32 long",
+    index = dealt.sortWithinPartitions("slot", "offset").mapInArrow(
+        write, f"key {kind}, {longs}, shard long, byte_offset long, ids_crc32 long"
     )
     index = index.withColumnRenamed("key", key)
     index.write.parquet(f"{path}/index")

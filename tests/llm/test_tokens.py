@@ -113,32 +113,39 @@ def check_order(spark, plain, rows, index, path, per_record):
     texts = defaultdict(list)
     for key, text in rows:
         texts[key].append([*ids_of(plain, text), 1])
-    n = len(got)
-    assert sorted(r.slot for r in got) == list(range(n))
-    assert n == sum(-(-len(x) // per_record) for some in texts.values() for x in some)
+    slots = {r.slot for r in got}
+    n = len(slots)
+    assert slots == set(range(n))
     read = list(training_order.read_slots(spark, path, 0, n + 5))
-    assert len(read) == n
-    back = Counter()
+    assert len(read) == n and all(0 < len(x) <= per_record for x in read)
+    back, held = Counter(), Counter()
     for r in got:
-        ids = read[r.slot].tolist()
-        assert len(ids) == r.length
-        assert any(x[r.start : r.start + per_record] == ids for x in texts[r.doc_id])
+        ids = read[r.slot][r.offset : r.offset + r.length].tolist()
+        assert len(ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(ids, "<u2").tobytes())
+        assert any(x[r.start : r.start + r.length] == ids for x in texts[r.doc_id])
         back[r.doc_id] += r.length
+        held[r.slot] += r.length
     assert back == Counter({k: sum(map(len, v)) for k, v in texts.items()})
+    assert held == Counter({i: len(x) for i, x in enumerate(read)})
     middle = n // 3
     again = [x.tolist() for x in training_order.read_slots(spark, path, middle, 9)]
     assert again == [x.tolist() for x in read[middle : middle + 9]]
+    return n
 
 
 def test_op3_round_trip(spark, plain, docs, tmp_path):
     path = f"file://{tmp_path}/order"
     df = spark.read.parquet(f"{SF}/documents.parquet")
     index = training_order.materialise(df, path=path, ids_per_record=128, slots_per_shard=100)
-    check_order(spark, plain, docs, index, path, 128)
-    assert len(glob.glob(f"{tmp_path}/order/shard-*.bin")) == -(-index.count() // 100)
+    n = check_order(spark, plain, docs, index, path, 128)
+    assert len(glob.glob(f"{tmp_path}/order/shard-*.bin")) == -(-n // 100)
+    with open(glob.glob(f"{tmp_path}/order/shard-000000.bin")[0], "rb") as f:
+        data = f.read()
+    for r in index.filter("shard = 0").collect():
+        assert zlib.crc32(data[r.byte_offset : r.byte_offset + 2 * r.length]) == r.ids_crc32
     rows = queries.QUERIES["op3_training_order"](spark, SF)
-    assert rows.columns == ["doc_id", "start", "length", "slot", "shard", "byte_offset", "ids_crc32"]
-    assert sorted(r.slot for r in rows.collect()) == list(range(rows.count()))
+    names = ["doc_id", "start", "length", "slot", "offset", "shard", "byte_offset", "ids_crc32"]
+    assert rows.columns == names and rows.agg({"length": "sum"}).first()[0] == index.agg({"length": "sum"}).first()[0]
 
 
 def test_training_order_edge_cases(spark, plain, tmp_path):
