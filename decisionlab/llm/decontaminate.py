@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisionlab.llm.bitmap import bitmap, holds
 from decisionlab.llm.text import chunks, mix, utf8, word_hashes
 from decisionlab.session import cut_lineage
 
@@ -19,8 +20,6 @@ MISMATCHES = 2
 # Word positions that a seed looks at; it ignores those between. Wherever the mismatches fall
 # in a window, one of the masks has a place in it that avoids them (tested for all pairs).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-# Bits of the filter that the seeds of all documents pass first: 8 MB for any benchmark.
-FILTER_BITS = 26
 # Stands for words before the beginning or after the end; never equal to another side's.
 OUTSIDE_DOC, OUTSIDE_ITEM = 0, 1
 
@@ -63,9 +62,7 @@ def found_seeds(
                 for number, mask in enumerate(masks):
                     seed, at = seeds(words, before, mask)
                     if bits is not None:
-                        place = seed >> np.uint64(64 - FILTER_BITS)
-                        byte = bits.value[(place >> np.uint64(3)).astype(np.int64)]
-                        hit = (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        hit = holds(bits.value, seed)
                         seed, at = seed[hit], at[hit]
                     for s in range(0, len(at), 1 << 15):
                         some = at[s : s + (1 << 15)]
@@ -87,20 +84,6 @@ def found_seeds(
     return rows.mapInArrow(run, f"key {kind}, at long, mask int, seed long, words array<long>")
 
 
-def seed_filter(spark: SparkSession, seeds_: DataFrame):
-    """A bitmap of the seeds' leading bits: at most 2^26 bits, whatever the benchmark's size."""
-    place = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-    rows = (
-        seeds_.select(place.alias("place"))
-        .groupBy((F.col("place") / F.lit(32768)).cast("long").alias("block"))
-        .agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bits"))
-    )
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for block, bits in rows.collect():
-        out[block * 4096 : block * 4096 + len(bits)] = np.frombuffer(bits, np.uint8)
-    return spark.sparkContext.broadcast(out)
-
-
 def overlap(a: Column, b: Column, span: int, window: int) -> Column:
     """Most equal words in any window that holds the seed and lies inside both texts."""
     same = F.zip_with(a, b, lambda x, y: F.when(
@@ -137,14 +120,13 @@ def overlaps(
     fewer words than `window`, empty and null ones overlap with nothing. Repeated rows and keys
     are merged by key, null being a key like any other. Other columns are not read.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item).alias("key"), F.col(item_text).alias("text"))
     known = cut_lineage(
         found_seeds(items, masks, window, OUTSIDE_ITEM)
         .select(F.col("key").alias("item"), "mask", "seed", F.col("words").alias("item_words"))
         .distinct()
     )
-    bits = seed_filter(spark, known)
+    bits = bitmap(known, "seed")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     hits = cut_lineage(found_seeds(rows, masks, window, OUTSIDE_DOC, bits))
     shared = hits.groupBy("mask", "seed", "words").agg(F.count("*").alias("n"))

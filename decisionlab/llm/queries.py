@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlab.llm import decontaminate, embedding_dedup, packing, quality_fm, secret_scan, simhash, toxicity_crf, training_order, url_reputation
+from decisionlab.llm import decontaminate, embedding_dedup, packing, quality_fm, secret_scan, simhash, suffix_dedup, toxicity_crf, training_order, url_reputation
 from decisionlab.llm.labelled import held_out
 from decisionlab.llm.url_reputation import Rule
 
@@ -289,6 +289,29 @@ def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(toxicity_crf.score(docs, toxicity_crf.train(docs, training_labels(spark, sf_dir))), 0.7)
 
 
+@query()
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that occur more than once."""
+    docs = read(spark, sf_dir, "documents")
+    found = suffix_dedup.repeats(docs, length=200).select(
+        "mark", "hash",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.octet_length("kept").cast("long").alias("n_kept"),
+        F.sha2("kept", 256).alias("sha256"),
+    ).dropDuplicates(["mark", "hash"])
+    words = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    whole = docs.select(
+        "doc_id", *suffix_dedup.row_marks("doc_id", "text"),
+        F.octet_length(words).cast("long").alias("n_bytes"), F.sha2(words, 256).alias("whole"),
+    )
+    return whole.join(found, ["mark", "hash"], "left").select(
+        "doc_id", "n_bytes",
+        (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
+        F.coalesce("sha256", "whole").alias("kept_sha256"),
+    )
+
+
 @query()
 def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked at a cosine of 0.93 or more."""
