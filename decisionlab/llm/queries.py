@@ -317,3 +317,11 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked at a cosine of 0.93 or more."""
     links = embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.93)
     return links.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over `documents`."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

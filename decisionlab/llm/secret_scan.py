@@ -190,11 +190,12 @@ def cutoffs(scanned: DataFrame, rate: float) -> dict[str, int]:
 
 
 def scan(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", *, rate: float = 0.01, keep: tuple[str, ...] = ()
+    docs: DataFrame, key: str = "doc_id", text: str = "text", *, rate: float = 0.01,
+    keep: tuple[str, ...] = (), name: str = "spans",
 ) -> DataFrame:
     """Spans of secrets in every whole text: one row per row of `docs`.
 
-    Returns `key`, the columns named in `keep`, and `spans`, an array of (start, rank, end, kind)
+    Returns `key`, the columns named in `keep`, and `name`, an array of (start, rank, end, kind)
     sorted by start and then kind, in code points with the end exclusive. Kinds `assign`,
     `access` and `hex` are the base patterns. Kind `random` is a run of at least 24 letters,
     digits and +/_- in the alphabet of some encoding that the randomness tests tell
@@ -233,10 +234,11 @@ def scan(
         x["end"].alias("end"), F.lit("random").alias("kind"),
     ))
     spans = F.array_sort(F.concat("base", random.cast(SPANS)))
-    return scanned.select(
+    # A step of its own: names that the caller chose must not stand beside those used above.
+    return scanned.withColumn("all_spans", spans).select(
         F.col("row.key").alias(key),
         *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep)],
-        spans.alias("spans"),
+        F.col("all_spans").alias(name),
     )
 
 

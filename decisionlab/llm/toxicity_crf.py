@@ -231,6 +231,38 @@ def train(
     ))
 
 
+SPANS = "array<struct<start:bigint,end:bigint,marginal:double>>"
+
+
+def tag(model: Model, column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Scores of the texts of a column, and their toxic spans in code points."""
+    data, ends = utf8(column)
+    buckets, before, (start, end, first) = features(data, ends)
+    if model.usable and len(first):
+        marginal = chain(model, model.weights[buckets].sum(axis=0, dtype=np.float64), first)
+    else:
+        marginal = np.zeros(len(first))
+    found = sigmoid(document_features(marginal, before) @ model.document)
+    tagged = marginal >= 0.5
+    runs = np.flatnonzero(tagged & (first | ~np.concatenate([[False], tagged[:-1]])))
+    stops = np.flatnonzero(tagged & np.concatenate([first[1:] | ~tagged[1:], [True]]))
+    most = np.zeros(0)
+    if len(runs):
+        bounds = np.stack([runs, stops + 1], 1).ravel()[: 2 * len(runs) - 1]
+        most = np.maximum.reduceat(marginal, bounds)[::2]
+    # Code points before a byte, counted from the beginning of its text.
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    text = np.searchsorted(before, runs, side="right") - 1
+    origin = points[ends[text]]
+    spans = pa.StructArray.from_arrays(
+        [pa.array(points[start[runs]] - origin, pa.int64()),
+         pa.array(points[end[stops]] - origin, pa.int64()), pa.array(most)],
+        ["start", "end", "marginal"],
+    )
+    places = pa.array(np.searchsorted(text, np.arange(len(ends))), pa.int32())
+    return found, pa.ListArray.from_arrays(places, spans)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Tag every word of every whole text: one row per row of `docs`.
 
@@ -240,38 +272,27 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     document without toxic words. Where the sample had no labels of both kinds, every score
     is one half. Repeated rows and null keys are scored row by row. Other columns are not read.
     """
-    span = "struct<start:bigint,end:bigint,marginal:double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
-                data, ends = utf8(part.column("text"))
-                buckets, before, (start, end, first) = features(data, ends)
-                if model.usable and len(first):
-                    marginal = chain(model, model.weights[buckets].sum(axis=0, dtype=np.float64), first)
-                else:
-                    marginal = np.zeros(len(first))
-                found = sigmoid(document_features(marginal, before) @ model.document)
-                tagged = marginal >= 0.5
-                runs = np.flatnonzero(tagged & (first | ~np.concatenate([[False], tagged[:-1]])))
-                stops = np.flatnonzero(tagged & np.concatenate([first[1:] | ~tagged[1:], [True]]))
-                # Code points before a byte, counted from the beginning of its text.
-                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                text = np.searchsorted(before, runs, side="right") - 1
-                origin = points[ends[text]]
-                most = np.maximum.reduceat(marginal, np.stack([runs, stops + 1], 1).ravel()[: 2 * len(runs) - 1])[::2] if len(runs) else np.zeros(0)
-                spans = pa.StructArray.from_arrays(
-                    [pa.array(points[start[runs]] - origin, pa.int64()),
-                     pa.array(points[end[stops]] - origin, pa.int64()), pa.array(most)],
-                    ["start", "end", "marginal"],
-                )
-                places = pa.array(np.searchsorted(text, np.arange(len(ends))), pa.int32())
+                found, spans = tag(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(found), pa.ListArray.from_arrays(places, spans)],
-                    ["key", "score", "spans"],
+                    [part.column("key"), pa.array(found), spans], ["key", "score", "spans"]
                 )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    tagged = rows.mapInArrow(run, f"key {kind}, score double, spans array<{span}>")
-    return tagged.withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, score double, spans {SPANS}").withColumnRenamed("key", key)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below `threshold`; see `score`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text, CHUNK):
+                found, _ = tag(model, part.column(text))
+                yield part.filter(pa.array(found < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
