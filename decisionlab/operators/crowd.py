@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from decisionlab import dims
 from decisionlab.functions import columns as C
 from decisionlab.operators.ordered import (
-    HOT_ROWS,
-    has_hot_key,
     latest_by,
     number_rows,
     running,
@@ -17,8 +15,6 @@ from decisionlab.operators.ordered import (
 )
 
 
-# Most coin entries one vote can earn: made, first, right, early, contrarian, streak.
-ENTRIES_PER_VOTE = 6
 # A coin entry names its vote: with the reason, `seq` makes it unique.
 ENTRY_KEYS = ["user", "event_id", "seq"]
 
@@ -111,12 +107,7 @@ def scored_votes(votes: DataFrame, outcomes: DataFrame) -> DataFrame:
     return joined.withColumn("correct", F.col("label") == F.col("outcome"))
 
 
-def hot_users(votes: DataFrame, rows_per_vote: int = 1) -> bool:
-    """Whether a user's votes yield too many rows for one task; counts the votes, not the rows."""
-    return has_hot_key(votes, ["user"], HOT_ROWS // rows_per_vote)
-
-
-def streaks(scored: DataFrame, hot: bool | None = None) -> DataFrame:
+def streaks(scored: DataFrame) -> DataFrame:
     """Current and best run of right votes per user, in order of decision.
 
     A wrong vote starts the next run, so the running count of wrong votes names the run and
@@ -124,28 +115,23 @@ def streaks(scored: DataFrame, hot: bool | None = None) -> DataFrame:
     """
     rows = scored.select("user", "event_id", "decided_at", "correct")
     wrong = F.when(F.col("correct"), 0).otherwise(1).cast("long")
-    runs = running(
-        rows, ["user"], ["decided_at", "event_id"], sums={"run": wrong}, hot=hot
-    )
+    runs = running(rows, ["user"], ["decided_at", "event_id"], sums={"run": wrong})
     lengths = runs.groupBy("user", "run").agg(F.count_if("correct").alias("length"))
     return lengths.groupBy("user").agg(
         F.max_by("length", "run").alias("current"), F.max("length").alias("best")
     )
 
 
-def streak_bonuses(scored: DataFrame, hot: bool | None = None) -> DataFrame:
+def streak_bonuses(scored: DataFrame) -> DataFrame:
     """A coin entry each time a run of right votes reaches one of the rewarded lengths."""
     order = ["decided_at", "event_id"]
     rows = scored.select("user", "event_id", "seq", "decided_at", "correct")
-    placed = running(
-        rows, ["user"], order, sums={"_rn": F.lit(1).cast("long")}, hot=hot
-    )
+    placed = running(rows, ["user"], order, sums={"_rn": F.lit(1).cast("long")})
     since = running(
         placed,
         ["user"],
         order,
         lasts={"_miss": F.when(~F.col("correct"), F.col("_rn"))},
-        hot=hot,
     )
     length = F.col("_rn") - F.coalesce("_miss", F.lit(0))
     reward = None
@@ -167,16 +153,12 @@ def _entry(rule: str, at: Column) -> Column:
     )
 
 
-def coin_events(
-    votes: DataFrame, outcomes: DataFrame, hot: bool | None = None
-) -> DataFrame:
+def coin_events(votes: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Every coin entry the rules credit for the given accepted votes.
 
     Each vote earns its reward when it is made, the first one a welcome bonus. The final
     vote on a decided event can earn rewards for being right, early or against the crowd.
     """
-    if hot is None:
-        hot = hot_users(votes)
     first = first_votes(votes)
     made = votes.select(*ENTRY_KEYS, _entry("PREDICTION_MADE", F.col("created_at")).alias("_c"))
     welcome = first.select(
@@ -204,7 +186,7 @@ def coin_events(
     found = F.array_compact(F.array(*[F.when(test, _entry(rule, at)) for test, rule in rules]))
     judged = scored.join(crowd, "event_id").select(*ENTRY_KEYS, F.explode(found).alias("_c"))
     rows = made.unionByName(welcome).unionByName(judged)
-    bonuses = streak_bonuses(scored, hot)
+    bonuses = streak_bonuses(scored)
     return rows.select(*ENTRY_KEYS, "_c.*").unionByName(bonuses)
 
 
@@ -214,14 +196,10 @@ def first_votes(votes: DataFrame) -> DataFrame:
     return votes.groupBy("user").agg(first.alias("_v")).select("user", "_v.*")
 
 
-def coin_balance(entries: DataFrame, hot: bool | None = None) -> DataFrame:
-    """Coin entries with the user's balance after each.
-
-    A vote yields at most `ENTRIES_PER_VOTE` entries, so `hot_users(votes, ENTRIES_PER_VOTE)`
-    settles `hot` without working out the entries twice.
-    """
+def coin_balance(entries: DataFrame) -> DataFrame:
+    """Coin entries with the user's balance after each."""
     order = ["ts", "event_id", "reason", "seq"]
-    return running(entries, ["user"], order, sums={"balance": F.col("amount")}, hot=hot)
+    return running(entries, ["user"], order, sums={"balance": F.col("amount")})
 
 
 def coin_tier(entries: DataFrame) -> DataFrame:

@@ -1,13 +1,13 @@
 """Tamper evidence and data quality: digests, seals, hash chains, audits and diffs.
 
 Hashing is sequential, so long runs of lines are hashed in blocks of bounded size, and the
-block hashes are hashed the same way until one is left. A ledger, or a key, that fits one
-block gives exactly the plain digest or chain.
+block hashes are hashed the same way until one is left. The block length is part of the
+definition, which is the same for any number of lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisionlab.functions import columns as C
@@ -38,26 +38,38 @@ def write_canonical(ledger: DataFrame, path: str) -> None:
 
 
 def ledger_digest(lines: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
-    """SHA-256 over the lines in `seq` order, joined by newlines.
+    """A tree hash of the lines in `seq` order.
 
-    Up to `block` lines are hashed as one text. Beyond that the hashes of blocks of `block`
-    lines become the lines of the next level, until one hash is left.
+    Level 1 hashes each `block` lines, joined by newlines, behind the word `lines`; every
+    further level does so with the hashes of the level below, behind the word `hashes`, until
+    one hash is left (of no lines, the empty text). The digest is the hash of `ledger`, the number of
+    lines and that hash, so it is never the plain hash of the text (`plain_digest`).
     """
-    level = number_rows(lines.select("seq", "line"), ["seq"], "n")
+    level = cut_lineage(number_rows(lines.select("seq", "line"), ["seq"], "n"))
     count = level.count()
-    while True:
+    total, word = count, "lines"
+    while word == "lines" or count > 1:
         count = -(-count // block)
-        level = _hash_blocks(level, block)
-        if count <= 1:
-            return level.select(F.col("line").alias("digest"))
+        level, word = _hash_blocks(level, block, word), "hashes"
+    top = F.coalesce(F.max("line"), F.lit(""))
+    text = F.concat(F.lit(f"ledger\n{total}\n"), top)
+    return level.agg(C.sha256(text).alias("digest"))
 
 
-def _hash_blocks(level: DataFrame, block: int) -> DataFrame:
+def plain_digest(lines: DataFrame) -> DataFrame:
+    """SHA-256 of all lines in `seq` order, joined by newlines: for ledgers that fit one task."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", "line")))
+    text = F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
+    return lines.agg(C.sha256(text).alias("digest"))
+
+
+def _hash_blocks(level: DataFrame, block: int, word: str) -> DataFrame:
     """One (n, line) per block of lines; a block never holds more than `block`."""
     rows = F.array_sort(F.collect_list(F.struct("n", "line")))
     text = F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
     number = F.floor((F.col("n") - 1) / block) + 1
-    return level.groupBy(number.alias("b")).agg(C.sha256(text).alias("line")).select(
+    hashed = C.sha256(F.concat(F.lit(f"{word}\n"), text))
+    return level.groupBy(number.alias("b")).agg(hashed.alias("line")).select(
         F.col("b").alias("n"), "line"
     )
 
@@ -70,17 +82,14 @@ def verify_seals(records: DataFrame) -> DataFrame:
     )
 
 
-def build_chain(
-    df: DataFrame, key: str, block: int = CHAIN_BLOCK, hot: bool | None = None
-) -> DataFrame:
+def build_chain(df: DataFrame, key: str, block: int = CHAIN_BLOCK) -> DataFrame:
     """Chain the lines of each key in `seq` order: h(i) = sha256(h(i-1) + line(i)).
 
-    Every `block` lines a new chain starts, so a busy key is hashed by many tasks;
-    `chain_heads` binds the chains of a key together.
+    Every `block` lines, numbered in the output, a new chain starts from nothing, so a busy key
+    is hashed by many tasks; `chain_heads` binds the chains of a key together.
     """
     numbered = running(
-        df.select(key, "seq", "line"), [key], ["seq"],
-        sums={"n": F.lit(1).cast("long")}, hot=hot,
+        df.select(key, "seq", "line"), [key], ["seq"], sums={"n": F.lit(1).cast("long")}
     )
     rows = F.array_sort(F.collect_list(F.struct("n", "seq", "line")))
     blocks = numbered.groupBy(key, F.floor((F.col("n") - 1) / block).alias("block")).agg(
@@ -102,32 +111,36 @@ def _chain(lines: Column) -> Column:
 
 
 def chain_heads(chain: DataFrame, key: str, block: int = CHAIN_BLOCK) -> DataFrame:
-    """The head hash of each key: the ends of its chains are chained again until one is left."""
+    """The head hash of each key.
+
+    The last hashes of a key's chains are the lines of the next level, chained in blocks of the
+    same length; there is at least one such level, and levels follow until one hash is left.
+    """
     ends = chain.groupBy(key, "block").agg(F.max_by("hash", "n").alias("line"))
     # One row per chain; written once, since the depth is read from it first.
     level = cut_lineage(ends)
-    longest = level.agg(F.max("block")).first()[0] or 0
-    while longest > 0:
+    left = (level.agg(F.max("block")).first()[0] or 0) + 1
+    first = True
+    while first or left > 1:
         rows = F.array_sort(F.collect_list(F.struct("block", "line")))
         joined = level.groupBy(key, F.floor(F.col("block") / block).alias("up")).agg(
-            rows.alias("rows")
+            rows.alias("rows"), F.max(F.max("block")).over(Window.partitionBy(key)).alias("last")
         )
-        ends = F.element_at(_chain(F.transform("rows", lambda r: r["line"])), -1)
-        # A key with one chain keeps its end, so that a short key's head is its last hash.
-        end = F.when(
-            (F.size("rows") == 1) & (F.col("up") == 0), F.col("rows")[0]["line"]
-        ).otherwise(ends)
+        end = F.element_at(_chain(F.transform("rows", lambda r: r["line"])), -1)
+        if not first:
+            # Keys that are down to one hash are done.
+            end = F.when(F.col("last") == 0, F.col("rows")[0]["line"]).otherwise(end)
         level = joined.select(key, F.col("up").alias("block"), end.alias("line"))
-        longest //= block
+        left, first = -(-left // block), False
     return level.select(key, F.col("line").alias("head"))
 
 
-def verify_chain(records: DataFrame, key: str, hot: bool | None = None) -> DataFrame:
+def verify_chain(records: DataFrame, key: str) -> DataFrame:
     """Whether each record names the hash of the record before it; the first names none."""
     before = running(
         records, [key], ["ts", "id"],
         lasts={"_before": F.struct(F.col("hash").alias("h"))},
-        include_current=False, hot=hot,
+        include_current=False,
     )
     expected = F.col("_before")["h"]
     return before.withColumn("expected_hash", expected).withColumn(

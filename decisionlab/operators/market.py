@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from decisionlab import dims
 from decisionlab.functions import columns as C
-from decisionlab.operators.ordered import has_hot_key, latest_by, running
+from decisionlab.operators.ordered import latest_by, running
 
 
 def enrich(
@@ -37,7 +37,6 @@ def price_asof(
     quotes: DataFrame,
     *,
     strict: bool = False,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Each prediction with the last quote of its ticker at or before its time.
 
@@ -45,10 +44,6 @@ def price_asof(
     have `ticker`, `ts`, `price`. The two are merged in time order and the last price is
     carried forward, so no pairs are formed.
     """
-    if hot is None:
-        # The rows of both inputs bound those of the merged table, and cost no join to count.
-        tickers = predictions.select("ticker").unionAll(quotes.select("ticker"))
-        hot = has_hot_key(tickers, ["ticker"])
     before, after = (0, 1) if strict else (1, 0)
     price = F.struct("price", F.col("ts").alias("quote_ts"))
     asked = predictions.select(
@@ -64,9 +59,7 @@ def price_asof(
         price.alias("q"), F.lit(after).alias("side"),
     )
     merged = asked.withColumn("ts", F.col("ts").cast("timestamp")).unionByName(known)
-    carried = running(
-        merged, ["ticker"], ["ts", "side", "id"], lasts={"last": F.col("q")}, hot=hot
-    )
+    carried = running(merged, ["ticker"], ["ts", "side", "id"], lasts={"last": F.col("q")})
     return carried.filter(F.col("side") == before).select(
         "id", "ticker", "ts", "last.price", "last.quote_ts"
     )

@@ -1,22 +1,20 @@
 """Running values over ordered rows that stay distributed when a key is hot.
 
-A plain window sorts all rows of one key in one task. `running` does that only after
-checking that the largest key is small. Otherwise, and always when there is no key, it cuts
-the ordered rows into range partitions, computes each partition on its own and adds what
-the earlier partitions of the same key carry over.
+A plain window sorts all rows of one key in one task. `running` cuts the rows of a key into
+parts by the first column of their order (months, stretches of numbers), sums each part, runs over
+those few sums and hands every part what the earlier ones carry, as a row in front of its
+own. Without keys the ordered rows are cut into range partitions instead.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisionlab.session import cut_lineage
 
-# Most rows of one key that a single task sorts.
-HOT_ROWS = 2_000_000
+# Neighbouring whole numbers of an order that lie in one part.
+STRETCH = 4096
 
 
 def ordering(names: list[str]) -> list[Column]:
@@ -24,10 +22,14 @@ def ordering(names: list[str]) -> list[Column]:
     return [F.col(n[1:]).desc() if n.startswith("-") else F.col(n).asc() for n in names]
 
 
-def has_hot_key(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> bool:
-    """True when some key has more than `limit` rows (a map-side combined count)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") > limit).limit(1).count() > 0
+def part_of(df: DataFrame, name: str) -> Column:
+    """What rows that are neighbours in the order of a column have in common."""
+    kind = df.schema[name].dataType.typeName()
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.date_trunc("month", F.col(name))
+    if kind == "string":
+        return F.substring(name, 1, 2)
+    return F.floor(F.col(name) / STRETCH)
 
 
 def running(
@@ -38,40 +40,30 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     include_current: bool = True,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Add running sums and last non-null values per key in the given order.
 
     `keys` plus `order` must identify a row. With `include_current=False` the values are
     those before the row. `lasts` needs an ascending order. `sums` of `lit(1)` numbers rows.
-    `hot` says whether some key is too large for one task; unset, the rows are counted first.
     """
     sums, lasts = sums or {}, lasts or {}
     end = 0 if include_current else -1
-    if keys and hot is None:
-        hot = has_hot_key(df, keys)
-    if keys and not hot:
-        w = Window.partitionBy(*keys).orderBy(*ordering(order)).rowsBetween(
-            Window.unboundedPreceding, end
-        )
-        return df.select("*", *_window_values(w, sums, lasts))
+    if keys:
+        return _in_parts(df, keys, order, sums, lasts, end)
 
     # Adaptive execution may merge neighbouring ranges when the rows are few; the numbers
     # written beside the rows are those of the ranges that were in fact made.
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *ordering(order))
+    ranged = df.repartitionByRange(*ordering(order))
     cut = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
 
-    w = Window.partitionBy(*keys, "_part").orderBy(*ordering(order)).rowsBetween(
+    w = Window.partitionBy("_part").orderBy(*ordering(order)).rowsBetween(
         Window.unboundedPreceding, end
     )
     local = cut.select("*", *_window_values(w, sums, lasts))
-    carry = _carry(cut, keys, order, sums, lasts)
+    carry = _carry(cut, order, sums, lasts)
 
-    # Rows arrive in range order, so two neighbouring partitions share at most one key and
     # `carry` has fewer rows than there are partitions: safe to broadcast.
-    same = [local["_part"] == carry["_c_part"]]
-    same += [local[k].eqNullSafe(carry[f"_k_{k}"]) for k in keys]
-    joined = local.join(F.broadcast(carry), reduce(lambda a, b: a & b, same), "left")
+    joined = local.join(F.broadcast(carry), local["_part"] == carry["_c_part"], "left")
     kept = [local[c] for c in df.columns]
     values = [
         (local[n] + F.coalesce(carry[f"_c_{n}"], F.lit(0))).cast(local.schema[n].dataType).alias(n)
@@ -81,26 +73,58 @@ def running(
     return joined.select(*kept, *values)
 
 
+def _in_parts(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, Column],
+    lasts: dict[str, Column],
+    end: int,
+) -> DataFrame:
+    """Running values by parts of each key: only sums of parts meet in one task per key."""
+    first = order[0].lstrip("-")
+    taken = {f"_v_{n}": e for n, e in (sums | lasts).items()}
+    rows = df.withColumns({"_part": part_of(df, first), "_row": F.lit(1), **taken})
+    place = F.struct(*[n.lstrip("-") for n in order])
+    totals = [F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums]
+    totals += [
+        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_v_{n}")
+        for n in lasts
+    ]
+    parts = rows.groupBy(*keys, "_part").agg(*totals)
+    way = F.col("_part").desc() if order[0].startswith("-") else F.col("_part").asc()
+    before = Window.partitionBy(*keys).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(
+        *keys, "_part", F.lit(0).alias("_row"),
+        *[F.sum(f"_v_{n}").over(before).alias(f"_v_{n}") for n in sums],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(before).alias(f"_v_{n}") for n in lasts],
+    )
+    kinds = {f"_v_{n}": F.col(f"_v_{n}").cast(carry.schema[f"_v_{n}"].dataType) for n in sums}
+    both = rows.withColumns(kinds).unionByName(carry, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_part").orderBy("_row", *ordering(order)).rowsBetween(
+        Window.unboundedPreceding, end
+    )
+    values = _window_values(
+        w, {n: F.col(f"_v_{n}") for n in sums}, {n: F.col(f"_v_{n}") for n in lasts}
+    )
+    return both.select("*", *values).filter("_row = 1").select(*df.columns, *sums, *lasts)
+
+
 def _window_values(w, sums: dict[str, Column], lasts: dict[str, Column]) -> list[Column]:
     out = [F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in sums.items()]
     return out + [F.last(e, ignorenulls=True).over(w).alias(n) for n, e in lasts.items()]
 
 
 def _carry(
-    cut: DataFrame,
-    keys: list[str],
-    order: list[str],
-    sums: dict[str, Column],
-    lasts: dict[str, Column],
+    cut: DataFrame, order: list[str], sums: dict[str, Column], lasts: dict[str, Column]
 ) -> DataFrame:
-    """What each (key, partition) receives from the key's earlier partitions."""
+    """What each range partition receives from the earlier ones."""
     place = F.struct(*order) if lasts else None
     totals = [F.sum(e).alias(n) for n, e in sums.items()]
     totals += [F.max_by(e, F.when(e.isNotNull(), place)).alias(n) for n, e in lasts.items()]
-    edges = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), *totals)
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *totals)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return edges.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_part").alias("_c_part"),
         F.count("_n").over(before).alias("_before"),
         *[F.sum(n).over(before).alias(f"_c_{n}") for n in sums],

@@ -307,9 +307,7 @@ def _derived(events: DataFrame, rules: dict[str, Column]) -> DataFrame:
     )
 
 
-def prior_history(
-    events: DataFrame, key: str = "drug", hot: bool | None = None
-) -> DataFrame:
+def prior_history(events: DataFrame, key: str = "drug") -> DataFrame:
     """Per event: the entity's last earlier rejection, how many so far, whole years since."""
     rejected = F.col("outcome") == "CRL"
     out = running(
@@ -319,7 +317,6 @@ def prior_history(
         sums={"prior_rejections": F.when(rejected, 1).otherwise(0).cast("long")},
         lasts={"last_rejection": F.when(rejected, F.col("event_date"))},
         include_current=False,
-        hot=hot,
     )
     last, day = F.col("last_rejection"), F.col("event_date")
 
@@ -332,15 +329,13 @@ def prior_history(
     )
 
 
-def decay_signal(
-    events: DataFrame, weights: DataFrame, key: str = "drug", hot: bool | None = None
-) -> DataFrame:
+def decay_signal(events: DataFrame, weights: DataFrame, key: str = "drug") -> DataFrame:
     """The time-decay signal and weight of events that follow an earlier rejection."""
     years = F.col("years_since")
     name = F.lit(dims.DECAY_SIGNALS[0][1])
     for least, signal in dims.DECAY_SIGNALS[1:]:
         name = F.when(years >= least, signal).otherwise(name)
-    after = prior_history(events, key, hot).filter(F.col("last_rejection").isNotNull())
+    after = prior_history(events, key).filter(F.col("last_rejection").isNotNull())
     return after.select(
         "event_id", key, "last_rejection", "years_since", name.alias("signal")
     ).join(weights.select("signal", "weight"), "signal", "left")

@@ -90,12 +90,24 @@ def canonical_ledger(spark, sf_dir):
     return I.canonical_ledger(B.ledger(spark, sf_dir))
 
 
-@query("""
-SELECT sha256(string_agg(digest, chr(10) ORDER BY b)) AS digest FROM (
-  SELECT (n - 1) // 1000 AS b, sha256(string_agg(line, chr(10) ORDER BY n)) AS digest
-  FROM (SELECT line, row_number() OVER (ORDER BY seq) AS n FROM canon) GROUP BY 1)""", "canon")
+# Small blocks, so that any table has several levels and most tickers several chains.
+DIGEST_LINES, CHAIN_LINES = 10, 4
+
+
+@query(f"""
+WITH RECURSIVE tree AS (
+  SELECT 0 AS level, n, line, count(*) OVER () AS total
+  FROM (SELECT line, row_number() OVER (ORDER BY seq) AS n FROM canon)
+  UNION ALL
+  SELECT level + 1, b, line, count(*) OVER () FROM (
+    SELECT level, (n - 1) // {DIGEST_LINES} + 1 AS b,
+      sha256(CASE WHEN level = 0 THEN 'lines' ELSE 'hashes' END || chr(10)
+        || string_agg(line, chr(10) ORDER BY n)) AS line
+    FROM tree WHERE level = 0 OR total > 1 GROUP BY 1, 2))
+SELECT sha256('ledger' || chr(10) || (SELECT count(*) FROM canon) || chr(10)
+  || arg_max(line, level)) AS digest FROM tree""", "canon")
 def ledger_digest(spark, sf_dir):
-    return I.ledger_digest(I.canonical_ledger(B.ledger(spark, sf_dir)))
+    return I.ledger_digest(I.canonical_ledger(B.ledger(spark, sf_dir)), DIGEST_LINES)
 
 
 @query("SELECT event_id, event_id % 9 <> 0 AS sealed FROM flags", "flags")
@@ -105,28 +117,40 @@ def verify_seals(spark, sf_dir):
 
 
 def _chain(spark, sf_dir):
-    """The lines are stored first: they are counted per ticker, then chained."""
-    return I.build_chain(cut_lineage(B.chain_lines(spark, sf_dir)), "ticker")
+    return I.build_chain(B.chain_lines(spark, sf_dir), "ticker", CHAIN_LINES)
 
 
-CHAIN = """
+CHAIN = f"""
   WITH RECURSIVE numbered AS (
     SELECT ticker, seq, line, row_number() OVER (PARTITION BY ticker ORDER BY seq) AS n FROM canon),
   chain AS (
-    SELECT ticker, seq, n, sha256(line) AS hash FROM numbered WHERE n = 1
+    SELECT ticker, seq, n, sha256(line) AS hash FROM numbered WHERE n % {CHAIN_LINES} = 1
     UNION ALL
     SELECT x.ticker, x.seq, x.n, sha256(c.hash || x.line)
-    FROM chain c JOIN numbered x ON x.ticker = c.ticker AND x.n = c.n + 1)"""
+    FROM chain c JOIN numbered x ON x.ticker = c.ticker AND x.n = c.n + 1
+    WHERE x.n % {CHAIN_LINES} <> 1)"""
 
 
-@query(f"SELECT * FROM ({CHAIN} SELECT ticker, seq, n, hash FROM chain)", "canon")
+@query(f"""
+SELECT *, (n - 1) // {CHAIN_LINES} AS block FROM ({CHAIN} SELECT ticker, seq, n, hash FROM chain)""", "canon")
 def build_chain(spark, sf_dir):
-    return _chain(spark, sf_dir).select("ticker", "seq", "n", "hash")
+    return _chain(spark, sf_dir).select("ticker", "seq", "n", "hash", "block")
 
 
-@query(f"SELECT * FROM ({CHAIN} SELECT ticker, arg_max(hash, n) AS head FROM chain GROUP BY 1)", "canon")
+@query(f"""
+WITH RECURSIVE ends AS (
+  SELECT ticker, (n - 1) // {CHAIN_LINES} AS block, arg_max(hash, n) AS line
+  FROM ({CHAIN} SELECT ticker, n, hash FROM chain) GROUP BY 1, 2),
+up AS (
+  SELECT 0 AS level, ticker, block, line, count(*) OVER (PARTITION BY ticker) AS total FROM ends
+  UNION ALL
+  SELECT level + 1, ticker, b, line, count(*) OVER (PARTITION BY ticker) FROM (
+    SELECT level, ticker, block // {CHAIN_LINES} AS b,
+      list_reduce(list_prepend('', list(line ORDER BY block)), lambda h, x: sha256(h || x)) AS line
+    FROM up WHERE level = 0 OR total > 1 GROUP BY 1, 2, 3))
+SELECT ticker, arg_max(line, level) AS head FROM up GROUP BY 1""", "canon")
 def chain_heads(spark, sf_dir):
-    return I.chain_heads(_chain(spark, sf_dir), "ticker")
+    return I.chain_heads(_chain(spark, sf_dir), "ticker", CHAIN_LINES)
 
 
 RECORDS = """

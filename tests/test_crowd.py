@@ -107,26 +107,23 @@ def test_no_scored_votes_means_zero(spark, outcomes):
     assert (r.total_predictions, r.scored_predictions, r.accuracy_pct, r.points) == (1, 0, 0.0, 0)
 
 
-@pytest.mark.parametrize("hot", [None, True])
-def test_streaks(spark, votes, outcomes, hot):
+def test_streaks(spark, votes, outcomes):
     scored = K.scored_votes(K.current_votes(votes), outcomes)
-    got = {r.user: (r.current, r.best) for r in K.streaks(scored, hot).collect()}
+    got = {r.user: (r.current, r.best) for r in K.streaks(scored).collect()}
     assert got == loop_streaks(make_votes())
 
 
-@pytest.mark.parametrize("hot", [None, True])
-def test_streak_bonuses(spark, hot):
+def test_streak_bonuses(spark):
     data = [("u", e, e + 100, START + timedelta(days=e), e not in (4, 9)) for e in range(25)]
     df = spark.createDataFrame(
         data, "user string, event_id long, seq long, decided_at timestamp, correct boolean"
     )
-    assert rows(K.streak_bonuses(df, hot), "event_id", "reason") == sorted(
+    assert rows(K.streak_bonuses(df), "event_id", "reason") == sorted(
         [(2, "STREAK_3"), (7, "STREAK_3"), (12, "STREAK_3"), (14, "STREAK_5"), (19, "STREAK_10")], key=repr)
 
 
-@pytest.mark.parametrize("hot", [None, True])
-def test_coins(spark, votes, outcomes, hot):
-    entries = K.coin_events(votes, outcomes, hot)
+def test_coins(spark, votes, outcomes):
+    entries = K.coin_events(votes, outcomes)
     total = {r.reason: r.n for r in entries.groupBy("reason").agg(F.count("*").alias("n")).collect()}
     data = make_votes()
     assert total["PREDICTION_MADE"] == len(data)
@@ -136,7 +133,7 @@ def test_coins(spark, votes, outcomes, hot):
     assert total["CORRECT_BINARY"] == sum(decided[v[2]][0] == v[3] for v in final)
     early = sum((decided[v[2]][1].date() - v[4].date()).days >= 14 for v in final)
     assert total.get("EARLY_BIRD", 0) == early
-    balance = K.coin_balance(entries, hot)
+    balance = K.coin_balance(entries)
     ends = {r.user: r.b for r in balance.groupBy("user").agg(F.max("balance").alias("b")).collect()}
     assert ends == {r.user: r.balance for r in K.coin_tier(entries).collect()}
     per_user = balance.groupBy("user").agg(F.count("*").alias("n"), F.countDistinct("balance").alias("d"))

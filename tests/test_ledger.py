@@ -74,20 +74,7 @@ def test_canonical_text_and_digest(spark, ledger, tmp_path):
     lines = [r.line for r in I.canonical_ledger(ledger).orderBy("seq").collect()]
     assert lines[0] == "A|2025-04-02|APPROVED|92|true" and lines[1] == "B|2025-04-01|CRL|20.5|true"
     whole = hashlib.sha256("\n".join(lines).encode()).hexdigest()
-    assert I.ledger_digest(I.canonical_ledger(ledger)).first().digest == whole
-
-    def tree(texts, block):
-        while True:
-            texts = [
-                hashlib.sha256("\n".join(texts[i:i + block]).encode()).hexdigest()
-                for i in range(0, len(texts), block)
-            ]
-            if len(texts) == 1:
-                return texts[0]
-
-    for block in (2, 3):
-        got = I.ledger_digest(I.canonical_ledger(ledger.repartition(4)), block).first().digest
-        assert got == tree(lines, block)
+    assert I.plain_digest(I.canonical_ledger(ledger)).first().digest == whole
     path = str(tmp_path / "canon")
     I.write_canonical(ledger, path)
     I.write_canonical(ledger.filter("seq = 1"), path)
@@ -110,37 +97,59 @@ def chain(lines):
     return out
 
 
-@pytest.mark.parametrize("block,hot", [(256, None), (256, True), (3, True), (2, None)])
-def test_chain(spark, block, hot):
+def tree(texts, block):
+    """The tree hash, written out."""
+    level, word = list(texts), "lines"
+    while word == "lines" or len(level) > 1:
+        level = [
+            hashlib.sha256("\n".join([word, *level[i : i + block]]).encode()).hexdigest()
+            for i in range(0, len(level), block)
+        ]
+        word = "hashes"
+    return hashlib.sha256(f"ledger\n{len(texts)}\n{level[0] if level else ''}".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 16, 17, 70])
+def test_digest_has_one_definition(spark, n):
+    lines = [f"line {i}" for i in range(n)]
+    df = spark.createDataFrame(list(enumerate(lines)), "seq long, line string").repartition(3)
+    found = I.ledger_digest(df, 4).first().digest
+    assert found == tree(lines, 4)
+    assert found != hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block", [256, 3, 2])
+def test_chain(spark, block):
     data = [("hot" if i % 3 else f"k{i}", i, f"line {i}") for i in range(60)]
     df = spark.createDataFrame(data, "k string, seq long, line string").repartition(4)
-    built = I.build_chain(df, "k", block, hot)
+    built = I.build_chain(df, "k", block)
     heads = {r.k: r.head for r in I.chain_heads(built, "k", block).collect()}
     by_key = {}
     for k, i, line in data:
         by_key.setdefault(k, []).append((i, line))
-    got = {(r.k, r.seq): r.hash for r in built.collect()}
+    got = {(r.k, r.seq): (r.hash, r.block) for r in built.collect()}
     assert len(got) == 60
     for k, items in by_key.items():
         parts = [items[i:i + block] for i in range(0, len(items), block)]
         ends = []
-        for part in parts:
+        for number, part in enumerate(parts):
             hashes = chain([line for _, line in part])
-            assert [got[k, i] for i, _ in part] == hashes
+            assert [got[k, i] for i, _ in part] == [(h, number) for h in hashes]
             ends.append(hashes[-1])
-        while len(ends) > 1:
+        first = True
+        while first or len(ends) > 1:
             ends = [chain(ends[i:i + block])[-1] for i in range(0, len(ends), block)]
+            first = False
         assert heads[k] == ends[0]
 
 
-@pytest.mark.parametrize("hot", [None, True])
-def test_verify_chain_and_links(spark, hot):
+def test_verify_chain_and_links(spark):
     data = [
         ("x", 1, 1, "h1", None), ("x", 2, 2, "h2", "h1"), ("x", 3, 3, "h3", "h1"), ("x", 4, 4, "h4", "zz"),
         ("y", 5, 1, "g1", None), ("y", 6, 2, "g2", None),
     ]
     df = spark.createDataFrame(data, "k string, id long, ts long, hash string, prior_hash string")
-    assert rows(I.verify_chain(df, "k", hot), "id", "intact") == [
+    assert rows(I.verify_chain(df, "k"), "id", "intact") == [
         (1, True), (2, True), (3, False), (4, False), (5, True), (6, False)
     ]
     assert rows(I.link_records(df)) == [

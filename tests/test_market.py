@@ -26,14 +26,13 @@ QUOTE = "ticker string, ts timestamp, price double"
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("hot", [None, True])
-def test_price_asof(spark, strict, hot):
+def test_price_asof(spark, strict):
     known = quotes_data()
     asked = [(i, t, ts) for i, (t, ts, _) in enumerate(quotes_data(120, 2))] + [
         (500 + i, t, ts) for i, (t, ts, _) in enumerate(known[:40])] + [(900, "NONE", START)]
     got = M.price_asof(
         spark.createDataFrame(asked, "id long, ticker string, ts timestamp"),
-        spark.createDataFrame(known, QUOTE), strict=strict, hot=hot,
+        spark.createDataFrame(known, QUOTE), strict=strict,
     )
     want = []
     for i, t, ts in asked:

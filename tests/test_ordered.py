@@ -33,12 +33,11 @@ def brute(data, keyed, include):
 
 @pytest.mark.parametrize("keys", [["k"], []])
 @pytest.mark.parametrize("include", [True, False])
-@pytest.mark.parametrize("hot", [True, False])
-def test_running(spark, keys, include, hot):
+def test_running(spark, keys, include):
     data, df = table(spark)
     got = O.running(
         df.repartition(5), keys, ["day", "id"], sums={"s": F.col("v")}, lasts={"l": F.col("x")},
-        include_current=include, hot=hot,
+        include_current=include,
     )
     assert got.columns == [*df.columns, "s", "l"]
     assert rows(got, "id", "s", "l") == brute(data, bool(keys), include)
@@ -66,9 +65,31 @@ def test_trailing_mean(spark, block):
         assert found[i] == pytest.approx(mean)
 
 
-def test_hot_key_check(spark):
+@pytest.mark.parametrize("width", [1, 3, 4096])
+@pytest.mark.parametrize("first", ["day", "at", "name"])
+def test_parts_of_every_kind(spark, monkeypatch, width, first):
+    monkeypatch.setattr(O, "STRETCH", width)
+    data, df = table(spark, 200)
+    df = df.selectExpr("*", "date_add(date '2024-01-05', day * 9) AS at", "lpad(string(day), 4, '0') AS name")
+    for include in (True, False):
+        got = O.running(
+            df, ["k"], [first, "id"], sums={"s": F.col("v")}, lasts={"l": F.col("x")}, include_current=include
+        )
+        assert rows(got, "id", "s", "l") == brute(data, True, include)
+    back = O.running(df, ["k"], [f"-{first}", "id"], sums={"n": F.lit(1).cast("long")})
+    want = {}
+    for r in sorted(data, key=lambda r: (-r[1], r[2])):
+        want.setdefault(r[0], []).append(r[2])
+    assert {r.id: r.n for r in back.collect()} == {i: n + 1 for ids in want.values() for n, i in enumerate(ids)}
+
+
+def test_keyed_values_start_no_job(spark):
+    """The plan is built without running anything, and no key is gathered but in parts."""
     _, df = table(spark)
-    assert O.has_hot_key(df, ["k"], 100) and not O.has_hot_key(df, ["k"], 599)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    plan = O.running(df, ["k"], ["day", "id"], sums={"s": F.col("v")})._jdf.queryExecution().executedPlan().toString()
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert "hashpartitioning(k#" in plan and "_part#" in plan
 
 
 def test_latest_and_top(spark):
