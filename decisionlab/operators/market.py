@@ -247,18 +247,17 @@ def _with_call(
     return steps.withColumn(out, price).drop("_d1", "_x1", "_x2", "_u1", "_u2")
 
 
-def option_grid(contracts: DataFrame, moves: list[float]) -> DataFrame:
+def option_grid(contracts: DataFrame, moves: DataFrame) -> DataFrame:
     """Profit of each call option (`spot`, `strike`, `days`, `pre_iv`, `post_iv`) per move.
 
-    `moves` are price moves in percent; every contract row is repeated for each in place.
+    `moves` has a `move` in percent per row; every contract row is repeated for each in place.
     """
-    if len(moves) > dims.MAX_DIM_ROWS:
-        raise ValueError("too many scenarios")
+    scenarios = moves.agg(F.array_sort(F.collect_list(F.col("move").cast("double")))).scalar()
     rate = dims.RISK_FREE_RATE
     years = F.col("days") / F.lit(365.0)
     # The price today does not depend on the move: it is worked out before the rows multiply.
     today = _with_call(contracts.withColumn("_t", years), "premium", "spot", "_t", "pre_iv", rate)
-    grid = today.withColumn("move", F.explode(F.array(*[F.lit(float(m)) for m in moves])))
+    grid = today.withColumn("move", F.explode(scenarios))
     grid = grid.withColumn(
         "_t", F.greatest((F.col("days") - 1) / F.lit(365.0), F.lit(0.001))
     ).withColumn("_spot", F.col("spot") * (F.col("move") / 100 + 1))

@@ -1,9 +1,9 @@
 """Additive log-odds scores, their regression checks and version-to-version backtests.
 
 Events carry their signals as an array of names (or as a map of name to recorded weight).
-A score then needs no shuffle: the weight table, checked to be small, becomes a constant map
-in the plan. Signals held as a long table, or with a weight table that is not small, are
-summed with a join and a grouped sum instead.
+A score then needs no shuffle of the events: the weight table, one row per signal name, becomes
+one map that every task gets. Signals held as a long table are summed with a join and a
+grouped sum.
 
 Weights are summed in whole millionths, so a sum does not depend on its order.
 """
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from decisionlab import dims
 from decisionlab.functions import columns as C
 from decisionlab.operators.ordered import running
-from decisionlab.sources.events import explode_signals
 
 MICRO = 1_000_000
 BASE = int(Decimal(dims.BASE_LOGIT) * MICRO)
@@ -43,21 +42,23 @@ def _micro(weight: Column) -> Column:
     return (weight * MICRO).cast("long")
 
 
-def _lookup(weights: DataFrame) -> Column | None:
-    """The weight table as a constant map of name to millionths, None when it is not small."""
-    rows = dims.dim_rows(weights.select("signal", "weight"))
-    if rows is None:
-        return None
-    pairs = [F.lit(v) for r in rows for v in (r.signal, int(r.weight * MICRO))]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>")
+def unique_weights(weights: DataFrame) -> DataFrame:
+    """One weight per signal: that of the last version, the largest where one is repeated."""
+    version = [F.col("version")] if "version" in weights.columns else []
+    newest = F.max_by("weight", F.struct(*version, "weight"))
+    return weights.groupBy("signal").agg(newest.alias("weight"))
+
+
+def _lookup(weights: DataFrame) -> Column:
+    """The weight table as one map of name to millionths, read once by a scalar subquery."""
+    entry = F.struct("signal", _micro(F.col("weight")).alias("micro"))
+    return unique_weights(weights).agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
 
 def with_weights(events: DataFrame, weights: DataFrame, out: str = "signal_weights") -> DataFrame:
     """Add the weight of each signal in millionths, in order; 0 for a signal without weight."""
-    table = _lookup(weights)
-    if table is None:
-        raise ValueError("the weight table is not small: use long signals")
-    return events.withColumn(out, _weigh(events, table))
+    weighed = _weigh(events, F.col("_table"))
+    return events.withColumn("_table", _lookup(weights)).withColumn(out, weighed).drop("_table")
 
 
 def _weigh(events: DataFrame, table: Column) -> Column:
@@ -86,22 +87,16 @@ def score(
     if weights is None:
         total = F.aggregate(F.map_values("signals"), zero, lambda a, w: a + _micro(w))
     else:
-        table = _lookup(weights)
-        if table is None:
-            return _score_long(events, explode_signals(events), weights)
-        total = F.aggregate(
-            _names(events),
-            zero,
-            lambda a, s: a + F.coalesce(F.try_element_at(table, s), F.lit(0)).cast("long"),
-        )
-    return _with_score(events.withColumn("_total", F.coalesce(total, zero)))
+        events = with_weights(events, weights, "_w")
+        total = F.aggregate("_w", zero, lambda a, w: a + w)
+    return _with_score(events.withColumn("_total", F.coalesce(total, zero)).drop("_w"))
 
 
 def _score_long(events: DataFrame, signals: DataFrame, weights: DataFrame | None) -> DataFrame:
     if weights is None:
         weighted = signals.withColumn("_v", F.col("recorded_weight"))
     else:
-        table = weights.select("signal", F.col("weight").alias("_v"))
+        table = unique_weights(weights).withColumnRenamed("weight", "_v")
         weighted = signals.join(table, "signal")
     totals = weighted.groupBy("event_id").agg(F.sum(_micro(F.col("_v"))).alias("_total"))
     joined = events.join(totals, "event_id", "left")
@@ -121,36 +116,40 @@ def _with_score(df: DataFrame) -> DataFrame:
 
 def waterfall(events: DataFrame, weights: DataFrame) -> DataFrame:
     """The base row, then each signal in stored order with running logit and probability."""
-    base = F.array(F.lit(BASE).cast("long"))
+    first = F.struct(F.lit("base").alias("step"), F.lit(BASE).cast("long").alias("value"))
     rows = with_weights(events, weights, "_w").select(
         "event_id",
-        _names(events).alias("_names"),
-        F.concat(base, F.col("_w")).alias("_steps"),
+        F.concat(F.array(first), F.zip_with(
+            _names(events), "_w", lambda s, w: F.struct(s.alias("step"), w.alias("value"))
+        )).alias("_steps"),
     )
-    exploded = rows.select(
+    zero = F.lit(0).cast("long")
+    steps = "array<struct<step:string,value:bigint,reached:bigint>>"
+
+    def add(state: Column, x: Column) -> Column:
+        reached = state["reached"] + x["value"]
+        row = F.struct(x["step"].alias("step"), x["value"].alias("value"), reached.alias("reached"))
+        return F.struct(reached.alias("reached"), F.concat(state["out"], F.array(row)).alias("out"))
+
+    start = F.struct(zero.alias("reached"), F.array().cast(steps).alias("out"))
+    top = F.array_max(F.transform("_steps", lambda x: F.abs(x["value"])))
+    done = rows.select(
         "event_id",
-        "_names",
-        "_steps",
-        F.greatest(
-            F.array_max(F.transform("_steps", lambda v: F.abs(v))), F.lit(MICRO)
-        ).alias("_top"),
-        F.posexplode("_steps").alias("pos", "_value"),
+        F.greatest(top, F.lit(MICRO)).alias("_top"),
+        F.aggregate("_steps", start, add, lambda state: state["out"]).alias("_rows"),
     )
-    reached = F.aggregate(
-        F.slice("_steps", F.lit(1), F.col("pos") + 1),
-        F.lit(0).cast("long"),
-        lambda a, v: a + v,
+    return (
+        done.select("event_id", "_top", F.posexplode("_rows").alias("pos", "_r"))
+        .select(
+            "event_id",
+            "pos",
+            "_r.step",
+            (F.col("_r.value") / MICRO).alias("value"),
+            (F.col("_r.reached") / MICRO).alias("cumulative_logit"),
+            (F.abs("_r.value") / F.col("_top") * 60).alias("bar_width"),
+        )
+        .withColumn("cumulative_prob", C.sigmoid("cumulative_logit"))
     )
-    return exploded.select(
-        "event_id",
-        "pos",
-        F.when(F.col("pos") == 0, "base").otherwise(F.get("_names", F.col("pos") - 1)).alias(
-            "step"
-        ),
-        (F.col("_value") / MICRO).alias("value"),
-        (reached / MICRO).alias("cumulative_logit"),
-        (F.abs("_value") / F.col("_top") * 60).alias("bar_width"),
-    ).withColumn("cumulative_prob", C.sigmoid("cumulative_logit"))
 
 
 def apply_overrides(
@@ -263,9 +262,12 @@ def ab_summary(backtest: DataFrame) -> DataFrame:
 
 
 def score_drift(events: DataFrame, originals: DataFrame) -> DataFrame:
-    """Stored score less the one first published for the ticker; a ticker may have many events."""
+    """Stored score less the one first published for the ticker; a ticker may have many events.
+
+    Whether the direction was right is judged on the recomputed `prob`.
+    """
     drift = (F.col("stored_prob") - F.col("orig_score")) * 100
-    return events.select("event_id", "ticker", "stored_prob").join(originals, "ticker").select(
+    return events.select("event_id", "ticker", "stored_prob", "prob").join(originals, "ticker").select(
         "event_id",
         "ticker",
         "orig_score",
@@ -273,7 +275,7 @@ def score_drift(events: DataFrame, originals: DataFrame) -> DataFrame:
         drift.alias("drift_pp"),
         F.when(drift > 0, "UP").when(drift < 0, "DOWN").otherwise("SAME").alias("direction"),
         (F.abs(drift) > 10).alias("significant"),
-        C.is_traded_correct("stored_prob", "action").alias("direction_correct"),
+        C.is_traded_correct("prob", "action").alias("direction_correct"),
     )
 
 

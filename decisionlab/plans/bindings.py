@@ -303,10 +303,13 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def quotes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quotes as landed JSON with each fallback field set, zero or missing in turn."""
+def quotes_raw(spark: SparkSession, sf_dir: str, objects: bool = False) -> DataFrame:
+    """The quotes as landed JSON, each fallback field set, zero or missing in turn.
+
+    With `objects`, large orders come as the quote itself, others as an array of it.
+    """
     k = F.col("seq")
-    body = F.to_json(F.array(F.struct(
+    item = F.struct(
         F.col("price").alias("price"),
         F.when(k % 3 == 0, (k % 50).cast("double")).when(k % 3 == 1, 0.0).alias("changePercentage"),
         F.when(k % 2 == 0, 2.5).alias("changesPercentage"),
@@ -314,7 +317,10 @@ def quotes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 > 0, (k % 1000).cast("double")).alias("volume"),
         (F.col("price") * 10).alias("marketCap"),
         F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(F.lit("name-"), "ticker")).alias("name"),
-    )))
+    )
+    body = F.to_json(F.array(item))
+    if objects:
+        body = F.when(F.col("price") > 100_000, F.to_json(item)).otherwise(body)
     return quotes(spark, sf_dir).select(
         "ticker", "ts", "seq", F.when(k % 13 == 0, "[]").otherwise(body).alias("body")
     )

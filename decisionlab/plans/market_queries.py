@@ -19,8 +19,8 @@ MOVES = [-50.0, -20.0, 0.0, 10.0, 25.0, 60.0]
 
 def _quotes(spark, sf_dir):
     """Normalised quotes, the newest of each ticker."""
-    landed = latest_by(B.quotes_raw(spark, sf_dir), ["ticker"], ["ts", "seq"])
-    return raw.normalize_quotes(landed)
+    landed = latest_by(B.quotes_raw(spark, sf_dir, objects=True), ["ticker"], ["ts", "seq"])
+    return raw.normalize_quotes(landed, objects=True)
 
 
 @query("""
@@ -125,14 +125,14 @@ def social_summary(spark, sf_dir):
     )
 
 
-@query("""
-SELECT ticker, round(max(score) FILTER (platform = 'src0'), 6) AS src0,
-  round(max(score) FILTER (platform = 'src1'), 6) AS src1,
-  round(max(score) FILTER (platform = 'src2'), 6) AS src2
-FROM social GROUP BY 1""", "social")
+PLATFORMS = [f"src{i}" for i in range(20)]
+WIDE = ", ".join(f"round(max(score) FILTER (platform = '{p}'), 6) AS {p}" for p in PLATFORMS)
+
+
+@query(f"SELECT ticker, {WIDE} FROM social GROUP BY 1", "social")
 def social_wide(spark, sf_dir):
-    wide = M.social_wide(M.social_summary(B.social(spark, sf_dir)), ["src0", "src1", "src2"])
-    return wide.select("ticker", r6("src0"), r6("src1"), r6("src2"))
+    wide = M.social_wide(M.social_summary(B.social(spark, sf_dir)), PLATFORMS)
+    return wide.select("ticker", *[r6(p) for p in PLATFORMS])
 
 
 @query("""
@@ -267,7 +267,9 @@ SELECT contract_id, move, round(premium, 4) AS premium, round(pnl, 4) AS pnl,
   pnl < 0 AND move > 0 AS trap
 FROM done""")
 def option_grid(spark, sf_dir):
-    grid = M.option_grid(B.options(spark, sf_dir), MOVES)
+    grid = M.option_grid(
+        B.options(spark, sf_dir), spark.createDataFrame([(float(m),) for m in MOVES], "move double")
+    )
     return grid.select(
         "contract_id", "move", r6("premium", places=4), r6("pnl", places=4),
         r6("pnl_pct", places=4), "trap",

@@ -246,10 +246,10 @@ SELECT e.event_id, e.ticker, round((e.stored_prob - o.orig_score) * 100, 6) AS d
   CASE WHEN e.stored_prob > o.orig_score THEN 'UP' WHEN e.stored_prob < o.orig_score THEN 'DOWN'
     ELSE 'SAME' END AS direction,
   abs((e.stored_prob - o.orig_score) * 100) > 10 AS significant,
-  CASE o.action WHEN 'TRADED' THEN e.stored_prob >= 0.6 ELSE e.stored_prob < 0.6 END AS direction_correct
-FROM event e JOIN orig o ON o.ticker = e.ticker""", "event orig")
+  CASE o.action WHEN 'TRADED' THEN e.prob >= 0.6 ELSE e.prob < 0.6 END AS direction_correct
+FROM scored e JOIN orig o ON o.ticker = e.ticker""", "scored orig")
 def score_drift(spark, sf_dir):
-    drift = S.score_drift(B.events(spark, sf_dir), B.originals(spark, sf_dir))
+    drift = S.score_drift(B.scored(spark, sf_dir), B.originals(spark, sf_dir))
     return drift.select(
         "event_id", "ticker", r6("drift_pp"), "direction", "significant", "direction_correct"
     )

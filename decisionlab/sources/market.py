@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from decisionlab import schema
 from decisionlab.functions import columns as C
@@ -15,10 +16,21 @@ def _array(body: str, columns) -> Column:
     return F.when(F.ltrim(F.col(body)).startswith("["), F.from_json(body, columns))
 
 
-def normalize_quotes(raw: DataFrame) -> DataFrame:
-    """First quote of each payload (`ticker`, `ts`, `body`) with zero fallbacks."""
-    q = F.get(_array("body", schema.QUOTE_BODY), F.lit(0))
-    return raw.withColumn("_q", q).select(
+def _first(body: str, columns) -> Column:
+    """The payload's object, or the first element of its array."""
+    one = F.when(F.ltrim(F.col(body)).startswith("{"), F.from_json(body, columns.elementType))
+    return F.coalesce(F.get(_array(body, columns), F.lit(0)), one)
+
+
+def normalize_quotes(raw: DataFrame, objects: bool = False) -> DataFrame:
+    """First quote of each payload (`ticker`, `ts`, `body`) with zero fallbacks.
+
+    With `objects`, as beside profiles, a payload may also be the quote itself.
+    """
+    quote = _first("body", schema.QUOTE_BODY)
+    if not objects:
+        quote = F.get(_array("body", schema.QUOTE_BODY), F.lit(0))
+    return raw.withColumn("_q", quote).select(
         "ticker",
         "ts",
         F.col("_q.price").alias("price"),
@@ -70,11 +82,8 @@ def normalize_social(raw: DataFrame) -> DataFrame:
 
 def normalize_profile(raw: DataFrame) -> DataFrame:
     """Company profile; the payload is an object or an array whose first element counts."""
-    p = F.coalesce(
-        F.get(_array("body", f"array<{schema.PROFILE_BODY.simpleString()}>"), F.lit(0)),
-        F.when(F.ltrim("body").startswith("{"), F.from_json("body", schema.PROFILE_BODY)),
-    )
-    return raw.withColumn("_p", p).select(
+    profiles = T.ArrayType(schema.PROFILE_BODY)
+    return raw.withColumn("_p", _first("body", profiles)).select(
         "ticker",
         F.col("_p.companyName").alias("company_name"),
         F.col("_p.sector").alias("sector"),

@@ -148,11 +148,13 @@ def apply_outcomes(
 
 
 def vote_trend(stream: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Votes and approval share per event and tumbling window; rows later than `delay` are dropped."""
+    """Valid votes, each counted once, and their approval share per event and tumbling window.
+
+    Rows later than `delay` are dropped.
+    """
     n, yes = F.count(F.lit(1)), F.count_if(F.col("label") == "APPROVE")
-    timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
     return (
-        timed.withWatermark("created_at", delay)
+        votes_once(stream, delay)
         .groupBy("event_id", F.window("created_at", width).alias("w"))
         .agg(n.alias("votes"), C.ratio_pct(yes, n).alias("approve_pct"))
         .select("event_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"),

@@ -165,8 +165,8 @@ def test_options(spark):
     odd = [(4, 50.0, 0.0, 30, 1.5, 0.6), (5, 0.0, 50.0, 30, 1.5, 0.6)]
     df = spark.createDataFrame(data, "id int, spot double, strike double, days int, pre_iv double, post_iv double")
     free = spark.createDataFrame(odd, df.schema)
-    assert rows(M.option_grid(free, [0.0]), "id", "premium", "pnl_pct") == [(4, 50.0, 0.0), (5, 0.0, 0.0)]
-    for r in M.option_grid(df, [10.0, -20.0]).collect():
+    assert rows(M.option_grid(free, moves_of(spark, [0.0])), "id", "premium", "pnl_pct") == [(4, 50.0, 0.0), (5, 0.0, 0.0)]
+    for r in M.option_grid(df, moves_of(spark, [10.0, -20.0])).collect():
         pre = black_scholes(r.spot, r.strike, r.days / 365, 0.05, r.pre_iv)
         post = black_scholes(r.spot * (1 + r.move / 100), r.strike, max((r.days - 1) / 365, 0.001), 0.05, r.post_iv)
         assert r.premium == pytest.approx(pre, abs=1e-4)
@@ -182,3 +182,24 @@ def test_fallbacks(spark):
         C.ratio_pct(F.lit(1), F.lit(0)).alias("c"), C.ratio_pct(F.lit(1), F.lit(8)).alias("d"),
     ).first()
     assert (r.a, r.b, r.c, r.d) == (7.0, 0.0, 100.0, 12.5)
+
+
+def moves_of(spark, moves):
+    return spark.createDataFrame([(m,) for m in moves], "move double")
+
+
+def test_many_scenarios(spark):
+    df = spark.createDataFrame([(1, 50.0, 50.0, 30.0, 0.9, 0.5)], "id int, spot double, strike double, days double, pre_iv double, post_iv double")
+    moves = [i / 50 - 50 for i in range(5000)]
+    got = M.option_grid(df, moves_of(spark, moves)).collect()
+    assert sorted(r.move for r in got) == sorted(moves)
+
+
+def test_object_payload_counts_as_a_quote(spark):
+    df = spark.createDataFrame(
+        [("A", '{"price": 5.5, "change": 2.0}'), ("B", '[{"price": 6.5}, {"price": 1.0}]'), ("C", "null"), ("D", "[]")],
+        "ticker string, body string",
+    ).withColumn("ts", F.current_timestamp())
+    assert rows(raw.normalize_quotes(df, objects=True), "ticker", "price", "change") == [
+        ("A", 5.5, 2.0), ("B", 6.5, 0.0), ("C", None, 0.0), ("D", None, 0.0)
+    ]

@@ -164,24 +164,15 @@ def test_decay_bands(spark):
     ], "event_id long, drug string, event_date string, outcome string").withColumn(
         "event_date", F.col("event_date").cast("date")
     )
-    for _ in range(1):
-        history = rows(S.prior_history(df), "event_id", "prior_rejections", "years_since", "serial")
-        assert history == [
-            (1, 0, None, False), (2, 1, 1, False), (3, 2, 2, True), (4, 2, 4, True), (5, 0, None, False)
-        ]
-        decay = S.decay_signal(df, dims.weights_table(spark, "v10_69"))
-        assert rows(decay, "event_id", "signal", "weight") == [
-            (2, "crl_time_decay_1yr", Decimal(0)), (3, "crl_time_decay_2yr", Decimal("0.15")),
-            (4, "crl_time_decay_4yr_plus", Decimal("0.45")),
-        ]
-
-
-def test_large_weight_table_falls_back_to_the_join(spark, golden, monkeypatch):
-    w = dims.weights_table(spark)
-    want = rows(S.score(golden, w), "event_id", "prob")
-    monkeypatch.setattr(dims.dim_rows, "__defaults__", (10,))
-    assert dims.dim_rows(w) is None
-    assert rows(S.score(golden, w), "event_id", "prob") == want
+    history = rows(S.prior_history(df), "event_id", "prior_rejections", "years_since", "serial")
+    assert history == [
+        (1, 0, None, False), (2, 1, 1, False), (3, 2, 2, True), (4, 2, 4, True), (5, 0, None, False)
+    ]
+    decay = S.decay_signal(df, dims.weights_table(spark, "v10_69"))
+    assert rows(decay, "event_id", "signal", "weight") == [
+        (2, "crl_time_decay_1yr", Decimal(0)), (3, "crl_time_decay_2yr", Decimal("0.15")),
+        (4, "crl_time_decay_4yr_plus", Decimal("0.45")),
+    ]
 
 
 def test_read_events(spark, tmp_path):
@@ -231,3 +222,29 @@ def test_calibration_and_miss_profile(spark, golden):
     profile = S.miss_profile(scored.withColumn("type", F.lit("PDUFA")), dims.weights_table(spark))
     got = {r.error: (r.misses, r.top_negative) for r in profile.collect()}
     assert got["FALSE NEGATIVE"] == (3, "prior_CRL") and got["FALSE POSITIVE"][0] == 2
+
+
+def test_thousands_of_weights(spark):
+    """One path at any size; a repeated signal counts with its last version."""
+    rows_ = [("v1", f"s{i}", "c", Decimal(i % 7 - 3) / 10) for i in range(5000)]
+    rows_ += [("v2", "s9", "c", Decimal("1.5")), ("v0", "s9", "c", Decimal("9"))]
+    weights = spark.createDataFrame(rows_, "version string, signal string, category string, weight decimal(6,4)")
+    events = spark.createDataFrame(
+        [(1, ["s9", "s4999"]), (2, ["none"]), (3, None), (4, [f"s{i}" for i in range(60)])],
+        "event_id long, signals array<string>",
+    )
+    known = {s: w for v, s, _, w in rows_ if v == "v1"} | {"s9": Decimal("1.5")}
+    want = {
+        1: known["s9"] + known["s4999"], 2: 0, 3: 0, 4: sum(known[f"s{i}"] for i in range(60)),
+    }
+    got = {r.event_id: r.total_adj for r in S.score(events, weights).collect()}
+    assert got == {k: pytest.approx(float(v)) for k, v in want.items()}
+    long = events.select("event_id", F.explode("signals").alias("signal"))
+    got = {r.event_id: r.total_adj for r in S.score(events, weights, long).collect()}
+    assert got == {k: pytest.approx(float(v)) for k, v in want.items()}
+    steps = S.waterfall(events.filter("event_id = 4"), weights).orderBy("pos").collect()
+    assert len(steps) == 61 and steps[0].step == "base"
+    assert steps[-1].cumulative_logit == pytest.approx(float(want[4]) + steps[0].value)
+    assert S.signal_effects(
+        S.score(events, weights).withColumn("outcome", F.lit("APPROVED")), weights
+    ).filter("signal = 's9'").first().n == 2
