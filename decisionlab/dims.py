@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from decisionlab import schema
+from decisionlab.sources.events import load_weights
 
 BASE_LOGIT = "1.3957"
 
@@ -234,17 +235,18 @@ def local_table(spark: SparkSession, rows: list[tuple], columns: T.StructType) -
 
 
 def weights_table(spark: SparkSession, version: str = "v10_68") -> DataFrame:
-    """The weight table of one version."""
-    rows = {signal: (category, weight) for category, signal, weight in WEIGHTS_V10_68}
-    if version == "v10_69":
-        rows |= {signal: (category, weight) for category, signal, weight in WEIGHTS_V10_69_CHANGES}
-    elif version != "v10_68":
+    """The weight table of one version; the later one inherits the earlier and sets its changes."""
+
+    def rows(name: str, weights: list[tuple[str, str, str]]) -> DataFrame:
+        data = [(name, signal, category, Decimal(w)) for category, signal, w in weights]
+        return local_table(spark, data, schema.SIGNAL_WEIGHT)
+
+    base = rows("v10_68", WEIGHTS_V10_68)
+    if version == "v10_68":
+        return base
+    if version != "v10_69":
         raise ValueError(f"unknown weight version {version!r}")
-    return local_table(
-        spark,
-        [(version, signal, category, Decimal(w)) for signal, (category, w) in rows.items()],
-        schema.SIGNAL_WEIGHT,
-    )
+    return load_weights(base, rows(version, WEIGHTS_V10_69_CHANGES), version)
 
 
 def area_rates_table(spark: SparkSession) -> DataFrame:

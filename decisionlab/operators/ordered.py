@@ -137,6 +137,12 @@ def number_rows(df: DataFrame, order: list[str], out: str = "rn") -> DataFrame:
     return running(df, [], order, sums={out: F.lit(1).cast("long")})
 
 
+def placed(ordered: DataFrame, out: str = "place") -> DataFrame:
+    """The place of each row of a sorted table, from 1, as it comes out."""
+    rows = ordered.withColumn("_at", F.monotonically_increasing_id())
+    return number_rows(rows, ["_at"], out).drop("_at")
+
+
 def trailing_mean(
     df: DataFrame, order: list[str], value: Column, n: int, out: str, block: int = 100_000
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from decisionlab.operators import ledger as L
 from decisionlab.plans import bindings as B
 from decisionlab.plans.oracle_views import action_sql, number_sql, pct_sql, tier_sql
 from decisionlab.plans.registry import query, r6, text
+from decisionlab.operators.ordered import placed
 from decisionlab.session import cut_lineage
 from decisionlab.sources import documents
 
@@ -21,13 +22,29 @@ def ledger_misses(spark, sf_dir):
     )
 
 
-@query("SELECT seq, move FROM ledger WHERE correct", "ledger")
+MOVE = f"CAST({number_sql('move')} AS DOUBLE)"
+
+
+@query(f"""
+SELECT seq, move, row_number() OVER (ORDER BY abs({MOVE}) DESC NULLS LAST, seq) AS place
+FROM ledger WHERE correct""", "ledger")
 def ledger_by_move(spark, sf_dir):
     hits = L.ledger_filter(B.ledger(spark, sf_dir), "correct")
-    return L.sort_ledger(hits, "move").select("seq", "move")
+    return placed(L.sort_ledger(hits, "move").select("seq", "move"))
 
 
-MOVE = f"CAST({number_sql('move')} AS DOUBLE)"
+@query("""
+SELECT seq, CAST(date AS VARCHAR) AS date,
+  row_number() OVER (ORDER BY ledger.date DESC NULLS LAST, seq) AS place FROM ledger""", "ledger")
+def ledger_by_date(spark, sf_dir):
+    return placed(L.sort_ledger(B.ledger(spark, sf_dir), "date").select("seq", text("date")))
+
+
+@query("""
+SELECT seq, round(score, 6) AS score, row_number() OVER (ORDER BY ledger.score DESC NULLS LAST, seq) AS place
+FROM ledger""", "ledger")
+def ledger_by_score(spark, sf_dir):
+    return placed(L.sort_ledger(B.ledger(spark, sf_dir), "score").select("seq", r6("score")))
 
 
 @query(f"""

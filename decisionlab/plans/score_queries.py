@@ -8,6 +8,7 @@ from decisionlab import dims
 from decisionlab.functions import columns as C
 from decisionlab.operators import ledger as ledger_ops
 from decisionlab.operators import scoring as S
+from decisionlab.operators.ordered import placed
 from decisionlab.plans import bindings as B
 from decisionlab.plans.oracle_views import correct_sql, kind_sql, pct_sql
 from decisionlab.plans.registry import query, r6, text
@@ -36,14 +37,15 @@ def accuracy_by_area_and_tier(spark, sf_dir):
 
 @query("""
 SELECT event_id, ticker, company, drug, indication, CAST(event_date AS VARCHAR) AS event_date,
-  type, area, phase, outcome, enrollment, modality, weekend, avoid, area_risk
+  type, area, phase, outcome, enrollment, modality, weekend, avoid, area_risk,
+  row_number() OVER (ORDER BY event.event_date, event_id) AS place
 FROM event""", "event")
 def load_events(spark, sf_dir):
-    loaded = events.sort_by_date(B.events(spark, sf_dir))
+    loaded = placed(events.sort_by_date(B.events(spark, sf_dir)))
     return loaded.select(
         "event_id", "ticker", "company", "drug", "indication", text("event_date"), "type", "area",
         "phase", "outcome", F.col("enrollment").cast("long"), "modality", "weekend", "avoid",
-        "area_risk",
+        "area_risk", "place",
     )
 
 

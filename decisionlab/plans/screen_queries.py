@@ -11,6 +11,7 @@ from decisionlab.operators import screening as S
 from decisionlab.plans import bindings as B
 from decisionlab.plans.oracle_views import kind_sql, pct_sql, zone_sql
 from decisionlab.plans.registry import query, r6, text
+from decisionlab.operators.ordered import placed
 from decisionlab.session import cut_lineage
 from decisionlab.sources import documents
 
@@ -78,11 +79,12 @@ def window_zones(spark, sf_dir):
 
 
 @query(f"""
-SELECT event_id, {OUT} AS days_out, {zone_sql(OUT)} AS zone FROM event
-WHERE {OUT} >= 0""", "event")
+SELECT event_id, {OUT} AS days_out, {zone_sql(OUT)} AS zone,
+  row_number() OVER (ORDER BY {OUT}, event_id) AS place
+FROM event WHERE {OUT} >= 0""", "event")
 def scanner(spark, sf_dir):
-    return S.scanner(B.events(spark, sf_dir), B.AS_OF).select(
-        "event_id", F.col("days_out").cast("long"), "zone"
+    return placed(S.scanner(B.events(spark, sf_dir), B.AS_OF)).select(
+        "event_id", F.col("days_out").cast("long"), "zone", "place"
     )
 
 
@@ -168,11 +170,12 @@ def area_activity(spark, sf_dir):
 
 
 @query(f"""
-SELECT area, count(*) FILTER (outcome = 'APPROVED') AS approved, count(*) AS total,
-  {pct_sql("count(*) FILTER (outcome = 'APPROVED')", 'count(*)')} AS rate
-FROM event WHERE outcome <> 'DELAYED' GROUP BY 1""", "event")
+SELECT *, row_number() OVER (ORDER BY rate DESC, area) AS place FROM (
+  SELECT area, count(*) FILTER (outcome = 'APPROVED') AS approved, count(*) AS total,
+    {pct_sql("count(*) FILTER (outcome = 'APPROVED')", 'count(*)')} AS rate
+  FROM event WHERE outcome <> 'DELAYED' GROUP BY 1)""", "event")
 def area_rates(spark, sf_dir):
-    return S.area_rates(B.events(spark, sf_dir))
+    return placed(S.area_rates(B.events(spark, sf_dir)))
 
 
 @query(f"""
@@ -248,10 +251,21 @@ def heatmap_items(spark, sf_dir):
     return items.select("event_id", "grp", r6("pct", places=8))
 
 
-@query("SELECT event_id, lower(company) AS company FROM event", "event")
+@query("""
+SELECT event_id, lower(company) AS company,
+  row_number() OVER (ORDER BY lower(company) DESC NULLS LAST, event_id) AS place
+FROM event""", "event")
 def sort_by_company(spark, sf_dir):
     ordered = S.sort_events(B.events(spark, sf_dir), "company", descending=True)
-    return ordered.select("event_id", F.lower("company").alias("company"))
+    return placed(ordered.select("event_id", F.lower("company").alias("company")))
+
+
+@query("""
+SELECT event_id, CAST(enrollment AS BIGINT) AS enrollment,
+  row_number() OVER (ORDER BY enrollment NULLS FIRST, event_id) AS place FROM event""", "event")
+def sort_by_enrollment(spark, sf_dir):
+    ordered = S.sort_events(B.events(spark, sf_dir), "enrollment")
+    return placed(ordered.select("event_id", F.col("enrollment").cast("long")))
 
 
 @query(f"""
