@@ -210,10 +210,12 @@ def fresh_quotes(spark, sf_dir):
 
 
 @query("""
-SELECT ticker, round(arg_max(price, (ts, price)), 2) AS value, strftime(max(ts), '%Y-%m-%d') AS day
-FROM quote GROUP BY 1""", "quote")
+SELECT *, age_seconds > 17280000 AS stale FROM (
+  SELECT ticker, round(arg_max(price, (ts, price)), 2) AS value, strftime(max(ts), '%Y-%m-%d') AS day,
+    CAST(epoch(TIMESTAMP '2001-08-02 00:00:00') - epoch(max(ts)) AS BIGINT) AS age_seconds
+  FROM quote WHERE ts <= TIMESTAMP '2001-08-02 00:00:00' GROUP BY 1)""", "quote")
 def stream_quotes(spark, sf_dir):
-    """The newest quote per ticker, kept by a stream."""
+    """The newest quote per ticker, kept by a stream, and whether it is over 200 days old."""
     path, out = f"{sf_dir}/orders.parquet", new_dir(spark, "fresh")
     stream = spark.readStream.schema(B.table_schema(spark, path)).parquet(f"{path}*").select(
         F.col("o_custkey").cast("string").alias("ticker"),
@@ -221,9 +223,10 @@ def stream_quotes(spark, sf_dir):
         F.col("o_totalprice").alias("value"),
     )
     V.fresh_stream(stream, out, new_dir(spark, "live"))
-    fresh = M.fresh_values(V.read_fresh(spark, out), "9999-12-31 00:00:00", 900)
+    fresh = M.fresh_values(V.read_fresh(spark, out), "2001-08-02 00:00:00", 200 * 86_400)
     return fresh.select(
-        "ticker", r6("value", places=2), F.date_format("ts", "yyyy-MM-dd").alias("day")
+        "ticker", r6("value", places=2), F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        "age_seconds", "stale",
     )
 
 
