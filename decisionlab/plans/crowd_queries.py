@@ -236,6 +236,33 @@ def stream_leaderboard(spark, sf_dir):
     return V.read_snapshot(spark, out, ["user"])
 
 
+@query(f"""
+SELECT b.*, coalesce(s.current, 0) AS current, coalesce(s.best, 0) AS best
+FROM board b LEFT JOIN ({STREAK_SQL}) s USING ("user")""", "board runs")
+def stream_late_outcomes(spark, sf_dir):
+    """The same board from four batches of votes, and outcomes that arrive after them in three."""
+    votes, outcomes = new_dir(spark, "landed"), new_dir(spark, "landed")
+    # As they land: one file a batch.
+    B.votes(spark, sf_dir).repartition(4, "id").write.parquet(votes)
+    decided = B.outcomes(spark, sf_dir)
+    decided.repartition(3, "event_id").write.parquet(outcomes)
+
+    def landing(path, like):
+        return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    stream = landing(votes, spark.read.parquet(votes))
+    table, known, out = (new_dir(spark, n) for n in ("votes", "known", "board"))
+    V.live_leaderboard(
+        stream, lambda session: V.read_outcomes(session, known, decided.schema),
+        table, new_dir(spark, "live"), out, fold_every=2,
+    )
+    V.live_outcomes(
+        landing(outcomes, decided), known, table, V.accepted_votes(stream).schema,
+        new_dir(spark, "live"), out, fold_every=2,
+    )
+    return V.read_snapshot(spark, out, ["user"])
+
+
 @query(f"""
 SELECT event_id, strftime(date_trunc('day', created_at), '%Y-%m-%d') AS day, count(*) AS votes,
   {pct_sql("count(*) FILTER (label = 'APPROVE')", 'count(*)')} AS approve_pct

@@ -50,6 +50,22 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the folders `name=n` below a path, wherever Spark can reach it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{name}="))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder whose rows have been written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 

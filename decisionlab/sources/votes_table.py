@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decisionlab.operators.crowd import current_votes
+from decisionlab.session import drop_folder, numbered_folders
 
 BUCKETS = 64
 COLUMNS = ["user", "event_id", "label", "created_at", "seq"]
@@ -87,9 +88,18 @@ def compact(
     by: str = "event_id",
     buckets: int = BUCKETS,
 ) -> None:
-    """Fold all batches up to `through` into a base; readers use it once it is marked done."""
+    """Fold all batches up to `through` into a base; readers use it once it is marked done.
+
+    What is folded is dropped after that, so the table holds one base and the batches since.
+    """
     rows = read_votes(spark, table, columns, before=through + 1)
     _write(rows, f"{table}/base/batch={through}", by, buckets)
     spark.range(through, through + 1).withColumnRenamed("id", "batch").write.mode("append").parquet(
         f"{table}/done"
     )
+    for batch in numbered_folders(spark, f"{table}/log", "batch"):
+        if batch <= through:
+            drop_folder(spark, f"{table}/log/batch={batch}")
+    for batch in numbered_folders(spark, f"{table}/base", "batch"):
+        if batch < through:
+            drop_folder(spark, f"{table}/base/batch={batch}")

@@ -1,7 +1,9 @@
 """Vote streams: ingest, live sentiment, live leaderboard and streaks, vote trend.
 
-Every stream reads files as they land. State lives in tables in the shared folder, written
-per batch number, so a batch that runs again after a failure replaces what it wrote.
+Every stream reads files as they land. State lives in tables in the shared folder. Votes are
+written per batch number, so a batch that runs again after a failure replaces what it wrote;
+live tables get the rows a batch rebuilt, the newest of each key counting. Every few batches both
+are folded into one, and what was folded is dropped.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from decisionlab.functions import columns as C
 from decisionlab.operators import crowd
 from decisionlab.operators.ordered import latest_by
+from decisionlab.session import drop_folder, numbered_folders
 from decisionlab.sources import votes_table
 
 
@@ -57,17 +60,48 @@ def run_batches(
     query.awaitTermination()
 
 
-def ingest_votes(stream: DataFrame, table: str, checkpoint: str) -> None:
+# Batches after which a stream folds its tables.
+FOLD_EVERY = 16
+
+
+def _store(
+    batch: DataFrame, table: str, batch_id: int, columns: T.StructType, by: str, fold_every: int
+) -> None:
+    """Fold the finished batches when it is time, then upsert this one."""
+    if batch_id and batch_id % fold_every == 0:
+        votes_table.compact(batch.sparkSession, table, columns, batch_id - 1, by)
+    votes_table.upsert_predictions(batch, table, batch_id, by)
+
+
+def ingest_votes(
+    stream: DataFrame, table: str, checkpoint: str, fold_every: int = FOLD_EVERY
+) -> None:
     """Validate the votes of a stream and upsert the last one per user and event."""
+    columns = accepted_votes(stream).schema
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        votes_table.upsert_predictions(batch, table, batch_id)
+        _store(batch, table, batch_id, columns, "event_id", fold_every)
 
     run_batches(accepted_votes(stream), on_batch, checkpoint)
 
 
-def _write_snapshot(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def _write_snapshot(
+    rows: DataFrame, path: str, keys: list[str], fold_every: int = FOLD_EVERY
+) -> None:
+    """Add rows that replace the older ones of their keys; fold when there are many folders.
+
+    A batch that runs again adds the same rows again. Folding writes one more folder with the
+    newest row of every key and then drops the others, so it can be broken off anywhere.
+    """
+    spark = rows.sparkSession
+    done = numbered_folders(spark, path, "batch")
+    number = done[-1] + 1 if done else 0
+    rows.write.parquet(f"{path}/batch={number}")
+    done.append(number)
+    if len(done) > fold_every:
+        read_snapshot(spark, path, keys).write.parquet(f"{path}/batch={number + 1}")
+        for old in done:
+            drop_folder(spark, f"{path}/batch={old}")
 
 
 def read_snapshot(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -76,19 +110,21 @@ def read_snapshot(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return latest_by(rows, keys, ["batch"]).drop("batch")
 
 
-def live_sentiment(stream: DataFrame, table: str, checkpoint: str, out: str) -> None:
+def live_sentiment(
+    stream: DataFrame, table: str, checkpoint: str, out: str, fold_every: int = FOLD_EVERY
+) -> None:
     """Keep sentiment per event: each batch counts again only the events it touches."""
     columns = accepted_votes(stream).schema
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        votes_table.upsert_predictions(batch, table, batch_id)
+        _store(batch, table, batch_id, columns, "event_id", fold_every)
         votes = votes_table.read_votes(
             batch.sparkSession, table, columns,
             votes_table.touched_buckets(batch), before=batch_id + 1,
         )
         touched = batch.select("event_id").distinct()
         counted = crowd.sentiment(votes.join(touched, "event_id", "left_semi"))
-        _write_snapshot(counted, out, batch_id)
+        _write_snapshot(counted, out, ["event_id"], fold_every)
 
     run_batches(accepted_votes(stream), on_batch, checkpoint)
 
@@ -111,6 +147,7 @@ def live_leaderboard(
     table: str,
     checkpoint: str,
     out: str,
+    fold_every: int = FOLD_EVERY,
 ) -> None:
     """Keep each user's board row and streaks: a batch rebuilds only the users it touches.
 
@@ -121,30 +158,52 @@ def live_leaderboard(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        votes_table.upsert_predictions(batch, table, batch_id, by="user")
+        _store(batch, table, batch_id, columns, "user", fold_every)
         votes = votes_table.read_votes(
             spark, table, columns,
             votes_table.touched_buckets(batch, "user"), before=batch_id + 1,
         )
         users = batch.select("user").distinct()
-        _write_snapshot(_rebuild_users(votes, users, read_outcomes(spark)), out, batch_id)
+        rebuilt = _rebuild_users(votes, users, read_outcomes(spark))
+        _write_snapshot(rebuilt, out, ["user"], fold_every)
 
     run_batches(accepted_votes(stream), on_batch, checkpoint)
 
 
-def apply_outcomes(
-    spark: SparkSession,
-    new: DataFrame,
-    outcomes: DataFrame,
+def live_outcomes(
+    stream: DataFrame,
+    known: str,
     table: str,
     columns: T.StructType,
+    checkpoint: str,
     out: str,
-    batch_id: int,
+    fold_every: int = FOLD_EVERY,
 ) -> None:
-    """Rebuild the users who voted on newly decided events; `batch_id` follows the vote batches."""
-    votes = votes_table.read_votes(spark, table, columns)
-    users = votes.join(new.select("event_id"), "event_id", "left_semi").select("user").distinct()
-    _write_snapshot(_rebuild_users(votes, users, outcomes), out, batch_id)
+    """Rebuild the board rows of users who voted on events as their outcomes arrive.
+
+    The second stream of the live board: outcomes (`event_id`, `outcome`, `decided_at`) are kept in
+    `known`, written per batch number; `read_outcomes` gives those known so far.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{known}/batch={batch_id}")
+        votes = votes_table.read_votes(spark, table, columns)
+        touched = votes.join(batch.select("event_id"), "event_id", "left_semi")
+        users = touched.select("user").distinct()
+        rebuilt = _rebuild_users(votes, users, read_outcomes(spark, known, batch.schema))
+        _write_snapshot(rebuilt, out, ["user"], fold_every)
+
+    run_batches(stream, on_batch, checkpoint)
+
+
+def read_outcomes(spark: SparkSession, known: str, columns: T.StructType) -> DataFrame:
+    """The newest outcome of every event known so far; none before the first batch."""
+    if not numbered_folders(spark, known, "batch"):
+        return spark.createDataFrame([], columns)
+    stored = T.StructType([*columns.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(stored).parquet(known)
+    return latest_by(rows, ["event_id"], ["batch", "decided_at", "outcome"]).drop("batch")
 
 
 def vote_trend(stream: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -180,7 +239,7 @@ def fresh_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "ticke
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         newest = latest_by(batch.select(key, "ts", "value"), [key], ["ts", "value"])
-        _write_snapshot(newest, out, batch_id)
+        _write_snapshot(newest, out, [key])
 
     run_batches(stream, on_batch, checkpoint)
 

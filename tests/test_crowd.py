@@ -189,20 +189,49 @@ def test_streams_equal_batch(spark, votes, outcomes, tmp_path):
 
     board, users = str(tmp_path / "board"), str(tmp_path / "t2")
     early = outcomes.filter("event_id < 10")
-    V.live_leaderboard(stream_of(spark, source), lambda s: early, users, str(tmp_path / "c2"), board)
+    known = str(tmp_path / "known")
+    early.write.parquet(known + "/batch=-1")
+
+    def so_far(session):
+        return V.read_outcomes(session, known, outcomes.schema)
+
+    V.live_leaderboard(stream_of(spark, source), so_far, users, str(tmp_path / "c2"), board, fold_every=2)
     got = V.read_snapshot(spark, board, ["user"])
     plain = K.leaderboard(K.current_votes(votes), early)
     assert rows(got, *plain.columns) == rows(plain)
+    # Four batches: the log holds what came after the last fold, the board one or two folders.
+    assert len(list((tmp_path / "t2" / "log").glob("batch=*"))) == 2
+    assert len(list((tmp_path / "t2" / "base").glob("batch=*"))) == 1
+    assert len(list((tmp_path / "board").glob("batch=*"))) <= 2
 
     columns = V.accepted_votes(stream_of(spark, source)).schema
-    later = outcomes.filter("event_id >= 10")
-    V.apply_outcomes(spark, later, outcomes, users, columns, board, 10)
+    late = str(tmp_path / "late")
+    for part in ("event_id >= 10 AND event_id % 2 = 0", "event_id >= 10 AND event_id % 2 = 1"):
+        outcomes.filter(part).coalesce(1).write.mode("append").parquet(late)
+    stream = spark.readStream.schema(outcomes.schema).option("maxFilesPerTrigger", 1).parquet(late)
+    V.live_outcomes(stream, known, users, columns, str(tmp_path / "c3"), board)
     got = V.read_snapshot(spark, board, ["user"])
     plain = K.leaderboard(K.current_votes(votes), outcomes)
     assert rows(got, *plain.columns) == rows(plain)
     assert {r.user: (r.current, r.best) for r in got.collect()} == loop_streaks(data)
 
 
+def test_trend_counts_valid_votes_once(spark, tmp_path):
+    source = str(tmp_path / "in")
+    data = [(str(i), f"u{i % 5}", i % 3, "APPROVE" if i % 2 else "CRL", START + timedelta(hours=5 * i), i) for i in range(60)]
+    noisy = data + data[10:14] + [("bad", "u1", 1, "MAYBE", data[20][4], 99)]
+    noisy.sort(key=lambda r: r[4])
+    write_files(spark, source, noisy, 3)
+    out = str(tmp_path / "out")
+    V.write_trend(V.vote_trend(stream_of(spark, source), delay="1 day"), out, str(tmp_path / "c"))
+    want = {}
+    for _, _, event, label, at, _ in data:
+        want.setdefault((event, at.date()), []).append(label == "APPROVE")
+    got = {(r.event_id, r.start.date()): (r.votes, r.approve_pct) for r in spark.read.parquet(out).collect()}
+    assert len(got) >= 25
+    assert got == {k: (len(v), pytest.approx(100 * sum(v) / len(v), abs=0.1)) for k, v in want.items() if k in got}
+
+
 def test_votes_once(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     data = make_votes(40)
