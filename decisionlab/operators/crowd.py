@@ -48,8 +48,9 @@ def user_predictions(votes: DataFrame, user: object) -> DataFrame:
 
 
 def current_votes(votes: DataFrame) -> DataFrame:
-    """One row per user and event: the last write wins."""
-    return latest_by(votes, ["user", "event_id"], ["created_at", "seq"])
+    """One row per user and event, without the vote's id: the last write wins."""
+    columns = [c for c in votes.columns if c != "id"]
+    return latest_by(votes.select(columns), ["user", "event_id"], ["created_at", "seq"])
 
 
 def sentiment(votes: DataFrame) -> DataFrame:
@@ -71,15 +72,14 @@ def with_sentiment(events: DataFrame, by_event: DataFrame) -> DataFrame:
 def leaderboard(votes: DataFrame, outcomes: DataFrame, limit: int | None = None) -> DataFrame:
     """Per user: votes, scored (a delay counts as scored), correct, accuracy and points.
 
-    Takes current votes. Equal rows are counted before they meet the outcomes, which have
-    one row per event. With `limit` only the leaders are kept, sorted.
+    Takes current votes. With `limit` only the leaders are kept, sorted.
     """
-    counted = votes.groupBy("user", "event_id", "label").agg(F.count(F.lit(1)).alias("_n"))
-    joined = counted.join(outcomes.select("event_id", "outcome"), "event_id", "left")
-    scored = F.sum(F.when(F.col("outcome").isNotNull(), F.col("_n")).otherwise(0))
-    correct = F.sum(F.when(F.col("label") == F.col("outcome"), F.col("_n")).otherwise(0))
+    rows = votes.select("user", "event_id", "label")
+    joined = rows.join(_voted_on(rows, outcomes).select("event_id", "outcome"), "event_id", "left")
+    scored = F.count("outcome")
+    correct = F.count_if(F.col("label") == F.col("outcome"))
     board = joined.groupBy("user").agg(
-        F.sum("_n").alias("total_predictions"),
+        F.count(F.lit(1)).alias("total_predictions"),
         scored.alias("scored_predictions"),
         correct.alias("correct"),
         C.ratio_pct(correct, scored).alias("accuracy_pct"),
@@ -98,12 +98,18 @@ def rank_leaders(board: DataFrame) -> DataFrame:
     return ranked.withColumn("medal", medal)
 
 
+def _voted_on(votes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The outcomes of events that have votes: few, so that the votes need not meet the others."""
+    return outcomes.join(votes.select("event_id").distinct(), "event_id", "left_semi")
+
+
 def scored_votes(votes: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Current votes with the event's outcome, decision time and whether they were right.
 
     A delayed decision is never right, and votes on undecided events are left out.
     """
-    joined = votes.join(outcomes.select("event_id", "outcome", "decided_at"), "event_id")
+    decided = _voted_on(votes, outcomes).select("event_id", "outcome", "decided_at")
+    joined = votes.join(decided, "event_id")
     return joined.withColumn("correct", F.col("label") == F.col("outcome"))
 
 

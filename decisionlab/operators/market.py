@@ -65,41 +65,67 @@ def price_asof(
     )
 
 
+def dyadic_blocks(first: Column, last: Column, top_level: int) -> Column:
+    """Blocks (level, block) of 2^level days each that make up the days `first`..`last` exactly.
+
+    Level by level from single days: an odd edge takes a block of its own, the rest is half as
+    many blocks of the next level. What is left at the top level is taken whole.
+    """
+    blocks = "array<struct<level:int,block:int>>"
+    empty = F.array().cast(blocks)
+
+    def block(take: Column, level: Column, number: Column) -> Column:
+        one = F.array(F.struct(level.cast("int").alias("level"), number.cast("int").alias("block")))
+        return F.when(take, one).otherwise(empty)
+
+    def half(number: Column) -> Column:
+        return F.shiftright(number, 1)
+
+    def step(s: Column, level: Column) -> Column:
+        left, right = s["left"], s["right"]
+        odd_left = (left < right) & (left.bitwiseAND(1) == 1)
+        odd_right = (left < right) & (right.bitwiseAND(1) == 1)
+        taken = [block(odd_left, level, left), block(odd_right, level, right - 1)]
+        return F.struct(
+            half(F.when(odd_left, left + 1).otherwise(left)).alias("left"),
+            half(F.when(odd_right, right - 1).otherwise(right)).alias("right"),
+            F.concat(s["out"], *taken).alias("out"),
+        )
+
+    def finish(s: Column) -> Column:
+        whole = F.transform(F.sequence(s["left"], s["right"] - 1), lambda n: F.struct(
+            F.lit(top_level).alias("level"), n.cast("int").alias("block")
+        ))
+        return F.concat(s["out"], F.when(s["left"] < s["right"], whole).otherwise(empty))
+
+    start = F.struct(first.alias("left"), (last + 1).alias("right"), empty.alias("out"))
+    levels = F.sequence(F.lit(0), F.lit(top_level - 1)) if top_level else F.array().cast("array<int>")
+    return F.aggregate(levels, start, step, finish)
+
+
 def peak_move(predictions: DataFrame, quotes: DataFrame, top_level: int = 7) -> DataFrame:
     """Highest price in the days `from_day`..`to_day` (inclusive) of each prediction.
 
-    Quotes shrink to one row per ticker and day, and predictions to the distinct spans
-    asked for. A span is covered by few windows of 2^k days, and their maxima are found by
-    equi join, so neither pairs nor a whole ticker's quotes meet in one task.
+    Quotes shrink to one row per ticker and day, then to the highest price of every block of 2^k
+    days. A span asked for is a few such blocks, found by equi join, so neither pairs nor
+    a whole ticker's quotes meet in one task, and no window slides.
     """
     daily = quotes.groupBy("ticker", F.unix_date(F.to_date("ts")).alias("day")).agg(
         F.max("price").alias("price")
     )
+    levels = F.transform(F.sequence(F.lit(0), F.lit(top_level)), lambda k: F.struct(
+        k.alias("level"), F.call_function("shiftright", F.col("day"), k).alias("block")
+    ))
+    tops = daily.select("ticker", "price", F.explode(levels).alias("_b")).groupBy(
+        "ticker", F.col("_b.level").alias("level"), F.col("_b.block").alias("block")
+    ).agg(F.max("price").alias("price"))
+
     key = ["ticker", "from_day", "to_day"]
     spans = predictions.select(key).filter(F.col("to_day") >= F.col("from_day")).distinct()
-    first, last = F.unix_date("from_day"), F.unix_date("to_day")
-    # The half keeps the logarithm of an exact power of two clear of its integer bound.
-    level = F.least(F.floor(F.log2(last - first + 1.5)), F.lit(top_level)).cast("int")
-    width = F.call_function("shiftleft", F.lit(1), F.col("level"))
-    last_start = last + 1 - width
-    # Windows of 2^level days from the first day on, and one that ends on the last day.
-    starts = F.array_union(F.sequence(first, last_start, width), F.array(last_start))
-    probes = spans.withColumn("level", level).select(
-        *key, "level", F.explode(starts).alias("day")
-    )
-
-    asked = probes.select("ticker", "day").distinct()
-    days = daily.unionByName(asked, allowMissingColumns=True).groupBy("ticker", "day").agg(
-        F.max("price").alias("price")
-    )
-    # At most one row per ticker and calendar day is left, so a ticker's window is bounded.
-    ordered = Window.partitionBy("ticker").orderBy("day")
-    peaks = F.array(*[
-        F.max("price").over(ordered.rangeBetween(0, 2**k - 1)) for k in range(top_level + 1)
-    ])
-    tops = days.select("ticker", "day", peaks.alias("peaks"))
-    found = probes.join(tops, ["ticker", "day"]).groupBy(*key).agg(
-        F.max(F.get("peaks", F.col("level"))).alias("peak")
+    blocks = dyadic_blocks(F.unix_date("from_day"), F.unix_date("to_day"), top_level)
+    probes = spans.select(*key, F.explode(blocks).alias("_b")).select(*key, "_b.level", "_b.block")
+    found = probes.join(tops, ["ticker", "level", "block"]).groupBy(*key).agg(
+        F.max("price").alias("peak")
     )
     price = F.nullif("price", F.lit(0.0))
     return predictions.join(found, key, "left").withColumn(

@@ -45,19 +45,23 @@ def normalize_quotes(raw: DataFrame, objects: bool = False) -> DataFrame:
 def normalize_insider(raw: DataFrame, n: int = 20, tie: list[str] | None = None) -> DataFrame:
     """The newest `n` insider trades per ticker; `tie` names columns that order equal dates."""
     tie = tie or ["ts"]
-    trades = raw.select(
-        "ticker", *tie, F.posexplode(_array("body", schema.INSIDER_BODY)).alias("pos", "_t")
-    ).select(
+    # Ranked on the dates alone; only the payloads of what is left are read in full.
+    dates = raw.select(
+        "ticker", *tie, "body",
+        F.posexplode(_array("body", "array<struct<transactionDate:string>>")).alias("pos", "_d"),
+    ).withColumn("date", F.try_to_date("_d.transactionDate")).drop("_d")
+    newest = top_n_by(dates, ["ticker"], ["-date", *[f"-{c}" for c in tie], "pos"], n)
+    trade = F.get(F.from_json("body", schema.INSIDER_BODY), F.col("pos"))
+    return newest.withColumn("_t", trade).select(
         "ticker",
         *tie,
-        "pos",
-        F.try_to_date("_t.transactionDate").alias("date"),
+        "date",
         F.col("_t.reportingName").alias("insider"),
         F.col("_t.transactionType").alias("transaction_type"),
         F.col("_t.securitiesTransacted").alias("shares"),
         F.col("_t.price").alias("price"),
+        "rn",
     )
-    return top_n_by(trades, ["ticker"], ["-date", *[f"-{c}" for c in tie], "pos"], n).drop("pos")
 
 
 def normalize_social(raw: DataFrame) -> DataFrame:
