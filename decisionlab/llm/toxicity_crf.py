@@ -14,6 +14,8 @@ from decisionlab.llm.labelled import Adam, Sample, sample_of, sigmoid
 from decisionlab.llm.text import Slices, chunks, lower_ascii, mix, utf8, words
 
 CHUNK = 2 << 20
+# Characters of the sample that one step of the fit holds at once.
+FIT_PART = 1 << 20
 FEATURE_BITS = 18
 # Bounds of the training sample: documents of each label, and their longest text.
 PER_CLASS, LONGEST = 2_000, 20_000
@@ -137,48 +139,99 @@ def document_features(marginal: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(full)), odds, np.log1p(total)], 1)
 
 
-def token_labels(
-    buckets: np.ndarray, before: np.ndarray, toxic: np.ndarray, used: np.ndarray
-) -> np.ndarray:
-    """Tokens of toxic documents whose word or beginning belongs to toxic documents in use."""
-    doc = np.repeat(np.arange(len(toxic)), np.diff(before))
-    tagged = np.zeros(len(doc), bool)
-    for row in buckets[: 1 + len(BEGINNINGS)]:
-        seen = np.unique((doc * (1 << FEATURE_BITS) + row)[used[doc]])
-        place, label = seen & ((1 << FEATURE_BITS) - 1), toxic[seen >> FEATURE_BITS]
-        n = np.bincount(place, minlength=1 << FEATURE_BITS)
-        p = np.bincount(place, label, minlength=1 << FEATURE_BITS) / np.maximum(n, 1)
-        z = DEVIATIONS**2 / np.maximum(n, 1)
-        low = (p + z / 2 - np.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z)
-        tagged |= (low > 0.5)[row]
-    return tagged & (toxic[doc] > 0)
-
-
-def fit_field(
-    model: Model, buckets: np.ndarray, before: np.ndarray, first: np.ndarray, toxic: np.ndarray, used: np.ndarray
-) -> bool:
-    """Fit weights and moves to the tagged tokens of the documents in use."""
-    doc = np.repeat(np.arange(len(toxic)), np.diff(before))
-    tags = token_labels(buckets, before, toxic, used)
-    # Toxic documents in which nothing could be tagged say nothing about their tokens.
-    told = used & ((toxic == 0) | (np.bincount(doc, tags, minlength=len(toxic)) > 0))
-    x, y, begins = buckets[:, told[doc]], tags[told[doc]].astype(np.float64), first[told[doc]]
-    if not y.any():
+@dataclass
+class Part:
+    """Some documents of the sample: small enough that every step of the fit is."""
+
+    buckets: np.ndarray
+    before: np.ndarray
+    first: np.ndarray
+    toxic: np.ndarray
+    apart: np.ndarray
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.toxic)), np.diff(self.before))
+
+
+def parts_of(sample: Sample) -> list[Part]:
+    """The sample's documents in parts; every third document is set apart."""
+    out, start, size = [], 0, 0
+    for i, row in enumerate(sample.rows):
+        size += len(row["text"] or "")
+        if size >= FIT_PART or i + 1 == len(sample.rows):
+            texts = pa.array([r["text"] or "" for r in sample.rows[start : i + 1]])
+            buckets, before, (_, _, first) = features(*utf8(texts))
+            apart = np.arange(start, i + 1) % 3 == 0
+            out.append(Part(buckets, before, first, sample.labels[start : i + 1], apart))
+            start, size = i + 1, 0
+    return out
+
+
+def toxic_features(parts: list[Part], unseen: bool) -> list[np.ndarray]:
+    """For words and each kind of beginning, the buckets that belong to toxic documents.
+
+    `unseen` leaves out the documents set apart.
+    """
+    out = []
+    for kind in range(1 + len(BEGINNINGS)):
+        n, toxic = np.zeros(1 << FEATURE_BITS), np.zeros(1 << FEATURE_BITS)
+        for part in parts:
+            doc = part.doc
+            cells = doc * (1 << FEATURE_BITS) + part.buckets[kind]
+            seen = np.unique(cells[~part.apart[doc]] if unseen else cells)
+            place = seen & ((1 << FEATURE_BITS) - 1)
+            n += np.bincount(place, minlength=1 << FEATURE_BITS)
+            toxic += np.bincount(place, part.toxic[seen >> FEATURE_BITS], minlength=1 << FEATURE_BITS)
+        p, z = toxic / np.maximum(n, 1), DEVIATIONS**2 / np.maximum(n, 1)
+        out.append((p + z / 2 - np.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z) > 0.5)
+    return out
+
+
+def tagged_parts(parts: list[Part], unseen: bool) -> list[tuple[np.ndarray, ...]]:
+    """Feature buckets, tags and beginnings of the documents that the field learns from."""
+    marked, out = toxic_features(parts, unseen), []
+    for part in parts:
+        doc = part.doc
+        hit = np.zeros(len(doc), bool)
+        for kind, flags in enumerate(marked):
+            hit |= flags[part.buckets[kind]]
+        hit &= part.toxic[doc] > 0
+        # Toxic documents in which nothing could be tagged say nothing about their tokens.
+        told = (part.toxic == 0) | (np.bincount(doc, hit, minlength=len(part.toxic)) > 0)
+        if unseen:
+            told &= ~part.apart
+        use = told[doc]
+        if use.any():
+            out.append((part.buckets[:, use], hit[use].astype(np.float64), part.first[use]))
+    return out
+
+
+def fit_field(model: Model, parts: list[Part], unseen: bool) -> bool:
+    """Fit weights and moves to the tagged tokens; False if there is nothing to learn."""
+    data = tagged_parts(parts, unseen)
+    if not any(y.any() for _, y, _ in data):
         return False
-    pairs = 2 * y[:-1].astype(int) + y[1:].astype(int)
-    moved = np.bincount(pairs[~begins[1:]], minlength=4).reshape(2, 2)
-    started = np.bincount(y[begins].astype(int), minlength=2)
+    moved, started = np.zeros((2, 2)), np.zeros(2)
+    for _, y, begins in data:
+        pairs = 2 * y[:-1].astype(int) + y[1:].astype(int)
+        moved += np.bincount(pairs[~begins[1:]], minlength=4).reshape(2, 2)
+        started += np.bincount(y[begins].astype(int), minlength=2)
     values = {"weights": model.weights, "moves": model.moves, "start": model.start}
     adam = Adam(0.3)
     for _ in range(STEPS):
-        marginal, moves, starts = chain(model, model.weights[x].sum(axis=0), begins, True)
-        gap = marginal - y
-        weights = sum(np.bincount(row, gap, minlength=1 << FEATURE_BITS) for row in x)
-        adam.step(values, {
-            "weights": weights + DECAY * model.weights,
-            "moves": moves - moved + DECAY * model.moves,
-            "start": starts - started + DECAY * model.start,
-        })
+        slope = {
+            "weights": DECAY * model.weights,
+            "moves": DECAY * model.moves - moved,
+            "start": DECAY * model.start - started,
+        }
+        for x, y, begins in data:
+            marginal, moves, starts = chain(model, model.weights[x].sum(axis=0), begins, True)
+            for row in x:
+                slope["weights"] += np.bincount(row, marginal - y, minlength=1 << FEATURE_BITS)
+            slope["moves"] += moves
+            slope["start"] += starts
+        adam.step(values, slope)
     return True
 
 
@@ -196,17 +249,21 @@ def fit(sample: Sample) -> Model:
     unusable.usable = False
     if not sample.usable:
         return unusable
-    buckets, before, (_, _, first) = features(*utf8(pa.array([r["text"] or "" for r in sample.rows])))
-    apart = np.arange(len(sample.labels)) % 3 == 0
+    parts = parts_of(sample)
     trial, model = blank(), blank()
-    if not fit_field(trial, buckets, before, first, sample.labels, ~apart):
+    if not fit_field(trial, parts, unseen=True):
         return unusable
-    fit_field(model, buckets, before, first, sample.labels, np.ones_like(apart))
-    marginal = chain(trial, trial.weights[buckets].sum(axis=0), first)
-    z, labels = document_features(marginal, before)[apart], sample.labels[apart]
+    fit_field(model, parts, unseen=False)
+    rows, labels = [], []
+    for part in parts:
+        scores = trial.weights[part.buckets].sum(axis=0)
+        marginal = chain(trial, scores, part.first) if len(scores) else scores
+        rows.append(document_features(marginal, part.before)[part.apart])
+        labels.append(part.toxic[part.apart])
+    z, y = np.concatenate(rows), np.concatenate(labels)
     adam = Adam(0.1)
     for _ in range(600):
-        gap = sigmoid(z @ model.document) - labels
+        gap = sigmoid(z @ model.document) - y
         slope = z.T @ gap / len(gap) + 1e-3 * model.document * np.array([0, 1, 1])
         adam.step({"document": model.document}, {"document": slope})
     model.document[0] += sample.prior_shift()
