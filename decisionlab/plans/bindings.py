@@ -280,7 +280,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trades as landed JSON, one array each; every seventh line is no array."""
+    """The trades as landed JSON, one array each; that of a single share is no array."""
     body = F.to_json(F.array(F.struct(
         F.col("date").cast("string").alias("transactionDate"),
         F.col("insider").alias("reportingName"),
@@ -288,7 +288,7 @@ def trades_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("shares").alias("securitiesTransacted"),
         F.col("price").alias("price"),
     )))
-    odd = F.col("seq") % 7 == 0
+    odd = F.col("shares") < 2
     return trades(spark, sf_dir).select(
         "ticker", "seq", F.when(odd, '{"error":"none"}').otherwise(body).alias("body")
     )
@@ -303,6 +303,10 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Quotes below this come as an empty array.
+SMALL_QUOTE = 20_000
+
+
 def quotes_raw(spark: SparkSession, sf_dir: str, objects: bool = False) -> DataFrame:
     """The quotes as landed JSON, each fallback field set, zero or missing in turn.
 
@@ -322,7 +326,7 @@ def quotes_raw(spark: SparkSession, sf_dir: str, objects: bool = False) -> DataF
     if objects:
         body = F.when(F.col("price") > 100_000, F.to_json(item)).otherwise(body)
     return quotes(spark, sf_dir).select(
-        "ticker", "ts", "seq", F.when(k % 13 == 0, "[]").otherwise(body).alias("body")
+        "ticker", "ts", "seq", F.when(F.col("price") < SMALL_QUOTE, "[]").otherwise(body).alias("body")
     )
 
 

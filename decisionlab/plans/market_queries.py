@@ -38,7 +38,7 @@ def normalized_quotes(spark, sf_dir):
 SELECT ticker, seq, CAST(date AS VARCHAR) AS date, insider, transaction_type, shares,
   round(price, 9) AS price, rn
 FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC, seq DESC) AS rn
-  FROM trade WHERE seq % 7 <> 0) WHERE rn <= 20""", "trade")
+  FROM trade WHERE shares >= 2) WHERE rn <= 20""", "trade")
 def newest_insider_trades(spark, sf_dir):
     rows = raw.normalize_insider(B.trades_raw(spark, sf_dir), 20, tie=["seq"])
     return rows.select(
@@ -139,14 +139,14 @@ def social_wide(spark, sf_dir):
 SELECT e.event_id, round(q.price, 2) AS price, round(w.months, 6) AS months, i.signal,
   round(s.mean, 6) AS weighted_mean
 FROM event e
-  LEFT JOIN last_quote q ON q.ticker = e.ticker AND e.event_id % 3 <> 0
-  LEFT JOIN runway w ON w.ticker = e.ticker AND e.event_id % 3 <> 0
-  LEFT JOIN insider i ON i.ticker = e.ticker AND e.event_id % 3 <> 0
+  LEFT JOIN last_quote q ON q.ticker = e.ticker AND e.phase IS DISTINCT FROM 'Phase 2'
+  LEFT JOIN runway w ON w.ticker = e.ticker AND e.phase IS DISTINCT FROM 'Phase 2'
+  LEFT JOIN insider i ON i.ticker = e.ticker AND e.phase IS DISTINCT FROM 'Phase 2'
   LEFT JOIN (SELECT ticker, sum(score * n) / nullif(sum(n), 0) AS mean FROM social GROUP BY 1) s
-    ON s.ticker = e.ticker AND e.event_id % 3 <> 0""", "event last_quote runway insider social")
+    ON s.ticker = e.ticker AND e.phase IS DISTINCT FROM 'Phase 2'""", "event last_quote runway insider social")
 def enriched_events(spark, sf_dir):
-    """Events with market data; every third one is of a private company."""
-    private = F.when(F.col("event_id") % 3 == 0, "Private").otherwise(F.col("ticker"))
+    """Events with market data; those in phase 2 are of private companies."""
+    private = F.when(F.col("phase") == "Phase 2", "Private").otherwise(F.col("ticker"))
     social = M.social_summary(B.social(spark, sf_dir)).groupBy("ticker").agg(
         F.max("weighted_mean").alias("weighted_mean")
     )

@@ -203,13 +203,13 @@ VIEWS: dict[str, tuple[str, str]] = {
       o_orderkey AS seq FROM orders"""),
     "norm_quote": ("quote", """
     SELECT ticker, ts, seq,
-      CASE WHEN seq % 13 <> 0 THEN price END AS price,
-      CAST(CASE WHEN seq % 13 = 0 THEN 0.0 WHEN seq % 3 = 0 AND seq % 50 <> 0 THEN seq % 50
+      CASE WHEN price >= 20000 THEN price END AS price,
+      CAST(CASE WHEN price < 20000 THEN 0.0 WHEN seq % 3 = 0 AND seq % 50 <> 0 THEN seq % 50
         WHEN seq % 2 = 0 THEN 2.5 ELSE 0.0 END AS DOUBLE) AS change_pct,
-      CAST(CASE WHEN seq % 13 = 0 THEN 0 ELSE seq % 4 END AS DOUBLE) AS change,
-      CAST(CASE WHEN seq % 13 = 0 OR seq % 5 = 0 THEN 0 ELSE seq % 1000 END AS DOUBLE) AS volume,
-      CASE WHEN seq % 13 = 0 THEN 0.0 ELSE price * 10 END AS market_cap,
-      CASE WHEN seq % 13 <> 0 AND seq % 6 = 1 THEN 'name-' || ticker ELSE ticker END AS name
+      CAST(CASE WHEN price < 20000 THEN 0 ELSE seq % 4 END AS DOUBLE) AS change,
+      CAST(CASE WHEN price < 20000 OR seq % 5 = 0 THEN 0 ELSE seq % 1000 END AS DOUBLE) AS volume,
+      CASE WHEN price < 20000 THEN 0.0 ELSE price * 10 END AS market_cap,
+      CASE WHEN price >= 20000 AND seq % 6 = 1 THEN 'name-' || ticker ELSE ticker END AS name
     FROM quote"""),
     "last_quote": ("norm_quote", """
     SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (

@@ -194,3 +194,16 @@ def test_zone_changes_against_every_event(spark, after):
     )
     got = rows(S.zone_changes(df, AS_OF, after), "event_id", "old_zone", "new_zone")
     assert got == [x for x in want if x[1] != x[2]]
+
+
+def test_area_rates_golden(spark):
+    """Every stored rate follows from its own counts; 373 of 456 in all."""
+    history = [
+        (area, "APPROVED" if i < approved else "CRL")
+        for area, (approved, total, _) in dims.AREA_RATES.items()
+        for i in range(total)
+    ]
+    got = S.area_rates(spark.createDataFrame(history, "area string, outcome string")).collect()
+    assert {r.area: (r.approved, r.total, r.rate) for r in got} == dims.AREA_RATES
+    assert len(got) == 17 and (sum(r.approved for r in got), sum(r.total for r in got)) == (373, 456)
+    assert [r.rate for r in got] == sorted((r.rate for r in got), reverse=True)
