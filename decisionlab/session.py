@@ -66,6 +66,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what this application's jobs wrote to the shared folder; call it when they are done."""
+    drop_folder(spark, f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
