@@ -243,18 +243,35 @@ class Duplicates:
     def keepers(self) -> DataFrame:
         """The mark of one row of each group: that of its smallest key, nulls last."""
         rows = cut_lineage(self.prints())
-        place = F.struct(F.col("key").isNull(), F.col("key"), F.col("mark"))
         nodes = cut_lineage(
-            rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(place).alias("place"))
-            .select("node", "fp", "place", F.col("place.mark").alias("mark"))
+            rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(place()).alias("place"))
+            .select("node", "fp", F.col("place.mark").alias("mark"))
         )
-        roots = self.roots(nodes)
+        return self.firsts(rows, self.roots(nodes))
+
+    def firsts(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The mark of the first row (columns `key`, `mark`, `node`) of each group."""
+        nodes = rows.groupBy("node").agg(F.min(place()).alias("place"))
         groups = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(
             F.min("place").alias("place")
         )
         return groups.select(F.col("place.mark").alias("mark"))
 
 
+def place() -> Column:
+    """What rows of a group are ordered by."""
+    return F.struct(F.col("key").isNull(), F.col("key"), F.col("mark"))
+
+
+def one_row_each(docs: DataFrame, key: str, text: str, marks: DataFrame) -> DataFrame:
+    """One row of `docs`, with all its columns, for each of `marks`."""
+    keep = cut_lineage(marks).withColumnRenamed("mark", "_mark")
+    marked = docs.withColumn("_mark", F.xxhash64(F.col(key), F.col(text)))
+    one = Window.partitionBy("_mark").orderBy("_mark")
+    kept = marked.join(keep, "_mark").withColumn("_turn", F.row_number().over(one))
+    return kept.filter("_turn = 1").select(docs.columns)
+
+
 def unique_rows(
     docs: DataFrame,
     key: str = "doc_id",
@@ -273,8 +290,4 @@ def unique_rows(
     ones included, are one group; fewer words than `width` are one shingle.
     """
     job = Duplicates(docs, key, text, width, bits, similarity)
-    keep = cut_lineage(job.keepers()).withColumnRenamed("mark", "_mark")
-    marked = docs.withColumn("_mark", F.xxhash64(F.col(key), F.col(text)))
-    one = Window.partitionBy("_mark").orderBy("_mark")
-    kept = marked.join(keep, "_mark").withColumn("_turn", F.row_number().over(one))
-    return kept.filter("_turn = 1").select(docs.columns)
+    return one_row_each(docs, key, text, job.keepers())
