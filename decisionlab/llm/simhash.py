@@ -225,9 +225,8 @@ class Duplicates:
         dense group of near copies costs a few links for each, not all its pairs.
         """
         segments = Segments(self.bits)
-        entry = Window.partitionBy("part", "value")
         prints = nodes.select("node", "fp")
-        led = segments.balls(prints).withColumn("lead", F.min(F.struct("node", "fp")).over(entry))
+        led = leads(segments.balls(prints))
         close = (F.col("lead.node") < F.col("node")) & segments.near(F.col("lead.fp"), F.col("fp"))
         first = led.filter(close).groupBy(F.col("node").alias("b")).agg(F.min("lead.node").alias("a"))
         first = components(self.verified(cut_lineage(first.select("a", "b")), nodes))
@@ -258,6 +257,12 @@ class Duplicates:
         return groups.select(F.col("place.mark").alias("mark"))
 
 
+def leads(table: DataFrame) -> DataFrame:
+    """Every table entry with `lead`, its smallest node; minima combine map-side."""
+    least = table.groupBy("part", "value").agg(F.min(F.struct("node", "fp")).alias("lead"))
+    return table.join(least, ["part", "value"])
+
+
 def place() -> Column:
     """What rows of a group are ordered by."""
     return F.struct(F.col("key").isNull(), F.col("key"), F.col("mark"))

@@ -54,3 +54,12 @@ def test_stage_finds_pairs_that_are_far_apart_in_simhash(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
     check_unique(rows, kept)
     assert len(kept) == 60 < simhash.unique_rows(df).count()
+
+
+def test_leads_combine_before_the_shuffle(spark):
+    rng = random.Random(3)
+    rows = [(n, rng.randrange(99), rng.randrange(3), rng.randrange(4)) for n in range(200)]
+    got = simhash.leads(spark.createDataFrame(rows, "node long, fp long, part int, value long"))
+    want = {(n, min(r[:2] for r in rows if r[2:] == (p, v))) for n, _, p, v in rows}
+    assert {(r.node, tuple(r.lead)) for r in got.collect()} == want and got.count() == len(rows)
+    assert "Window" not in got._jdf.queryExecution().toString()
