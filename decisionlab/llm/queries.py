@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlab.llm import decontaminate, embedding_dedup, packing, quality_fm, secret_scan, simhash, suffix_dedup, toxicity_crf, training_order, url_reputation
+from decisionlab.llm import (
+    conversation_repair,
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    packing,
+    periodic_runs,
+    quality_fm,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    toxicity_crf,
+    training_order,
+    url_reputation,
+)
 from decisionlab.llm.labelled import held_out
 from decisionlab.llm.url_reputation import Rule
 
@@ -319,6 +333,76 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
 
 
+@query()
+def op11_kneser_ney_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from three quarters of their keys."""
+    docs = read(spark, sf_dir, "documents")
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = language_id.identify(docs, language_id.train(docs.filter(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), F.col("lang").alias("lang_pred"), "score", "accepted")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults in some rows, by the checksum of conversation and turn."""
+    name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fault = F.crc32(F.concat_ws(":", *name).cast("binary")) % 20
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("fault", fault).filter("fault <> 0")
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    rows = read(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(damaged(rows)).summary
+    every = rows.select("conv_id").distinct()
+    zero = F.lit(0).cast("long")
+    counts = [F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth repeats some of its words to its end, by the checksum of its key."""
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    some = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    some = some.withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    some = some.withColumn("n", F.size("words").cast("long")).withColumn("g", F.floor(F.col("h") / 10))
+    some = some.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    head = F.slice("words", F.lit(1), F.col("a").cast("int"))
+    loop = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    loops = F.flatten(F.array_repeat(loop, (3 + F.col("g") % 8).cast("int")))
+    tail = F.slice(loops, F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    text = F.when(F.col("a").isNotNull(), F.array_join(F.concat(head, tail), " ")).otherwise(F.col("text"))
+    return some.select("doc_id", text.alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeated words of all documents, and the texts without them."""
+    found = periodic_runs.periodic_runs(looped(read(spark, sf_dir, "documents")))
+    # Runs come by start, then period: the first of equals stays. Fractions are compared exactly.
+    best = F.aggregate(
+        F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)),
+        lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a),
+    )
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over `documents`."""
