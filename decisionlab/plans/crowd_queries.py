@@ -12,6 +12,7 @@ from decisionlab.plans.oracle_views import pct_sql
 from decisionlab.plans.registry import query, r6
 from decisionlab.session import new_dir
 from decisionlab.sources import votes_table
+from decisionlab.streaming import live as L
 from decisionlab.streaming import votes as V
 
 
@@ -206,61 +207,71 @@ def vote_upserts(spark, sf_dir):
     return stored.select("user", "event_id", "label", "seq")
 
 
+PARTS = {"groups": 16, "shards": 2, "partitions": 4, "fold_every": 2}
+
+
+def _landing(spark, rows, key, files):
+    """A stream of all rows, landed in several files, that takes one file a batch."""
+    path = new_dir(spark, "landed")
+    rows.repartition(files, key).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _live(spark, sf_dir):
+    """Live tables of three batches of votes and of outcomes; the tables are small, so the state is in few parts."""
+    return L.LiveTables(
+        new_dir(spark, "live"), _landing(spark, B.votes(spark, sf_dir), "id", 3),
+        _landing(spark, B.outcomes(spark, sf_dir), "event_id", 3), **PARTS, files=4,
+    )
+
+
 @query('SELECT "user", event_id, label, seq FROM latest', "latest")
 def stream_votes(spark, sf_dir):
-    stream, table = B.vote_stream(spark, sf_dir), new_dir(spark, "votes")
-    V.ingest_votes(stream, table, new_dir(spark, "ingest"))
+    """Current votes of a stream of four batches, folded after every second."""
+    stream, table = _landing(spark, B.votes(spark, sf_dir), "id", 4), new_dir(spark, "votes")
+    V.ingest_votes(stream, table, new_dir(spark, "ingest"), fold_every=2)
     stored = votes_table.read_votes(spark, table, V.accepted_votes(stream).schema)
     return stored.select("user", "event_id", "label", "seq")
 
 
 @query(SENTIMENT_SQL, "crowd")
 def stream_sentiment(spark, sf_dir):
-    out = new_dir(spark, "sentiment")
-    V.live_sentiment(
-        B.vote_stream(spark, sf_dir), new_dir(spark, "votes"), new_dir(spark, "live"), out
-    )
-    return V.read_snapshot(spark, out, ["event_id"])
+    """Sentiment of every event, kept by the changes of three batches of votes."""
+    live = _live(spark, sf_dir)
+    live.advance("sentiment")
+    return live.sentiment()
 
 
 @query(f"""
 SELECT b.*, coalesce(s.current, 0) AS current, coalesce(s.best, 0) AS best
 FROM board b LEFT JOIN ({STREAK_SQL}) s USING ("user")""", "board runs")
 def stream_leaderboard(spark, sf_dir):
-    """Board and streaks of every user, kept by the stream."""
-    out = new_dir(spark, "board")
-    V.live_leaderboard(
-        B.vote_stream(spark, sf_dir), lambda session: B.outcomes(session, sf_dir),
-        new_dir(spark, "votes"), new_dir(spark, "live"), out,
-    )
-    return V.read_snapshot(spark, out, ["user"])
+    """Board and streaks of every user, kept by the changes of three batches of votes and of outcomes."""
+    live = _live(spark, sf_dir)
+    live.advance("board")
+    return live.board()
 
 
 @query(f"""
 SELECT b.*, coalesce(s.current, 0) AS current, coalesce(s.best, 0) AS best
 FROM board b LEFT JOIN ({STREAK_SQL}) s USING ("user")""", "board runs")
 def stream_late_outcomes(spark, sf_dir):
-    """The same board from four batches of votes, and outcomes that arrive after them in three."""
-    votes, outcomes = new_dir(spark, "landed"), new_dir(spark, "landed")
-    # As they land: one file a batch.
-    B.votes(spark, sf_dir).repartition(4, "id").write.parquet(votes)
-    decided = B.outcomes(spark, sf_dir)
-    decided.repartition(3, "event_id").write.parquet(outcomes)
-
-    def landing(path, like):
-        return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-    stream = landing(votes, spark.read.parquet(votes))
-    table, known, out = (new_dir(spark, n) for n in ("votes", "known", "board"))
-    V.live_leaderboard(
-        stream, lambda session: V.read_outcomes(session, known, decided.schema),
-        table, new_dir(spark, "live"), out, fold_every=2,
-    )
-    V.live_outcomes(
-        landing(outcomes, decided), known, table, V.accepted_votes(stream).schema,
-        new_dir(spark, "live"), out, fold_every=2,
+    """The same board where outcomes arrive after the votes, first a wrong one for every third event."""
+    outcomes, path = B.outcomes(spark, sf_dir), new_dir(spark, "landed")
+    third = F.col("event_id") % 3 == 0
+    wrong = F.when(F.col("outcome") == "CRL", "APPROVE").otherwise("CRL")
+    early = F.col("decided_at") - F.expr("INTERVAL 5 DAYS")
+    outcomes.filter("false").write.parquet(path)
+    live = L.LiveTables(
+        new_dir(spark, "live"), _landing(spark, B.votes(spark, sf_dir), "id", 3),
+        spark.readStream.schema(outcomes.schema).parquet(path), **PARTS,
     )
-    return V.read_snapshot(spark, out, ["user"])
+    live.advance("board")
+    first = outcomes.filter(third).select("event_id", wrong.alias("outcome"), early.alias("decided_at"))
+    for landed in (first, outcomes.filter(~third), outcomes.filter(third)):
+        landed.write.mode("append").parquet(path)
+        live.advance("board")
+    return live.board()
 
 
 @query(f"""
@@ -270,9 +281,15 @@ FROM vote GROUP BY event_id, date_trunc('day', created_at)
 HAVING date_trunc('day', created_at) + INTERVAL 1 DAY
   <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM vote)""", "vote")
 def stream_vote_trend(spark, sf_dir):
-    """Completed one-day windows of the vote stream."""
-    path = new_dir(spark, "trend")
-    V.write_trend(V.vote_trend(B.vote_stream(spark, sf_dir)), path, new_dir(spark, "live"))
+    """Completed one-day windows of a vote stream that lands in three parts, the earliest first."""
+    path, landed, state = (new_dir(spark, n) for n in ("trend", "landed", "live"))
+    votes = B.votes(spark, sf_dir)
+    cuts = [F.lit(day).cast("timestamp") for day in ("2024-01-11", "2024-01-21")]
+    at = F.col("created_at")
+    for part in (at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1]):
+        votes.filter(part).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(votes.schema).parquet(landed)
+        V.write_trend(V.vote_trend(stream), path, state)
     return spark.read.parquet(path).select(
         "event_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "votes", "approve_pct"
     )

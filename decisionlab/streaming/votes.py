@@ -1,9 +1,8 @@
-"""Vote streams: ingest, live sentiment, live leaderboard and streaks, vote trend.
+"""Vote streams: ingest, vote trend, and tables that streams rewrite key by key.
 
-Every stream reads files as they land. State lives in tables in the shared folder. Votes are
-written per batch number, so a batch that runs again after a failure replaces what it wrote;
-live tables get the rows a batch rebuilt, the newest of each key counting. Every few batches both
-are folded into one, and what was folded is dropped.
+Every stream reads files as they land. Votes are written per batch number, so a batch that runs
+again after a failure replaces what it wrote; live tables (`live`) get the rows a batch touched, the newest of
+each key counting. Every few batches both are folded into one, and what was folded is dropped.
 """
 
 from __future__ import annotations
@@ -39,9 +38,9 @@ def votes_once(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def run_batches(
-    stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str
-) -> None:
-    """Feed all that has landed to `on_batch`, one micro-batch after the other."""
+    stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> list[dict]:
+    """Feed all that has landed to `on_batch`, one micro-batch after the other; their progress."""
 
     def guarded(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -54,10 +53,12 @@ def run_batches(
     query = (
         stream.writeStream.foreachBatch(guarded)
         .option("checkpointLocation", checkpoint)
+        .outputMode(mode)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    return [p for p in query.recentProgress if p["numInputRows"]]
 
 
 # Batches after which a stream folds its tables.
@@ -85,7 +86,7 @@ def ingest_votes(
     run_batches(accepted_votes(stream), on_batch, checkpoint)
 
 
-def _write_snapshot(
+def write_snapshot(
     rows: DataFrame, path: str, keys: list[str], fold_every: int = FOLD_EVERY
 ) -> None:
     """Add rows that replace the older ones of their keys; fold when there are many folders.
@@ -110,102 +111,6 @@ def read_snapshot(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return latest_by(rows, keys, ["batch"]).drop("batch")
 
 
-def live_sentiment(
-    stream: DataFrame, table: str, checkpoint: str, out: str, fold_every: int = FOLD_EVERY
-) -> None:
-    """Keep sentiment per event: each batch counts again only the events it touches."""
-    columns = accepted_votes(stream).schema
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        _store(batch, table, batch_id, columns, "event_id", fold_every)
-        votes = votes_table.read_votes(
-            batch.sparkSession, table, columns,
-            votes_table.touched_buckets(batch), before=batch_id + 1,
-        )
-        touched = batch.select("event_id").distinct()
-        counted = crowd.sentiment(votes.join(touched, "event_id", "left_semi"))
-        _write_snapshot(counted, out, ["event_id"], fold_every)
-
-    run_batches(accepted_votes(stream), on_batch, checkpoint)
-
-
-def _rebuild_users(votes: DataFrame, users: DataFrame, outcomes: DataFrame) -> DataFrame:
-    mine = votes.join(users, "user", "left_semi")
-    board = crowd.leaderboard(mine, outcomes)
-    runs = crowd.streaks(crowd.scored_votes(mine, outcomes))
-    zero = F.lit(0).cast("long")
-    return (
-        board.join(runs, "user", "left")
-        .withColumn("current", F.coalesce("current", zero))
-        .withColumn("best", F.coalesce("best", zero))
-    )
-
-
-def live_leaderboard(
-    stream: DataFrame,
-    read_outcomes: Callable[[SparkSession], DataFrame],
-    table: str,
-    checkpoint: str,
-    out: str,
-    fold_every: int = FOLD_EVERY,
-) -> None:
-    """Keep each user's board row and streaks: a batch rebuilds only the users it touches.
-
-    Votes are bucketed by user. Rebuilding from the stored votes, rather than adding to a
-    running state, stays right when votes change and decisions arrive out of order.
-    """
-    columns = accepted_votes(stream).schema
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _store(batch, table, batch_id, columns, "user", fold_every)
-        votes = votes_table.read_votes(
-            spark, table, columns,
-            votes_table.touched_buckets(batch, "user"), before=batch_id + 1,
-        )
-        users = batch.select("user").distinct()
-        rebuilt = _rebuild_users(votes, users, read_outcomes(spark))
-        _write_snapshot(rebuilt, out, ["user"], fold_every)
-
-    run_batches(accepted_votes(stream), on_batch, checkpoint)
-
-
-def live_outcomes(
-    stream: DataFrame,
-    known: str,
-    table: str,
-    columns: T.StructType,
-    checkpoint: str,
-    out: str,
-    fold_every: int = FOLD_EVERY,
-) -> None:
-    """Rebuild the board rows of users who voted on events as their outcomes arrive.
-
-    The second stream of the live board: outcomes (`event_id`, `outcome`, `decided_at`) are kept in
-    `known`, written per batch number; `read_outcomes` gives those known so far.
-    """
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{known}/batch={batch_id}")
-        votes = votes_table.read_votes(spark, table, columns)
-        touched = votes.join(batch.select("event_id"), "event_id", "left_semi")
-        users = touched.select("user").distinct()
-        rebuilt = _rebuild_users(votes, users, read_outcomes(spark, known, batch.schema))
-        _write_snapshot(rebuilt, out, ["user"], fold_every)
-
-    run_batches(stream, on_batch, checkpoint)
-
-
-def read_outcomes(spark: SparkSession, known: str, columns: T.StructType) -> DataFrame:
-    """The newest outcome of every event known so far; none before the first batch."""
-    if not numbered_folders(spark, known, "batch"):
-        return spark.createDataFrame([], columns)
-    stored = T.StructType([*columns.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(stored).parquet(known)
-    return latest_by(rows, ["event_id"], ["batch", "decided_at", "outcome"]).drop("batch")
-
-
 def vote_trend(stream: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Valid votes, each counted once, and their approval share per event and tumbling window.
 
@@ -239,7 +144,7 @@ def fresh_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "ticke
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         newest = latest_by(batch.select(key, "ts", "value"), [key], ["ts", "value"])
-        _write_snapshot(newest, out, [key])
+        write_snapshot(newest, out, [key])
 
     run_batches(stream, on_batch, checkpoint)
 

@@ -174,48 +174,6 @@ def stream_of(spark, path):
     return spark.readStream.schema(VOTE).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_streams_equal_batch(spark, votes, outcomes, tmp_path):
-    """Several micro-batches, with repeats and bad rows, end where the batch jobs end."""
-    source = str(tmp_path / "in")
-    data = make_votes()
-    noisy = data + [data[-1], ("bad", "u1", 3, "MAYBE", data[-1][4], 999)]
-    write_files(spark, source, noisy, 4)
-
-    out, table = str(tmp_path / "sentiment"), str(tmp_path / "t1")
-    V.live_sentiment(stream_of(spark, source), table, str(tmp_path / "c1"), out)
-    want = K.sentiment(K.current_votes(votes))
-    assert rows(V.read_snapshot(spark, out, ["event_id"]), *want.columns) == rows(want)
-    assert spark.read.parquet(out).select("batch").distinct().count() == 4
-
-    board, users = str(tmp_path / "board"), str(tmp_path / "t2")
-    early = outcomes.filter("event_id < 10")
-    known = str(tmp_path / "known")
-    early.write.parquet(known + "/batch=-1")
-
-    def so_far(session):
-        return V.read_outcomes(session, known, outcomes.schema)
-
-    V.live_leaderboard(stream_of(spark, source), so_far, users, str(tmp_path / "c2"), board, fold_every=2)
-    got = V.read_snapshot(spark, board, ["user"])
-    plain = K.leaderboard(K.current_votes(votes), early)
-    assert rows(got, *plain.columns) == rows(plain)
-    # Four batches: the log holds what came after the last fold, the board one or two folders.
-    assert len(list((tmp_path / "t2" / "log").glob("batch=*"))) == 2
-    assert len(list((tmp_path / "t2" / "base").glob("batch=*"))) == 1
-    assert len(list((tmp_path / "board").glob("batch=*"))) <= 2
-
-    columns = V.accepted_votes(stream_of(spark, source)).schema
-    late = str(tmp_path / "late")
-    for part in ("event_id >= 10 AND event_id % 2 = 0", "event_id >= 10 AND event_id % 2 = 1"):
-        outcomes.filter(part).coalesce(1).write.mode("append").parquet(late)
-    stream = spark.readStream.schema(outcomes.schema).option("maxFilesPerTrigger", 1).parquet(late)
-    V.live_outcomes(stream, known, users, columns, str(tmp_path / "c3"), board)
-    got = V.read_snapshot(spark, board, ["user"])
-    plain = K.leaderboard(K.current_votes(votes), outcomes)
-    assert rows(got, *plain.columns) == rows(plain)
-    assert {r.user: (r.current, r.best) for r in got.collect()} == loop_streaks(data)
-
-
 def test_trend_counts_valid_votes_once(spark, tmp_path):
     source = str(tmp_path / "in")
     data = [(str(i), f"u{i % 5}", i % 3, "APPROVE" if i % 2 else "CRL", START + timedelta(hours=5 * i), i) for i in range(60)]
