@@ -273,17 +273,36 @@ def _with_call(
     return steps.withColumn(out, price).drop("_d1", "_x1", "_x2", "_u1", "_u2")
 
 
+# Moves that are handed to a contract at once.
+MOVE_BLOCK = 1024
+
+
+def move_blocks(moves: DataFrame) -> tuple[DataFrame, Column]:
+    """The moves in blocks of about 1,024 different ones: `block`, `moves` (move, times), and how many blocks."""
+    each = moves.groupBy(F.col("move").cast("double").alias("move")).agg(F.count(F.lit(1)).alias("times"))
+    count = F.ceil(each.agg(F.count(F.lit(1))).scalar() / MOVE_BLOCK)
+    blocks = F.greatest(count, F.lit(1).cast("long"))
+    placed = each.withColumn("block", F.pmod(F.xxhash64("move"), blocks))
+    listed = F.array_sort(F.collect_list(F.struct("move", "times")))
+    return placed.groupBy("block").agg(listed.alias("_moves")), blocks
+
+
 def option_grid(contracts: DataFrame, moves: DataFrame) -> DataFrame:
     """Profit of each call option (`spot`, `strike`, `days`, `pre_iv`, `post_iv`) per move.
 
-    `moves` has a `move` in percent per row; every contract row is repeated for each in place.
+    `moves` has a `move` in percent per row. Contracts are repeated once per block of moves, met with the block by
+    its number, and repeated for each move in it; no table of moves is held as one value.
     """
-    scenarios = moves.agg(F.array_sort(F.collect_list(F.col("move").cast("double")))).scalar()
+    blocks, count = move_blocks(moves)
     rate = dims.RISK_FREE_RATE
     years = F.col("days") / F.lit(365.0)
     # The price today does not depend on the move: it is worked out before the rows multiply.
     today = _with_call(contracts.withColumn("_t", years), "premium", "spot", "_t", "pre_iv", rate)
-    grid = today.withColumn("move", F.explode(scenarios))
+    each = today.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    grid = each.join(blocks, "block").withColumn("_m", F.explode("_moves"))
+    # A move that is listed several times counts as often.
+    times = F.explode(F.array_repeat(F.col("_m.move"), F.col("_m.times").cast("int")))
+    grid = grid.withColumn("move", times).drop("block", "_moves", "_m")
     grid = grid.withColumn(
         "_t", F.greatest((F.col("days") - 1) / F.lit(365.0), F.lit(0.001))
     ).withColumn("_spot", F.col("spot") * (F.col("move") / 100 + 1))

@@ -1,9 +1,9 @@
 """Additive log-odds scores, their regression checks and version-to-version backtests.
 
-Events carry their signals as an array of names (or as a map of name to recorded weight).
-A score then needs no shuffle of the events: the weight table, one row per signal name, becomes
-one map that every task gets. Signals held as a long table are summed with a join and a
-grouped sum.
+Events carry their signals as an array of names (or as a map of name to recorded weight). Many events have
+the same list of signals, so weights are looked up once for every distinct list: its names meet the
+weight table in a hash join, whatever that table's size, and come back as one row a list. Signals held as a long
+table are summed with a join and a grouped sum.
 
 Weights are summed in whole millionths, so a sum does not depend on its order.
 """
@@ -14,6 +14,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from decisionlab import dims
 from decisionlab.functions import columns as C
@@ -49,22 +50,34 @@ def unique_weights(weights: DataFrame) -> DataFrame:
     return weights.groupBy("signal").agg(newest.alias("weight"))
 
 
-def _lookup(weights: DataFrame) -> Column:
-    """The weight table as one map of name to millionths, read once by a scalar subquery."""
-    entry = F.struct("signal", _micro(F.col("weight")).alias("micro"))
-    return unique_weights(weights).agg(F.map_from_entries(F.collect_list(entry))).scalar()
+def weighed_lists(events: DataFrame, weights: DataFrame) -> DataFrame:
+    """The distinct signal lists of events with the weights of their names, in order.
 
+    `signals` and `micro`, in millionths; 0 for a name without weight. Empty lists have no row.
+    """
+    table = unique_weights(weights).select(F.col("signal").alias("_name"), _micro(F.col("weight")).alias("_micro"))
+    lists = events.select(_names(events).alias("signals")).filter(F.size("signals") > 0).distinct()
+    each = lists.select("signals", F.posexplode("signals").alias("_pos", "_name"))
+    entry = F.struct("_pos", F.coalesce("_micro", F.lit(0).cast("long")).alias("micro"))
+    listed = F.array_sort(F.collect_list(entry))
+    return each.join(table, "_name", "left").groupBy("signals").agg(
+        F.transform(listed, lambda e: e["micro"]).alias("micro")
+    )
 
-def with_weights(events: DataFrame, weights: DataFrame, out: str = "signal_weights") -> DataFrame:
-    """Add the weight of each signal in millionths, in order; 0 for a signal without weight."""
-    weighed = _weigh(events, F.col("_table"))
-    return events.withColumn("_table", _lookup(weights)).withColumn(out, weighed).drop("_table")
 
+def _with_lists(events: DataFrame, lists: DataFrame) -> DataFrame:
+    """Events with the columns that `lists` has for their signals; null for an empty list."""
+    named = lists.withColumnRenamed("signals", "_list")
+    return events.withColumn("_names", _names(events)).join(
+        named, F.col("_names") == F.col("_list"), "left"
+    ).drop("_names", "_list")
 
-def _weigh(events: DataFrame, table: Column) -> Column:
-    return F.transform(
-        _names(events), lambda s: F.coalesce(F.try_element_at(table, s), F.lit(0)).cast("long")
-    )
+
+def with_weights(events: DataFrame, weights: DataFrame, out: str = "signal_weights") -> DataFrame:
+    """Add the weight of each signal in millionths, in order; 0 for a signal without weight."""
+    lists = weighed_lists(events, weights).withColumnRenamed("micro", "_micro")
+    none = F.array().cast("array<bigint>")
+    return _with_lists(events, lists).withColumn(out, F.coalesce("_micro", none)).drop("_micro")
 
 
 def _names(events: DataFrame) -> Column:
@@ -87,9 +100,11 @@ def score(
     if weights is None:
         total = F.aggregate(F.map_values("signals"), zero, lambda a, w: a + _micro(w))
     else:
-        events = with_weights(events, weights, "_w")
-        total = F.aggregate("_w", zero, lambda a, w: a + w)
-    return _with_score(events.withColumn("_total", F.coalesce(total, zero)).drop("_w"))
+        lists = weighed_lists(events, weights)
+        total = F.aggregate("micro", zero, lambda a, w: a + w)
+        events = _with_lists(events, lists.select("signals", total.alias("_total")))
+        total = F.col("_total")
+    return _with_score(events.withColumn("_total", F.coalesce(total, zero)))
 
 
 def _score_long(events: DataFrame, signals: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -115,41 +130,41 @@ def _with_score(df: DataFrame) -> DataFrame:
 
 
 def waterfall(events: DataFrame, weights: DataFrame) -> DataFrame:
-    """The base row, then each signal in stored order with running logit and probability."""
-    first = F.struct(F.lit("base").alias("step"), F.lit(BASE).cast("long").alias("value"))
-    rows = with_weights(events, weights, "_w").select(
-        "event_id",
-        F.concat(F.array(first), F.zip_with(
-            _names(events), "_w", lambda s, w: F.struct(s.alias("step"), w.alias("value"))
-        )).alias("_steps"),
+    """The base row, then each signal in stored order with running logit and probability.
+
+    The steps are worked out once for every distinct list of signals; events then only take them.
+    """
+    lists = weighed_lists(events, weights)
+    each = lists.select("signals", F.posexplode(F.arrays_zip("signals", "micro")).alias("pos", "_e"))
+    so_far = Window.partitionBy("signals").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    reached = each.select(
+        "signals", (F.col("pos") + 1).alias("pos"), F.col("_e.signals").alias("step"),
+        F.col("_e.micro").alias("value"), (F.sum("_e.micro").over(so_far) + BASE).alias("reached"),
     )
-    zero = F.lit(0).cast("long")
-    steps = "array<struct<step:string,value:bigint,reached:bigint>>"
 
-    def add(state: Column, x: Column) -> Column:
-        reached = state["reached"] + x["value"]
-        row = F.struct(x["step"].alias("step"), x["value"].alias("value"), reached.alias("reached"))
-        return F.struct(reached.alias("reached"), F.concat(state["out"], F.array(row)).alias("out"))
+    def row(pos: Column, step: Column, value: Column, reached: Column, top: Column) -> Column:
+        logit = reached / MICRO
+        return F.struct(
+            pos.alias("pos"), step.alias("step"), (value / MICRO).alias("value"), logit.alias("cumulative_logit"),
+            (F.abs(value) / top * 60).alias("bar_width"), C.sigmoid(logit).alias("cumulative_prob"),
+        )
 
-    start = F.struct(zero.alias("reached"), F.array().cast(steps).alias("out"))
-    top = F.array_max(F.transform("_steps", lambda x: F.abs(x["value"])))
-    done = rows.select(
-        "event_id",
-        F.greatest(top, F.lit(MICRO)).alias("_top"),
-        F.aggregate("_steps", start, add, lambda state: state["out"]).alias("_rows"),
+    base = F.lit(BASE).cast("long")
+    least_top = F.lit(max(abs(BASE), MICRO)).cast("long")
+    tops = Window.partitionBy("signals")
+    top = F.greatest(F.max(F.abs("value")).over(tops), least_top)
+    shown = reached.withColumn("_top", top).select(
+        "signals", "_top", row(F.col("pos"), F.col("step"), F.col("value"), F.col("reached"), F.col("_top")).alias("_r")
     )
-    return (
-        done.select("event_id", "_top", F.posexplode("_rows").alias("pos", "_r"))
-        .select(
-            "event_id",
-            "pos",
-            "_r.step",
-            (F.col("_r.value") / MICRO).alias("value"),
-            (F.col("_r.reached") / MICRO).alias("cumulative_logit"),
-            (F.abs("_r.value") / F.col("_top") * 60).alias("bar_width"),
-        )
-        .withColumn("cumulative_prob", C.sigmoid("cumulative_logit"))
+    steps = shown.groupBy("signals").agg(
+        F.first("_top").alias("_top"), F.array_sort(F.collect_list("_r")).alias("_rows")
     )
+    first = row(F.lit(0), F.lit("base"), base, base, F.coalesce("_top", least_top))
+    none = F.array().cast(T.ArrayType(shown.schema["_r"].dataType))
+    rows = F.concat(F.array(first), F.coalesce("_rows", none))
+    return _with_lists(events.select("event_id", "signals"), steps).select(
+        "event_id", F.explode(rows).alias("_r")
+    ).select("event_id", "_r.*")
 
 
 def apply_overrides(
