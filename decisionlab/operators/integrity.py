@@ -43,7 +43,8 @@ def ledger_digest(lines: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
     Level 1 hashes each `block` lines, joined by newlines, behind the word `lines`; every
     further level does so with the hashes of the level below, behind the word `hashes`, until
     one hash is left (of no lines, the empty text). The digest is the hash of `ledger`, the number of
-    lines and that hash, so it is never the plain hash of the text (`plain_digest`).
+    lines and that hash, so it is never the plain hash of the text. `ledger_tree` keeps the levels
+    of a growing ledger, ending at the same digest.
     """
     level = cut_lineage(number_rows(lines.select("seq", "line"), ["seq"], "n"))
     count = level.count()
@@ -56,13 +57,6 @@ def ledger_digest(lines: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
     return level.agg(C.sha256(text).alias("digest"))
 
 
-def plain_digest(lines: DataFrame) -> DataFrame:
-    """SHA-256 of all lines in `seq` order, joined by newlines: for ledgers that fit one task."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "line")))
-    text = F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
-    return lines.agg(C.sha256(text).alias("digest"))
-
-
 def _hash_blocks(level: DataFrame, block: int, word: str) -> DataFrame:
     """One (n, line) per block of lines; a block never holds more than `block`."""
     rows = F.array_sort(F.collect_list(F.struct("n", "line")))

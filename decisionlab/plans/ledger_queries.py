@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from decisionlab.functions import columns as C
 from decisionlab.operators import integrity as I
 from decisionlab.operators import ledger as L
-from decisionlab.operators.ordered import placed
+from decisionlab.operators import ledger_tree as T
+from decisionlab.operators.ordered import number_rows, placed
 from decisionlab.plans import bindings as B
 from decisionlab.plans.oracle_views import action_sql, number_sql, pct_sql, tier_sql
 from decisionlab.plans.registry import query, r6, text
-from decisionlab.session import cut_lineage
+from decisionlab.session import cut_lineage, new_dir
 from decisionlab.sources import documents
 
 
@@ -127,6 +128,70 @@ def ledger_digest(spark, sf_dir):
     return I.ledger_digest(I.canonical_ledger(B.ledger(spark, sf_dir)), DIGEST_LINES)
 
 
+def _grown_tree(spark, sf_dir):
+    """The ledger's tree after three appends, with the digest after each."""
+    lines = I.canonical_ledger(B.ledger(spark, sf_dir))
+    tree, told = T.LedgerTree(spark, new_dir(spark, "tree"), DIGEST_LINES), []
+    third = F.floor((F.col("seq") - 1) * 3 / lines.agg(F.max("seq")).scalar())
+    for part in range(3):
+        size = tree.append(lines.filter(third == part))
+        told.append((size, tree.digest()))
+    return tree, told
+
+
+@query(f"""
+WITH RECURSIVE numbered AS (
+  SELECT line, row_number() OVER (ORDER BY seq) AS n,
+    floor((seq - 1) * 3 / (SELECT max(seq) FROM canon)) AS part FROM canon
+), sizes AS (SELECT DISTINCT max(n) AS size FROM numbered GROUP BY part),
+tree AS (
+  SELECT size, 0 AS level, n, line, size AS total FROM sizes JOIN numbered ON n <= size
+  UNION ALL
+  SELECT size, level + 1, b, line, count(*) OVER (PARTITION BY size) FROM (
+    SELECT size, level, (n - 1) // {DIGEST_LINES} + 1 AS b,
+      sha256(CASE WHEN level = 0 THEN 'lines' ELSE 'hashes' END || chr(10)
+        || string_agg(line, chr(10) ORDER BY n)) AS line
+    FROM tree WHERE level = 0 OR total > 1 GROUP BY 1, 2, 3))
+SELECT size AS lines, sha256('ledger' || chr(10) || size || chr(10) || arg_max(line, level)) AS digest,
+  true AS only_appended FROM tree GROUP BY size""", "canon")
+def ledger_appends(spark, sf_dir):
+    """Digest after each of three appends, and whether the last ledger is shown to begin with that one."""
+    tree, told = _grown_tree(spark, sf_dir)
+    # One row an append.
+    return spark.createDataFrame(
+        [(size, digest, T.only_appended(tree, size, digest)) for size, digest in dict(told).items()],
+        "lines long, digest string, only_appended boolean",
+    )
+
+
+@query(f"""
+WITH RECURSIVE numbered AS (SELECT seq, line, row_number() OVER (ORDER BY seq) AS n FROM canon),
+tree AS (
+  SELECT 0 AS level, n, line, count(*) OVER () AS total FROM numbered
+  UNION ALL
+  SELECT level + 1, b, line, count(*) OVER () FROM (
+    SELECT level, (n - 1) // {DIGEST_LINES} + 1 AS b,
+      sha256(CASE WHEN level = 0 THEN 'lines' ELSE 'hashes' END || chr(10)
+        || string_agg(line, chr(10) ORDER BY n)) AS line
+    FROM tree WHERE level = 0 OR total > 1 GROUP BY 1, 2)),
+missed AS (SELECT n.seq, n.n FROM numbered n JOIN ledger USING (seq) WHERE NOT correct)
+SELECT seq, m.n - 1 AS place, count(*) AS steps, true AS shown,
+  sha256(string_agg(line, ',' ORDER BY level)) AS path_sha256
+FROM missed m JOIN tree t ON level > 0 AND t.n = (m.n - 1) // CAST(pow({DIGEST_LINES}, level) AS BIGINT) + 1
+GROUP BY seq, m.n""", "canon ledger")
+def ledger_proofs(spark, sf_dir):
+    """For every wrong call, that its line is part of the digest: the hashes on its path, and whether they show it."""
+    tree, told = _grown_tree(spark, sf_dir)
+    (size, digest), ledger = told[-1], B.ledger(spark, sf_dir)
+    lines = number_rows(I.canonical_ledger(ledger, "correct"), ["seq"], "n")
+    missed = lines.filter(~F.col("correct")).select("seq", "line", (F.col("n") - 1).alias("place"))
+    shown = T.holds_line(F.col("path"), F.col("line"), size, digest)
+    return missed.join(tree.paths(missed.select("place")), "place").select(
+        "seq", "place", F.size("path").cast("long").alias("steps"), shown.alias("shown"),
+        F.sha2(F.array_join(T.path_hashes(F.col("path")), ",").cast("binary"), 256).alias("path_sha256"),
+    )
+
+
 @query("SELECT event_id, event_id % 9 <> 0 AS sealed FROM flags", "flags")
 def verify_seals(spark, sf_dir):
     checked = I.verify_seals(documents.parse_sealed(B.sealed_documents(spark, sf_dir)))
