@@ -32,6 +32,15 @@ class Sample:
         return float(np.log(self.counts[1] / self.counts[0]) - np.log(ones / (len(self.labels) - ones)))
 
 
+def known_labels(labels: DataFrame, label: str, key: str) -> DataFrame:
+    """`_key`, `_label`: one row a key that is labelled 0 or 1, with its larger label."""
+    return (
+        labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("_key"))
+        .agg(F.max(label).alias("_label"))
+    )
+
+
 def sample_of(
     docs: DataFrame,
     labels: DataFrame,
@@ -49,11 +58,7 @@ def sample_of(
     documents over `longest` characters are not taken. A key labelled twice counts with its larger
     label; labels other than 0 and 1 are ignored.
     """
-    known = (
-        labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("_key"))
-        .agg(F.max(label).alias("_label"))
-    )
+    known = known_labels(labels, label, key)
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("_key"), F.col("_key")]
     picked = known.filter("_label = 0").orderBy(*order).limit(per_class).unionByName(

@@ -275,12 +275,13 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored(found: DataFrame, threshold: float) -> DataFrame:
+def scored(found: DataFrame, threshold: float, *more: str) -> DataFrame:
     return found.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *more,
     )
 
 
@@ -298,9 +299,10 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity scores of all documents."""
+    """Toxicity scores of all documents, with the toxic spans."""
     docs = read(spark, sf_dir, "documents")
-    return scored(toxicity_crf.score(docs, toxicity_crf.train(docs, training_labels(spark, sf_dir))), 0.7)
+    found = toxicity_crf.score(docs, toxicity_crf.train(docs, training_labels(spark, sf_dir)))
+    return scored(found, 0.7, "spans")
 
 
 @query()

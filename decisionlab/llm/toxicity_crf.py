@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisionlab.llm.labelled import Adam, Sample, sample_of, sigmoid
+from decisionlab.llm.bitmap import bitmap, holds
+from decisionlab.llm.labelled import Adam, Sample, known_labels, sigmoid
 from decisionlab.llm.text import Slices, chunks, lower_ascii, mix, utf8, words
+from decisionlab.session import cut_lineage
 
 CHUNK = 2 << 20
 # Characters of the sample that one step of the fit holds at once.
 FIT_PART = 1 << 20
-FEATURE_BITS = 18
+FEATURE_BITS = 20
 # Bounds of the training sample: documents of each label, and their longest text.
 PER_CLASS, LONGEST = 2_000, 20_000
 STEPS = 30
@@ -26,24 +28,38 @@ CERTAIN = 4.0
 # Bytes of a word's beginnings that are features of their own; the ending has four.
 BEGINNINGS = (4, 5, 6, 7, 8)
 LINK = 64
-# A token of a toxic document is labelled toxic if the lower bound (this many deviations) of the
-# share of toxic documents among those with its word or beginning is over one half.
-DEVIATIONS = 2.0
+# Words and beginnings of words are evidence of their own, counted over all labelled documents: one is
+# toxic if the lower bound (so many deviations) of the share of toxic documents among those that
+# hold it is over one half, and enough toxic documents hold it. What passes TAGGED tags the tokens that the field
+# learns from; what passes SURE is an input of the field, too, and tells it of words that its sample lacks.
+TAGGED, SURE = (2.0, 5), (3.0, 25)
+LEAST = TAGGED[1]
+KINDS = 1 + len(BEGINNINGS)
+CELLS = KINDS << FEATURE_BITS
+# Weights: one a bucket, and two a kind for whether the token's bucket of that kind is toxic.
+SIZE = (1 << FEATURE_BITS) + 2 * KINDS
+# Bits in a block of a collected bitmap.
+BITMAP = 32768
+# Words of a shingle by which copies of a document are told, and the marks they are told by.
+SHINGLE = 5
+MARKS = ["mark0", "mark1", "mark2"]
 
 
 @dataclass
 class Model:
-    """Weights of hashed token features, transitions from tag to tag, and the document score."""
+    """Weights of hashed token features, transitions from tag to tag, the document score, and a bitmap of the
+    words and beginnings that are surely toxic by all labelled documents."""
 
     weights: np.ndarray
     moves: np.ndarray
     start: np.ndarray
     document: np.ndarray
     usable: bool = True
+    sure: np.ndarray | None = None
 
 
 def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Feature buckets per token: word, its beginnings, its ending, both neighbours."""
+    """Hashes of a token's features: word, its beginnings, its ending, both neighbours."""
     data = lower_ascii(data)
     start, end, before = words(data, ends)
     slices = Slices(data)
@@ -61,9 +77,11 @@ def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
         left,
         right,
     ]
-    shift = np.uint64(64 - FEATURE_BITS)
-    buckets = np.stack([(mix(h + np.uint64(i + 1)) >> shift).astype(np.int32) for i, h in enumerate(kinds)])
-    return buckets, before, (start, end, first)
+    return np.stack([mix(h + np.uint64(i + 1)) for i, h in enumerate(kinds)]), before, (start, end, first)
+
+
+def buckets_of(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
 
 
 def chain(model: Model, scores: np.ndarray, first: np.ndarray, expected: bool = False):
@@ -139,11 +157,27 @@ def document_features(marginal: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(full)), odds, np.log1p(total)], 1)
 
 
+def cells(hashed: np.ndarray) -> np.ndarray:
+    """Places of the words and beginnings of tokens in a table of fixed size: a row a kind."""
+    return buckets_of(hashed[:KINDS]) + (np.arange(KINDS, dtype=np.int32) << FEATURE_BITS)[:, None]
+
+
+def held(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+
+
+def inputs(hashed: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Weights that each token adds up: of its buckets, and for whether its word or a beginning is sure."""
+    known = holds(sure, hashed[:KINDS])
+    rows = (1 << FEATURE_BITS) + 2 * np.arange(KINDS, dtype=np.int32)[:, None] + known
+    return np.concatenate([buckets_of(hashed), rows.astype(np.int32)])
+
+
 @dataclass
 class Part:
     """Some documents of the sample: small enough that every step of the fit is."""
 
-    buckets: np.ndarray
+    hashed: np.ndarray
     before: np.ndarray
     first: np.ndarray
     toxic: np.ndarray
@@ -155,61 +189,188 @@ class Part:
 
 
 def parts_of(sample: Sample) -> list[Part]:
-    """The sample's documents in parts; every third document is set apart."""
+    """The sample's documents in parts."""
     out, start, size = [], 0, 0
     for i, row in enumerate(sample.rows):
         size += len(row["text"] or "")
         if size >= FIT_PART or i + 1 == len(sample.rows):
             texts = pa.array([r["text"] or "" for r in sample.rows[start : i + 1]])
-            buckets, before, (_, _, first) = features(*utf8(texts))
-            apart = np.arange(start, i + 1) % 3 == 0
-            out.append(Part(buckets, before, first, sample.labels[start : i + 1], apart))
+            hashed, before, (_, _, first) = features(*utf8(texts))
+            apart = np.array([r["apart"] for r in sample.rows[start : i + 1]], bool)
+            out.append(Part(hashed, before, first, sample.labels[start : i + 1], apart))
             start, size = i + 1, 0
     return out
 
 
-def toxic_features(parts: list[Part], unseen: bool) -> list[np.ndarray]:
-    """For words and each kind of beginning, the buckets that belong to toxic documents.
+def with_marks(labelled: DataFrame) -> DataFrame:
+    """Documents (`key`, `label`, `text`) with their marks: the least hashes of their shingles, by three hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                data, ends = utf8(part.column("text"))
+                data = lower_ascii(data)
+                start, end, before = words(data, ends)
+                hashed = Slices(Slices(data).hash(start, end))
+                size = np.diff(before)
+                # Of fewer words than a shingle, all of them.
+                n = np.maximum(size - SHINGLE + 1, (size > 0).astype(np.int64))
+                doc = np.repeat(np.arange(len(size)), n)
+                first = before[:-1][doc] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                shingles = hashed.hash(first, np.minimum(first + SHINGLE, before[1:][doc]))
+                marks = np.zeros((len(MARKS), len(size)), np.uint64)
+                full = n > 0
+                for i in range(len(MARKS) if full.any() else 0):
+                    shingles = mix(shingles + np.uint64(2 * i + 1))
+                    marks[i, full] = np.minimum.reduceat(shingles, (np.cumsum(n) - n)[full])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *[pa.array(m.view(np.int64)) for m in marks]], [*part.schema.names, *MARKS]
+                )
+
+    kind = labelled.schema["key"].dataType.simpleString()
+    marks = ", ".join(f"{m} long" for m in MARKS)
+    return labelled.mapInArrow(run, f"key {kind}, label int, text string, {marks}")
+
+
+def evidence_documents(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """The labelled documents that count as evidence: `key`, `label`, `text`, `apart`.
 
-    `unseen` leaves out the documents set apart.
+    Copies of a toxic document are one piece of evidence, however many there are: of those that share a mark
+    one stays, by each mark in turn, so that a copy that misses one mark is likely met by the next. Other
+    documents all speak for their words, but for exact copies. `apart` cuts them into halves, each to judge
+    what the other teaches.
     """
-    out = []
-    for kind in range(1 + len(BEGINNINGS)):
-        n, toxic = np.zeros(1 << FEATURE_BITS), np.zeros(1 << FEATURE_BITS)
-        for part in parts:
-            doc = part.doc
-            cells = doc * (1 << FEATURE_BITS) + part.buckets[kind]
-            seen = np.unique(cells[~part.apart[doc]] if unseen else cells)
-            place = seen & ((1 << FEATURE_BITS) - 1)
-            n += np.bincount(place, minlength=1 << FEATURE_BITS)
-            toxic += np.bincount(place, part.toxic[seen >> FEATURE_BITS], minlength=1 << FEATURE_BITS)
-        p, z = toxic / np.maximum(n, 1), DEVIATIONS**2 / np.maximum(n, 1)
-        out.append((p + z / 2 - np.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z) > 0.5)
+    known = known_labels(labels, label, key).select(F.col("_key").alias("key"), F.col("_label").cast("int").alias("label"))
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    rows = cut_lineage(with_marks(named.join(known, "key").select("key", "label", "text")))
+    names = ["key", "label", *MARKS]
+
+    def one_each(kept: DataFrame, *marks: str) -> DataFrame:
+        rest = [c for c in names if c not in (*marks, "label")]
+        one = kept.groupBy(*marks, "label").agg(F.min(F.struct(*rest)).alias("_one"))
+        return one.select(*marks, "label", "_one.*").select(names)
+
+    toxic = rows.select(names).filter("label = 1")
+    for mark in MARKS:
+        toxic = one_each(toxic, mark)
+    kept = toxic.unionByName(one_each(rows.select(names).filter("label = 0"), *MARKS))
+    # Rows that are repeated as a whole are one document.
+    left = rows.join(kept, names, "left_semi").dropDuplicates(names)
+    return left.select("key", "label", "text", (F.pmod(MARKS[0], F.lit(2)) == 0).alias("apart"))
+
+
+def often_toxic(rows: DataFrame) -> np.ndarray:
+    """A bitmap (768 KB) of the places that enough toxic documents have; a task holds one number a place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int32)
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                hashed, before, _ = features(*utf8(part.column("text")))
+                doc = np.repeat(np.arange(part.num_rows), np.diff(before))
+                for row in cells(hashed):
+                    n += np.bincount(np.unique(doc * CELLS + row) % CELLS, minlength=CELLS).astype(np.int32)
+        met = np.flatnonzero(n)
+        for s in range(0, len(met), 1 << 16):
+            some = met[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some], pa.int64())], ["place", "n"])
+
+    met = rows.filter("label = 1").select("text").mapInArrow(run, "place long, n long")
+    often = met.groupBy("place").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    blocks = often.groupBy(F.floor(F.col("place") / BITMAP).alias("block")).agg(
+        F.bitmap_construct_agg(F.col("place") % BITMAP).alias("bits")
+    )
+    out = np.zeros(CELLS // 8, np.uint8)
+    for block, bits in blocks.collect():
+        out[block * BITMAP // 8 : block * BITMAP // 8 + len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
 
-def tagged_parts(parts: list[Part], unseen: bool) -> list[tuple[np.ndarray, ...]]:
-    """Feature buckets, tags and beginnings of the documents that the field learns from."""
-    marked, out = toxic_features(parts, unseen), []
+COUNTS = ["toxic", "others", "seen_toxic", "seen_others"]
+
+
+def counted(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """In how many documents each word and beginning occurs whose place is `wanted`: `hash` and `COUNTS`.
+
+    Toxic documents and others, of all and of the half not set apart. Tasks add up their own first.
+    """
+
+    def folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not parts:
+            return []
+        names, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.concatenate([p[1] for p in parts])
+        return [(names, np.stack([np.bincount(where, column) for column in n.T], 1).astype(np.int64))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                hashed, before, _ = features(*utf8(part.column("text")))
+                doc = np.repeat(np.arange(part.num_rows), np.diff(before))
+                toxic = part.column("label").to_numpy() > 0
+                seen = ~part.column("apart").to_numpy(zero_copy_only=False)
+                kinds = np.stack([toxic, ~toxic, toxic & seen, ~toxic & seen], 1).astype(np.int64)
+                for row, places in zip(hashed[:KINDS], cells(hashed)):
+                    use = held(wanted, places)
+                    names, where = np.unique(row[use], return_inverse=True)
+                    pairs = np.unique(where * part.num_rows + doc[use])
+                    whose, n = kinds[pairs % part.num_rows], pairs // part.num_rows
+                    parts.append((names, np.stack([np.bincount(n, c, len(names)) for c in whose.T], 1)))
+                if len(parts) > 32:
+                    parts = folded(parts)
+        for names, n in folded(parts):
+            for s in range(0, len(names), 1 << 16):
+                columns = [pa.array(c[s : s + (1 << 16)]) for c in (names.view(np.int64), *n.T)]
+                yield pa.RecordBatch.from_arrays(columns, ["hash", *COUNTS])
+
+    schema = ", ".join(f"{c} long" for c in ("hash", *COUNTS))
+    found = rows.select("text", "label", "apart").mapInArrow(run, schema)
+    return found.groupBy("hash").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+@dataclass
+class Evidence:
+    """Bitmaps (8 MB each) of the words and beginnings that tag tokens, and of those that are sure."""
+
+    tagged: np.ndarray
+    sure: np.ndarray
+
+
+def toxic_words(labelled: DataFrame) -> tuple[Evidence, Evidence, Evidence]:
+    """What is toxic by all labelled documents, by the half not set apart, and by the half set apart."""
+    found = cut_lineage(counted(labelled, often_toxic(labelled)).filter(F.col("toxic") >= LEAST))
+    halves = found.withColumns({f"apart_{c}": F.col(c) - F.col(f"seen_{c}") for c in ("toxic", "others")})
+
+    def passing(kind: str, deviations: float, least: int) -> np.ndarray:
+        hits, n = F.col(f"{kind}toxic"), F.col(f"{kind}toxic") + F.col(f"{kind}others")
+        p, z = hits / n, deviations**2 / n
+        low = (p + z / 2 - F.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z)
+        return bitmap(halves.filter((hits >= least) & (low > 0.5)), "hash").value
+
+    return tuple(Evidence(passing(kind, *TAGGED), passing(kind, *SURE)) for kind in ("", "seen_", "apart_"))
+
+
+def tagged_parts(parts: list[Part], known: Evidence, half: bool | None) -> list[tuple[np.ndarray, ...]]:
+    """Weights to add up, tags and beginnings of the documents that the field learns from: of one half, or all."""
+    out = []
     for part in parts:
         doc = part.doc
-        hit = np.zeros(len(doc), bool)
-        for kind, flags in enumerate(marked):
-            hit |= flags[part.buckets[kind]]
-        hit &= part.toxic[doc] > 0
+        x = inputs(part.hashed, known.sure)
+        hit = holds(known.tagged, part.hashed[:KINDS]).any(axis=0) & (part.toxic[doc] > 0)
         # Toxic documents in which nothing could be tagged say nothing about their tokens.
         told = (part.toxic == 0) | (np.bincount(doc, hit, minlength=len(part.toxic)) > 0)
-        if unseen:
-            told &= ~part.apart
+        if half is not None:
+            told &= part.apart == half
         use = told[doc]
         if use.any():
-            out.append((part.buckets[:, use], hit[use].astype(np.float64), part.first[use]))
+            out.append((x[:, use], hit[use].astype(np.float64), part.first[use]))
     return out
 
 
-def fit_field(model: Model, parts: list[Part], unseen: bool) -> bool:
+def fit_field(model: Model, parts: list[Part], known: Evidence, half: bool | None = None) -> bool:
     """Fit weights and moves to the tagged tokens; False if there is nothing to learn."""
-    data = tagged_parts(parts, unseen)
+    data = tagged_parts(parts, known, half)
     if not any(y.any() for _, y, _ in data):
         return False
     moved, started = np.zeros((2, 2)), np.zeros(2)
@@ -227,39 +388,43 @@ def fit_field(model: Model, parts: list[Part], unseen: bool) -> bool:
         }
         for x, y, begins in data:
             marginal, moves, starts = chain(model, model.weights[x].sum(axis=0), begins, True)
-            for row in x:
-                slope["weights"] += np.bincount(row, marginal - y, minlength=1 << FEATURE_BITS)
+            gap = np.broadcast_to(marginal - y, x.shape)
+            slope["weights"] += np.bincount(x.ravel(), gap.ravel(), minlength=SIZE)
             slope["moves"] += moves
             slope["start"] += starts
         adam.step(values, slope)
     return True
 
 
-def fit(sample: Sample) -> Model:
-    """Fit the document score, then the field to all documents of the sample.
+def fit(sample: Sample, known: Evidence, halves: tuple[Evidence, Evidence]) -> Model:
+    """Fit the field to all documents of the sample, and the document score to all by halves.
 
-    The document score is fitted to every third document, with marginals of a field that has
-    not seen those, such as unseen documents will get.
+    Each half is judged by a field that learned from the other half alone, words included: its marginals are such as
+    unseen documents will get.
     """
 
-    def blank() -> Model:
-        return Model(np.zeros(1 << FEATURE_BITS), np.zeros((2, 2)), np.zeros(2), np.zeros(3))
+    def blank(evidence: Evidence) -> Model:
+        return Model(np.zeros(SIZE), np.zeros((2, 2)), np.zeros(2), np.zeros(3), sure=evidence.sure)
 
-    unusable = blank()
+    model, unusable = blank(known), blank(known)
     unusable.usable = False
     if not sample.usable:
         return unusable
     parts = parts_of(sample)
-    trial, model = blank(), blank()
-    if not fit_field(trial, parts, unseen=True):
+    if not fit_field(model, parts, known):
         return unusable
-    fit_field(model, parts, unseen=False)
     rows, labels = [], []
-    for part in parts:
-        scores = trial.weights[part.buckets].sum(axis=0)
-        marginal = chain(trial, scores, part.first) if len(scores) else scores
-        rows.append(document_features(marginal, part.before)[part.apart])
-        labels.append(part.toxic[part.apart])
+    for half, evidence in zip((False, True), halves):
+        trial = blank(evidence)
+        if not fit_field(trial, parts, evidence, half):
+            # Too few documents for halves.
+            trial = model
+        for part in parts:
+            scores = trial.weights[inputs(part.hashed, trial.sure)].sum(axis=0)
+            marginal = chain(trial, scores, part.first) if len(scores) else scores
+            other = part.apart != half
+            rows.append(document_features(marginal, part.before)[other])
+            labels.append(part.toxic[other])
     z, y = np.concatenate(rows), np.concatenate(labels)
     adam = Adam(0.1)
     for _ in range(600):
@@ -281,11 +446,18 @@ def train(
     per_class: int = PER_CLASS,
     longest: int = LONGEST,
 ) -> Model:
-    """Fit on at most `per_class` documents of each label with up to `longest` characters."""
-    named = docs.select(F.col(key), F.col(text).alias("text"))
-    return fit(sample_of(
-        named, labels, label, ["text"], key=key, per_class=per_class, longest=longest
-    ))
+    """Learn which words are toxic from all labelled documents, and the field from a sample of them.
+
+    The sample has at most `per_class` documents of each label with up to `longest` characters.
+    """
+    labelled = cut_lineage(evidence_documents(docs, labels, key, text, label))
+    known, *halves = toxic_words(labelled)
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    short = labelled.filter(F.length("text") <= longest)
+    order = [F.xxhash64("key"), F.col("key")]
+    rows = [r for value in (0, 1) for r in short.filter(F.col("label") == value).orderBy(*order).limit(per_class).collect()]
+    told = np.array([r["label"] for r in rows], np.float64)
+    return fit(Sample(rows, told, (counts.get(0, 0), counts.get(1, 0))), known, tuple(halves))
 
 
 SPANS = "array<struct<start:bigint,end:bigint,marginal:double>>"
@@ -294,9 +466,10 @@ SPANS = "array<struct<start:bigint,end:bigint,marginal:double>>"
 def tag(model: Model, column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Scores of the texts of a column, and their toxic spans in code points."""
     data, ends = utf8(column)
-    buckets, before, (start, end, first) = features(data, ends)
+    hashed, before, (start, end, first) = features(data, ends)
     if model.usable and len(first):
-        marginal = chain(model, model.weights[buckets].sum(axis=0, dtype=np.float64), first)
+        x = inputs(hashed, model.sure)
+        marginal = chain(model, model.weights[x].sum(axis=0, dtype=np.float64), first)
     else:
         marginal = np.zeros(len(first))
     found = sigmoid(document_features(marginal, before) @ model.document)

@@ -1,13 +1,16 @@
 """The field and the factorisation machine against brute force, and their held-out accuracy."""
 
 import itertools
+import random
+import string
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from decisionlab.llm import quality_fm, queries, toxicity_crf
-from decisionlab.llm.labelled import sigmoid
+from decisionlab.llm.labelled import held_out, sigmoid
 from decisionlab.llm.text import utf8
 
 SF = "/root/testdata/sf0.1"
@@ -38,6 +41,49 @@ def test_op8_held_out(spark):
     assert auc > 0.94 and right > 0.98 and caught > 0.85 and wrong < 0.005
 
 
+def permuted(spark, copies):
+    """Labelled documents of sf0.1 once per copy, its letters exchanged: each has a vocabulary of its own."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("toxic IS NOT NULL").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    out, letters = None, string.ascii_lowercase
+    for copy in range(copies):
+        mixed = "".join(random.Random(copy).sample(letters, 26)) if copy else letters
+        text = F.translate("text", letters + letters.upper(), mixed + mixed.upper())
+        part = docs.select((F.col("doc_id") + copy * 1_000_000).alias("doc_id"), text.alias("text"), "toxic")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@pytest.mark.parametrize("copies", [6])
+def test_toxic_words_of_several_vocabularies(spark, copies):
+    """The words are learned from all labels, not from the sample's few documents of each vocabulary."""
+    rows = permuted(spark, copies).repartition(16).cache()
+    model = toxicity_crf.train(rows.select("doc_id", "text"), rows.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic"))
+    apart = rows.filter(held_out(F.col("doc_id")))
+    found = toxicity_crf.score(apart.select("doc_id", "text"), model).select("doc_id", "score")
+    told = [(r.score >= 0.7, r.toxic) for r in found.join(apart.select("doc_id", "toxic"), "doc_id").collect()]
+    rows.unpersist()
+    caught, wrong = np.mean([p for p, y in told if y]), np.mean([p for p, y in told if not y])
+    print("vocabularies", copies, len(told), caught, wrong)
+    assert caught >= 0.85 and wrong <= 0.01
+
+
+def test_copies_are_one_piece_of_evidence(spark):
+    """Thousands of copies of one toxic document, each a little different, do not make its words toxic."""
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words[:200], k=40)), 0) for i in range(400)]
+    rows += [(400 + i, " ".join(rng.choices(words[:200], k=39)) + " scum", 1) for i in range(60)]
+    story = rng.choices(words[200:], k=120)
+    rows += [(1000 + i, " ".join(["scum", *story, f"end{i}"]), 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity_crf.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, " ".join(story)), (2, "word1 scum word2")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity_crf.score(asked, model).collect()}
+    assert got[1].score < 0.5 and got[1].spans == []
+    assert got[2].score > 0.7 and [(s.start, s.end) for s in got[2].spans] == [(6, 10)]
+
+
 def test_op7_held_out(spark):
     auc, right, caught, wrong = held_out_rates(spark, "op7_quality_fm", "quality")
     assert auc > 0.97 and right > 0.97 and caught > 0.97
@@ -96,8 +142,9 @@ def odd(spark):
 
 
 def toxic_training(spark):
-    rows = [(i, f"plain words number {i % 7} here and there") for i in range(60)]
-    rows += [(i, f"you idiot number {i % 7} here") for i in range(60, 90)]
+    # Copies are one piece of evidence, so no two texts are alike.
+    rows = [(i, f"plain words number {i % 7} here and there, {i} times") for i in range(60)]
+    rows += [(i, f"you idiot number {i % 7} here, {i} times") for i in range(60, 90)]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
     labels = spark.createDataFrame(
         [(i, int(i >= 60), int(i < 60)) for i in range(90)] + [(None, 1, 1), (3, None, None), (4, 7, 7), (5, 0, 1)],
