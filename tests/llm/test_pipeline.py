@@ -22,8 +22,8 @@ def shingle_set(text, width=5):
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
-def plain_unique(rows, bits=8, similarity=0.8):
-    """Rows (key, text, ...) that stay."""
+def plain_unique(rows, bits=64, similarity=0.8):
+    """Groups of rows (key, text, ...), of which one stays; by similarity alone, or with fingerprints as well."""
     prints = [plain_fingerprint(r[1], 5) for r in rows]
     sets = [shingle_set(r[1]) for r in rows]
     links = []
@@ -39,8 +39,8 @@ def plain_unique(rows, bits=8, similarity=0.8):
     return [groups[r] for r in groups]
 
 
-def check_unique(rows, kept):
-    groups = plain_unique(rows)
+def check_unique(rows, kept, bits=64):
+    groups = plain_unique(rows, bits)
     assert len(kept) == len(groups)
     left = list(kept)
     for group in groups:
@@ -79,7 +79,7 @@ def test_unique_rows_against_brute_force(spark):
     df = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id long, text string, node string, mark int")
     kept = simhash.unique_rows(df)
     assert kept.columns == df.columns
-    check_unique(rows, [(r.doc_id, r.text) for r in kept.collect()])
+    check_unique(rows, [(r.doc_id, r.text) for r in kept.collect()], bits=8)
     assert simhash.unique_rows(df.filter("false")).count() == 0
 
 
