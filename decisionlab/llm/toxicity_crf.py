@@ -20,7 +20,7 @@ CHUNK = 2 << 20
 FIT_PART = 1 << 20
 FEATURE_BITS = 20
 # Bounds of the training sample: documents of each label, and their longest text.
-PER_CLASS, LONGEST = 2_000, 20_000
+PER_CLASS, LONGEST = 1_000, 20_000
 STEPS = 30
 DECAY = 0.05
 # Log-odds of the likeliest token beyond which a document counts as certain.
