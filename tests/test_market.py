@@ -195,6 +195,20 @@ def test_many_scenarios(spark):
     assert sorted(r.move for r in got) == sorted(moves)
 
 
+def test_a_million_moves(spark):
+    """In blocks of bounded size; a move that is listed several times counts as often."""
+    moves = spark.range(1_000_000).select((F.col("id") / 10_000 - 50).alias("move"))
+    again = moves.unionByName(moves.filter("move = 7").withColumn("n", F.explode(F.array_repeat(F.lit(0), 3))).drop("n"))
+    blocks, _ = M.move_blocks(again)
+    sizes = blocks.select(F.size("_moves").alias("n")).agg(F.count("*").alias("blocks"), F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    assert 900 < sizes.blocks <= 977 and sizes.most < 1300 and sizes.n == 1_000_000
+    columns = "id int, spot double, strike double, days double, pre_iv double, post_iv double"
+    df = spark.createDataFrame([(1, 50.0, 50.0, 30.0, 0.9, 0.5)], columns)
+    grid = M.option_grid(df, again)
+    total = grid.agg(F.count("*").alias("n"), F.count_distinct("move").alias("moves"), F.count_if(F.col("move") == 7).alias("sevens")).first()
+    assert (total.n, total.moves, total.sevens) == (1_000_003, 1_000_000, 4)
+
+
 def test_object_payload_counts_as_a_quote(spark):
     df = spark.createDataFrame(
         [("A", '{"price": 5.5, "change": 2.0}'), ("B", '[{"price": 6.5}, {"price": 1.0}]'), ("C", "null"), ("D", "[]")],

@@ -1,6 +1,7 @@
 """Every registered query against its SQL, and the shape of their plans."""
 
 import os
+import subprocess
 import sys
 
 import pytest
@@ -71,3 +72,11 @@ def test_only_needed_columns_are_read(spark):
     plan = screening.areas(B.events(spark, SF))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in plan
     assert "ReadSchema: struct<o_custkey:bigint>" in plan
+
+
+def test_entry_without_the_corpus_operators():
+    """A dependency of theirs that is not there takes the corpus queries away, and no other."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q; print(len(q))"
+    root = os.path.join(os.path.dirname(os.path.abspath(__file__)), "..")
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(done.stdout) == len(QUERIES)

@@ -248,3 +248,26 @@ def test_thousands_of_weights(spark):
     assert S.signal_effects(
         S.score(events, weights).withColumn("outcome", F.lit("APPROVED")), weights
     ).filter("signal = 's9'").first().n == 2
+
+
+def test_a_large_weight_table(spark):
+    """100,000 weights, most events with one of two lists, names without weight, empty and null lists."""
+    weights = spark.range(100_000).select(
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("signal"), F.lit("c").alias("category"),
+        ((F.col("id") % 1000 - 500) / 1000).cast("decimal(12,6)").alias("weight"),
+    )
+    lists = [["s1", "s99999", "none"], ["s7"], [], None, ["s7", "s7", "s500"]]
+    rows = [(i, lists[0] if i % 3 else lists[i % 5]) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, signals array<string>")
+    one = {"s1": -499_000, "s99999": 499_000, "none": 0, "s7": -493_000, "s500": 0}
+    got = {r.event_id: r.signal_weights for r in S.with_weights(events, weights).collect()}
+    assert got == {i: [one[s] for s in names or []] for i, names in rows}
+    scored = {r.event_id: r.total_adj for r in S.score(events, weights).collect()}
+    assert scored == {i: pytest.approx(sum(one[s] for s in names or []) / 1e6) for i, names in rows}
+    steps = S.waterfall(events, weights).groupBy("event_id").agg(F.count("*").alias("n"), F.max_by("cumulative_logit", "pos").alias("last"))
+    base = S.BASE / 1e6
+    assert {r.event_id: (r.n, r.last) for r in steps.collect()} == {
+        i: (1 + len(names or []), pytest.approx(base + sum(one[s] for s in names or []) / 1e6)) for i, names in rows
+    }
+    plan = S.score(events, weights)._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" not in plan and "collect_list" in plan
