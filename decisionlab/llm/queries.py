@@ -355,7 +355,69 @@ def damaged(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
 
 
-@query()
+# Damage by CRC-32, faults, and the cheapest edits of every state row by row, the least in ASCII order of equals.
+REPAIR_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))
+), hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS fault
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, copy,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit JOIN range(2) c(copy) ON copy = 0 OR fault = 3 WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM damaged
+), told AS (
+  SELECT conv_id, turn, role, text, n, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS kind,
+    CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+      WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair FROM placed
+), counts AS (
+  SELECT conv_id, max(n) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id
+), inserts (state, more, price, here, lines) AS (VALUES
+  (0, '', 0, 0, []::VARCHAR[]), (0, 'I', 3, 2, ['user:']), (0, 'II', 6, 3, ['user:', 'assistant:']),
+  (1, '', 0, 1, []), (1, 'I', 3, 2, ['user:']), (1, 'II', 6, 3, ['user:', 'assistant:']),
+  (2, '', 0, 2, []), (2, 'I', 3, 3, ['assistant:']), (2, 'II', 6, 2, ['assistant:', 'user:']),
+  (3, '', 0, 3, []), (3, 'I', 3, 2, ['user:']), (3, 'II', 6, 3, ['user:', 'assistant:'])
+), best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS state, {'cost': 0, 'edits': '', 'out': []::VARCHAR[]} AS b FROM counts
+  UNION ALL
+  SELECT conv_id, n, state, min(b) FROM (
+    SELECT t.conv_id, t.n, CASE edit WHEN 'D' THEN i.here WHEN 'K' THEN strpos('sua', kind) ELSE CASE i.here WHEN 2 THEN 3 ELSE 2 END END AS state,
+      {'cost': b.cost + price + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+          + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END,
+        'edits': b.edits || more || edit,
+        'out': list_concat(list_concat(b.out, lines), CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+          ELSE [CASE i.here WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END)} AS b
+    FROM best JOIN told t ON t.conv_id IS NOT DISTINCT FROM best.conv_id AND t.n = best.n + 1
+      JOIN inserts i ON i.state = best.state, (VALUES ('D'), ('R'), ('K')) e(edit)
+    WHERE edit = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (edit = 'R' OR (kind = 's' AND i.here = 0)
+      OR (kind = 'u' AND i.here <> 2) OR (kind = 'a' AND i.here = 2))))
+  GROUP BY conv_id, n, state
+), ends AS (
+  SELECT c.conv_id, min({'cost': b.cost + price, 'edits': b.edits || more, 'out': list_concat(b.out, lines)}) AS b
+  FROM best JOIN counts c ON c.conv_id IS NOT DISTINCT FROM best.conv_id AND n = last
+    JOIN inserts i ON i.state = best.state AND i.here IN (0, 3)
+  GROUP BY c.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost,
+  coalesce(b.edits, '') AS audit, sha256(coalesce(array_to_string(b.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+  LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query(REPAIR_SQL)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every damaged conversation."""
     rows = read(spark, sf_dir, "conversations")

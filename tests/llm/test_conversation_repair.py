@@ -6,6 +6,8 @@ import random
 import re
 import zlib
 
+import duckdb
+
 from decisionlab.llm import conversation_repair, queries
 
 SF = "/root/testdata/sf0.01"
@@ -124,6 +126,18 @@ def test_odd_rows(spark, tmp_path):
     check(queries.QUERIES["op12_conversation_repair"](spark, str(tmp_path)).collect(), rows)
 
 
+def test_op12_against_sql(spark, tmp_path):
+    """The checking SQL on the odd rows, too."""
+    frame = spark.createDataFrame(ODD, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.QUERIES["op12_conversation_repair"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(queries.SQL["op12_conversation_repair"])
+    names = [d[0] for d in found.description]
+    assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r)) for r in got.select(names).collect())
+
+
 def test_rows_of_the_repair(spark):
     rows = [(1, 0, "assistant", "one."), (1, 1, "user", "two."), (2, 0, "user", " "), (3, 0, "system", "s."), (3, 1, "user", "u.")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
