@@ -132,7 +132,7 @@ def _grown_tree(spark, sf_dir):
     """The ledger's tree after three appends, with the digest after each."""
     lines = I.canonical_ledger(B.ledger(spark, sf_dir))
     tree, told = T.LedgerTree(spark, new_dir(spark, "tree"), DIGEST_LINES), []
-    third = F.floor((F.col("seq") - 1) * 3 / lines.agg(F.max("seq")).scalar())
+    third = F.floor(F.col("seq") * 3 / (lines.agg(F.max("seq")).scalar() + 1))
     for part in range(3):
         size = tree.append(lines.filter(third == part))
         told.append((size, tree.digest()))
@@ -142,7 +142,7 @@ def _grown_tree(spark, sf_dir):
 @query(f"""
 WITH RECURSIVE numbered AS (
   SELECT line, row_number() OVER (ORDER BY seq) AS n,
-    floor((seq - 1) * 3 / (SELECT max(seq) FROM canon)) AS part FROM canon
+    floor(seq * 3 / ((SELECT max(seq) FROM canon) + 1)) AS part FROM canon
 ), sizes AS (SELECT DISTINCT max(n) AS size FROM numbered GROUP BY part),
 tree AS (
   SELECT size, 0 AS level, n, line, size AS total FROM sizes JOIN numbered ON n <= size
