@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from decisionlab.llm.bitmap import bitmap, holds
 from decisionlab.llm.graph import components
 from decisionlab.llm.text import chunks
-from decisionlab.session import cut_lineage
+from decisionlab.session import cut_lineage, drop_folder, new_dir
 
 CHUNK = 4 << 20
 
@@ -209,13 +209,18 @@ class Duplicates:
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs whose sets of shingles have a Jaccard similarity of `similarity` or more."""
+        spark, path = pairs.sparkSession, new_dir(pairs.sparkSession, "sets")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = cut_lineage(self.sets_of(nodes.join(ends, "node").select("node", "mark")))
+        self.sets_of(nodes.join(ends, "node").select("node", "mark")).write.parquet(path)
+        sets = spark.read.schema("node long, shingles array<long>").parquet(path)
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         like = both >= self.similarity * (F.size("x") + F.size("y") - both)
-        return pairs.join(a, "a").join(b, "b").filter(like).select("a", "b")
+        found = cut_lineage(pairs.join(a, "a").join(b, "b").filter(like).select("a", "b"))
+        # The sets are large and not read again.
+        drop_folder(spark, path)
+        return found
 
     def roots(self, nodes: DataFrame) -> DataFrame:
         """`node`, `root` of nodes that are not the smallest of their group.
