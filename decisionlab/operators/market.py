@@ -108,7 +108,8 @@ def peak_move(predictions: DataFrame, quotes: DataFrame, top_level: int = 7) ->
 
     Quotes shrink to one row per ticker and day, then to the highest price of every block of 2^k
     days. A span asked for is a few such blocks, found by equi join, so neither pairs nor
-    a whole ticker's quotes meet in one task, and no window slides.
+    a whole ticker's quotes meet in one task, and no window slides. Both joins are merges: Spark's size estimate does
+    not see that rows are exploded, and would send them to the driver to broadcast them.
     """
     daily = quotes.groupBy("ticker", F.unix_date(F.to_date("ts")).alias("day")).agg(
         F.max("price").alias("price")
@@ -124,11 +125,11 @@ def peak_move(predictions: DataFrame, quotes: DataFrame, top_level: int = 7) ->
     spans = predictions.select(key).filter(F.col("to_day") >= F.col("from_day")).distinct()
     blocks = dyadic_blocks(F.unix_date("from_day"), F.unix_date("to_day"), top_level)
     probes = spans.select(*key, F.explode(blocks).alias("_b")).select(*key, "_b.level", "_b.block")
-    found = probes.join(tops, ["ticker", "level", "block"]).groupBy(*key).agg(
+    found = probes.join(tops.hint("merge"), ["ticker", "level", "block"]).groupBy(*key).agg(
         F.max("price").alias("peak")
     )
     price = F.nullif("price", F.lit(0.0))
-    return predictions.join(found, key, "left").withColumn(
+    return predictions.join(found.hint("merge"), key, "left").withColumn(
         "peak_pct", (F.col("peak") - price) / price * 100
     )
 

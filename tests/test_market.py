@@ -60,6 +60,15 @@ def test_peak_move(spark, top_level):
     assert rows(got, "id", "peak") == sorted(want, key=repr)
 
 
+def test_peak_move_sends_no_rows_to_the_driver(spark):
+    """Small quotes become many blocks of days, which no size estimate sees; none of them is broadcast."""
+    asked = spark.createDataFrame(
+        [(1, "A", 10.0, date(2026, 1, 1), date(2026, 6, 1))], "id long, ticker string, price double, from_day date, to_day date"
+    )
+    plan = M.peak_move(asked, spark.createDataFrame(quotes_data(), QUOTE))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def test_quotes(spark):
     data = [
         ("A", '[{"price":5,"changePercentage":0,"changesPercentage":1.5,"name":"Alpha"},{"price":9}]'),
