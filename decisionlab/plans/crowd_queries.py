@@ -207,7 +207,10 @@ def vote_upserts(spark, sf_dir):
     return stored.select("user", "event_id", "label", "seq")
 
 
-PARTS = {"groups": 16, "shards": 2, "partitions": 4, "fold_every": 2}
+def _parts(spark):
+    """State in a partition and four groups a core."""
+    cores = spark.sparkContext.defaultParallelism
+    return {"groups": 4 * cores, "shards": 2, "partitions": cores, "fold_every": 2}
 
 
 def _landing(spark, rows, key, files):
@@ -218,10 +221,10 @@ def _landing(spark, rows, key, files):
 
 
 def _live(spark, sf_dir):
-    """Live tables of three batches of votes and of outcomes; the tables are small, so the state is in few parts."""
+    """Live tables of three batches of votes and of outcomes."""
     return L.LiveTables(
         new_dir(spark, "live"), _landing(spark, B.votes(spark, sf_dir), "id", 3),
-        _landing(spark, B.outcomes(spark, sf_dir), "event_id", 3), **PARTS, files=4,
+        _landing(spark, B.outcomes(spark, sf_dir), "event_id", 3), **_parts(spark), files=4,
     )
 
 
@@ -264,7 +267,7 @@ def stream_late_outcomes(spark, sf_dir):
     outcomes.filter("false").write.parquet(path)
     live = L.LiveTables(
         new_dir(spark, "live"), _landing(spark, B.votes(spark, sf_dir), "id", 3),
-        spark.readStream.schema(outcomes.schema).parquet(path), **PARTS,
+        spark.readStream.schema(outcomes.schema).parquet(path), **_parts(spark),
     )
     live.advance("board")
     first = outcomes.filter(third).select("event_id", wrong.alias("outcome"), early.alias("decided_at"))

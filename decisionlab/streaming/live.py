@@ -7,16 +7,17 @@ outcome reads the votes on its event alone, a vote the outcome of its own. The b
 streaks are kept per user and day of decision, so that a changed vote or a late outcome counts
 one day again.
 
-State lives in Spark's state store (RocksDB), keyed, so a batch costs what it holds and not what was
-stored. Streams of changes go through Spark's file sink, which makes them exactly once. Live tables
+State lives in Spark's state store (RocksDB), keyed in small blocks, so a batch costs what it holds and not what was
+stored, and a call to the store serves a block of rows. Streams of changes go through Spark's file sink, which makes them exactly once. Live tables
 get the new rows of the keys a batch touches, the newest of each key counting.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from zlib import crc32
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -33,6 +34,8 @@ from decisionlab.streaming.votes import FOLD_EVERY, accepted_votes, read_snapsho
 GROUPS = 256
 # Tasks over which the voters of one event are dealt in the join; every outcome is sent to each.
 SHARDS = 16
+# Rows of state in a block, on average.
+FILL = 256
 DAY = 86_400_000_000
 # Stands for the time of a decision without one: before all others.
 EARLIEST = -(1 << 62)
@@ -73,8 +76,77 @@ def _hashed(n: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
 
-def _ddl(kind: T.StructType, names: list[str]) -> str:
-    return ", ".join(f"{n} {kind[n].dataType.simpleString()}" for n in names)
+def _block(h: int, n: int) -> int:
+    """The one of `n` blocks for a hash, by linear hashing."""
+    top = 1 << (n.bit_length() - 1)
+    block = h & (2 * top - 1)
+    return block if block < n else block - top
+
+
+def _plain(column: list) -> list:
+    """Values of state as they are stored: structs in lists come back as rows, which cannot be stored again."""
+    lists = any(isinstance(v, list) for v in column)
+    return [[tuple(e) for e in v] for v in column] if lists else column
+
+
+class Blocks:
+    """Rows of state by key in blocks of about `FILL`: a call to the state store costs much more than a row.
+
+    Blocks are split as rows come (linear hashing), so that none grows with what is stored.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, columns: dict[str, str], width: int):
+        self.width, self.columns = width, len(columns)
+        # Column by column: a list of numbers is far cheaper to hand over than as many rows.
+        kinds = ", ".join(f"{name} array<{kind}>" for name, kind in columns.items())
+        self.kept = handle.getMapState("blocks", "block bigint", kinds)
+        self.size = handle.getValueState("size", "blocks bigint, rows bigint")
+
+    def _read(self, block: int) -> dict[tuple, tuple]:
+        stored = self.kept.getValue((block,))
+        return {} if stored is None else {r[: self.width]: r for r in zip(*[_plain(c) for c in stored])}
+
+    def _write(self, block: int, rows: dict[tuple, tuple]) -> None:
+        columns = zip(*rows.values()) if rows else [()] * self.columns
+        self.kept.updateValue((block,), tuple(list(c) for c in columns))
+
+    def _hash(self, name: tuple) -> int:
+        return crc32(repr(name).encode())
+
+    def _split(self, n: int, more: int) -> None:
+        """Go from `n` blocks to more; those that new blocks take rows from are written again."""
+        taken = set()
+        for block in range(n, more):
+            while block >= n:
+                block -= 1 << (block.bit_length() - 1)
+            taken.add(block)
+        for block in taken:
+            parts: dict[int, dict[tuple, tuple]] = {block: {}}
+            for name, row in self._read(block).items():
+                parts.setdefault(_block(self._hash(name), more), {})[name] = row
+            for part, rows in parts.items():
+                self._write(part, rows)
+
+    def holding(self, names: Iterable[tuple]) -> Iterator[tuple[dict[tuple, tuple], list[tuple]]]:
+        """Block by block, its rows and which of the keys lie in it; rows set in between are stored."""
+        names, stored = list(names), self.size.get()
+        n, count = (1, 0) if stored is None else tuple(stored)
+        more = max(n, -(-(count + len(names)) // FILL))
+        if more > n and count:
+            self._split(n, more)
+        places: dict[int, list[tuple]] = {}
+        for name in names:
+            places.setdefault(_block(self._hash(name), more), []).append(name)
+        total = count
+        for block, here in places.items():
+            rows = self._read(block) if count else {}
+            before = dict(rows)
+            yield rows, here
+            if rows != before:
+                self._write(block, rows)
+                total += len(rows) - len(before)
+        if (more, total) != (n, count):
+            self.size.update((more, total))
 
 
 class Newest(StatefulProcessor):
@@ -84,31 +156,36 @@ class Newest(StatefulProcessor):
     """
 
     def __init__(self, kind: T.StructType, keys: list[str], order: list[str], late: bool):
-        self.keys, self.order, self.late = keys, order, late
+        self.keys, self.late = keys, late
         self.values = [n for n in kind.names if n not in [*keys, "group"]]
-        self.schemas = _ddl(kind, keys), f"{_ddl(kind, self.values)}, turn bigint"
+        self.ordered = [self.values.index(n) for n in order]
+        self.columns = {n: kind[n].dataType.simpleString() for n in [*keys, *self.values]} | {"turn": "bigint"}
         self.row = Row(*keys, *self.values, *[f"old_{n}" for n in self.values], "turn")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getMapState("kept", *self.schemas)
+        self.kept = Blocks(handle, self.columns, len(self.keys))
 
     def place(self, value: tuple) -> tuple:
         """Sorts by `order`, nulls first."""
-        row = dict(zip(self.values, value))
-        return tuple((row[n] is not None, row[n]) for n in self.order)
+        return tuple((value[i] is not None, value[i]) for i in self.ordered)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         newest: dict[tuple, tuple] = {}
+        taken = None
         for r in rows:
-            name, value = tuple(r[k] for k in self.keys), tuple(r[v] for v in self.values)
+            if taken is None:
+                taken = [[r.__fields__.index(n) for n in names] for names in (self.keys, self.values)]
+            name, value = (tuple(r[i] for i in places) for places in taken)
             if name not in newest or self.place(newest[name]) < self.place(value):
                 newest[name] = value
-        for name, value in newest.items():
-            stored = self.kept.getValue(name)
-            before, turn = (None, 0) if stored is None else (tuple(stored[:-1]), stored[-1])
-            if before != value and (before is None or self.late or self.place(before) < self.place(value)):
-                self.kept.updateValue(name, (*value, turn + 1))
-                yield self.row(*name, *value, *(before or [None] * len(value)), turn + 1)
+        width = len(self.keys)
+        for stored, names in self.kept.holding(newest):
+            for name in names:
+                value, (*before, turn) = newest[name], stored[name][width:] if name in stored else (0,)
+                before = tuple(before)
+                if before != value and (not before or self.late or self.place(before) < self.place(value)):
+                    stored[name] = (*name, *value, turn + 1)
+                    yield self.row(*name, *value, *(before or [None] * len(value)), turn + 1)
 
     def close(self) -> None:
         pass
@@ -231,37 +308,42 @@ class DayStreaks(StatefulProcessor):
 
     def __init__(self, kind: T.StructType):
         event = kind["event_id"].dataType.simpleString()
-        votes = f"votes array<struct<decided:bigint,event_id:{event},right:boolean,turn:bigint,created:bigint,seq:bigint>>"
-        self.schemas = _ddl(kind, ["user", "day"]), votes
+        votes = f"array<struct<decided:bigint,event_id:{event},right:boolean,turn:bigint,created:bigint,seq:bigint>>"
+        self.columns = {"user": kind["user"].dataType.simpleString(), "day": "bigint", "votes": votes}
         self.row = Row("user", "day", "n", "lead", "tail", "best")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", *self.schemas)
+        self.days = Blocks(handle, self.columns, 2)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         touched: dict[tuple, list] = {}
         for r in rows:
             touched.setdefault((r.user, r.day), []).append(r)
-        for name, changes in touched.items():
-            stored = self.days.getValue(name)
-            votes = {v[1]: tuple(v) for v in stored[0]} if stored is not None else {}
-            # By outcome, what one takes back before what it gives, and then by vote.
-            for r in sorted(changes, key=lambda r: (r.turn, r.sign, r.created, r.seq)):
-                before = votes.get(r.event_id)
-                if before is not None and before[3:] > (r.turn, r.created, r.seq):
-                    continue
-                if r.sign > 0:
-                    votes[r.event_id] = (r.decided, r.event_id, r.right, r.turn, r.created, r.seq)
-                elif before is not None and before[3] < r.turn:
-                    del votes[r.event_id]
-            listed = sorted(votes.values(), key=lambda v: v[:2])
-            self.days.updateValue(name, (listed,))
-            run = lead = best = 0
-            for n, vote in enumerate(listed, 1):
-                run = run + 1 if vote[2] else 0
-                best = max(best, run)
-                lead = n if run == n else lead
-            yield self.row(*name, len(listed), lead, run, best)
+        for stored, names in self.days.holding(touched):
+            for name in names:
+                before = stored[name][2] if name in stored else []
+                listed = self.changed(before, touched[name])
+                stored[name] = (*name, listed)
+                run = lead = best = 0
+                for n, vote in enumerate(listed, 1):
+                    run = run + 1 if vote[2] else 0
+                    best = max(best, run)
+                    lead = n if run == n else lead
+                yield self.row(*name, len(listed), lead, run, best)
+
+    def changed(self, before: list, changes: list) -> list[tuple]:
+        """The votes of a day after some changes, in the order of their runs."""
+        votes = {v[1]: tuple(v) for v in before}
+        # By outcome, what one takes back before what it gives, and then by vote.
+        for r in sorted(changes, key=lambda r: (r.turn, r.sign, r.created, r.seq)):
+            stored = votes.get(r.event_id)
+            if stored is not None and stored[3:] > (r.turn, r.created, r.seq):
+                continue
+            if r.sign > 0:
+                votes[r.event_id] = (r.decided, r.event_id, r.right, r.turn, r.created, r.seq)
+            elif stored is not None and stored[3] < r.turn:
+                del votes[r.event_id]
+        return sorted(votes.values(), key=lambda v: v[:2])
 
     def close(self) -> None:
         pass

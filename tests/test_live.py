@@ -124,3 +124,46 @@ def test_a_batch_costs_what_it_holds(spark, tmp_path):
         assert max(written.values()) <= 40
         spent.append(read)
     assert spent[0] == spent[1]
+
+
+def test_state_is_called_by_blocks_that_stay_small():
+    """A block for many rows, found again after any number of splits, and none that grows."""
+
+    class Kept(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    class Size:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    class Handle:
+        def getMapState(self, *schemas):
+            return Kept()
+
+        def getValueState(self, *schemas):
+            return Size()
+
+    blocks, want = L.Blocks(Handle(), {"user": "string", "event": "bigint", "n": "bigint"}, 2), {}
+    for n, size in enumerate((3, 5000, 1, 700, 20_000, 20_000)):
+        names = [(f"u{i % 7}", i) for i in range(size)]
+        before, blocks.kept.calls = len(want), 0
+        for rows_, here in blocks.holding(names):
+            for name in here:
+                assert rows_.get(name, (None, None, None))[2] == want.get(name)
+                rows_[name], want[name] = (*name, n), n
+        assert blocks.kept.calls <= 6 * (before + size) / L.FILL + 10
+    assert blocks.size.get()[1] == len(want) == 20_000
+    assert max(len(c[0]) for c in blocks.kept.values()) <= 4 * L.FILL
