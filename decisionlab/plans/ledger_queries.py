@@ -129,14 +129,14 @@ def ledger_digest(spark, sf_dir):
 
 
 def _grown_tree(spark, sf_dir):
-    """The ledger's tree after three appends, with the digest after each."""
-    lines = I.canonical_ledger(B.ledger(spark, sf_dir))
+    """The ledger's lines, written once, their tree after three appends, and the digest after each."""
+    lines = cut_lineage(I.canonical_ledger(B.ledger(spark, sf_dir), "correct"))
     tree, told = T.LedgerTree(spark, new_dir(spark, "tree"), DIGEST_LINES), []
     third = F.floor(F.col("seq") * 3 / (lines.agg(F.max("seq")).scalar() + 1))
     for part in range(3):
         size = tree.append(lines.filter(third == part))
         told.append((size, tree.digest()))
-    return tree, told
+    return lines, tree, told
 
 
 @query(f"""
@@ -156,7 +156,7 @@ SELECT size AS lines, sha256('ledger' || chr(10) || size || chr(10) || arg_max(l
   true AS only_appended FROM tree GROUP BY size""", "canon")
 def ledger_appends(spark, sf_dir):
     """Digest after each of three appends, and whether the last ledger is shown to begin with that one."""
-    tree, told = _grown_tree(spark, sf_dir)
+    _, tree, told = _grown_tree(spark, sf_dir)
     # One row an append.
     return spark.createDataFrame(
         [(size, digest, T.only_appended(tree, size, digest)) for size, digest in dict(told).items()],
@@ -181,9 +181,9 @@ FROM missed m JOIN tree t ON level > 0 AND t.n = (m.n - 1) // CAST(pow({DIGEST_L
 GROUP BY seq, m.n""", "canon ledger")
 def ledger_proofs(spark, sf_dir):
     """For every wrong call, that its line is part of the digest: the hashes on its path, and whether they show it."""
-    tree, told = _grown_tree(spark, sf_dir)
-    (size, digest), ledger = told[-1], B.ledger(spark, sf_dir)
-    lines = number_rows(I.canonical_ledger(ledger, "correct"), ["seq"], "n")
+    written, tree, told = _grown_tree(spark, sf_dir)
+    size, digest = told[-1]
+    lines = number_rows(written, ["seq"], "n")
     missed = lines.filter(~F.col("correct")).select("seq", "line", (F.col("n") - 1).alias("place"))
     shown = T.holds_line(F.col("path"), F.col("line"), size, digest)
     return missed.join(tree.paths(missed.select("place")), "place").select(

@@ -104,3 +104,19 @@ def test_an_append_writes_its_lines_and_the_blocks_they_complete(spark, tmp_path
     assert len(tree.nodes(0, 5012, 5030).inputFiles()) >= 1
     plan = tree.nodes(0, 5012, 5030)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(place,5012)" in plan
+
+
+def test_the_ledger_is_worked_out_once_for_all_appends(spark, monkeypatch):
+    """Appends and proofs read the written lines: neither goes back to the tables the ledger is scored from."""
+    from decisionlab.plans import ledger_queries as Q
+
+    seen = []
+    grown = T.LedgerTree.append
+
+    def append(tree, lines):
+        seen.extend(lines.inputFiles())
+        return grown(tree, lines)
+
+    monkeypatch.setattr(T.LedgerTree, "append", append)
+    assert Q.ledger_proofs(spark, "/root/testdata/sf0.001").filter("not shown").count() == 0
+    assert seen and not any("/testdata/" in f for f in seen)
