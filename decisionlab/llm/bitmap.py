@@ -28,7 +28,14 @@ def bitmap(rows: DataFrame, hash_column: str):
     return rows.sparkSession.sparkContext.broadcast(out)
 
 
+def places_of(hashes: np.ndarray) -> np.ndarray:
+    """The places of hashes in a bitmap: their leading bits, at half the size."""
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def marked(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+
+
 def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(64 - BITS)
-    byte = bits[(place >> np.uint64(3)).astype(np.int64)]
-    return (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return marked(bits, places_of(hashes))

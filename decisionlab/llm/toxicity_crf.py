@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisionlab.llm.bitmap import bitmap, holds
+from decisionlab.llm.bitmap import BITS, bitmap, holds, marked, places_of
 from decisionlab.llm.labelled import Adam, Sample, known_labels, sigmoid
 from decisionlab.llm.text import Slices, chunks, lower_ascii, mix, utf8, words
 from decisionlab.session import cut_lineage
@@ -166,18 +166,24 @@ def held(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
 
-def inputs(hashed: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """Weights that each token adds up: of its buckets, and for whether its word or a beginning is sure."""
-    known = holds(sure, hashed[:KINDS])
+def inputs(places: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Weights that each token adds up: of its buckets, and for whether its word or a beginning is sure.
+
+    `places` are those of its hashed features in a bitmap; buckets are their leading bits.
+    """
+    known = marked(sure, places[:KINDS])
     rows = (1 << FEATURE_BITS) + 2 * np.arange(KINDS, dtype=np.int32)[:, None] + known
-    return np.concatenate([buckets_of(hashed), rows.astype(np.int32)])
+    return np.concatenate([places >> (BITS - FEATURE_BITS), rows.astype(np.int32)])
 
 
 @dataclass
 class Part:
-    """Some documents of the sample: small enough that every step of the fit is."""
+    """Some documents of the sample: small enough that every step of the fit is.
+
+    Of a token only the places of its features are held, four bytes each; a step makes its inputs from them.
+    """
 
-    hashed: np.ndarray
+    places: np.ndarray
     before: np.ndarray
     first: np.ndarray
     toxic: np.ndarray
@@ -197,17 +203,22 @@ def parts_of(sample: Sample) -> list[Part]:
             texts = pa.array([r["text"] or "" for r in sample.rows[start : i + 1]])
             hashed, before, (_, _, first) = features(*utf8(texts))
             apart = np.array([r["apart"] for r in sample.rows[start : i + 1]], bool)
-            out.append(Part(hashed, before, first, sample.labels[start : i + 1], apart))
+            out.append(Part(places_of(hashed), before, first, sample.labels[start : i + 1], apart))
             start, size = i + 1, 0
     return out
 
 
-def with_marks(labelled: DataFrame) -> DataFrame:
-    """Documents (`key`, `label`, `text`) with their marks: the least hashes of their shingles, by three hashes."""
+def with_marks(docs: DataFrame, sieve) -> DataFrame:
+    """Documents (`key`, `text`) with their marks: the least hashes of their shingles, by three hashes.
+
+    Those whose key (hashed in `seen`) a broadcast bitmap does not hold are left out before their texts are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
+            if sieve is not None:
+                batch = batch.filter(pa.array(holds(sieve.value, batch.column("seen").to_numpy().view(np.uint64))))
+            for part in chunks(batch.select(["key", "text"]), "text", CHUNK):
                 data, ends = utf8(part.column("text"))
                 data = lower_ascii(data)
                 start, end, before = words(data, ends)
@@ -227,23 +238,26 @@ def with_marks(labelled: DataFrame) -> DataFrame:
                     [*part.columns, *[pa.array(m.view(np.int64)) for m in marks]], [*part.schema.names, *MARKS]
                 )
 
-    kind = labelled.schema["key"].dataType.simpleString()
+    kind = docs.schema["key"].dataType.simpleString()
     marks = ", ".join(f"{m} long" for m in MARKS)
-    return labelled.mapInArrow(run, f"key {kind}, label int, text string, {marks}")
+    return docs.withColumn("seen", F.xxhash64("key")).mapInArrow(run, f"key {kind}, text string, {marks}")
 
 
 def evidence_documents(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """The labelled documents that count as evidence: `key`, `label`, `text`, `apart`.
+    """The labelled documents that count as evidence: `key`, `label`, `text`, `apart` and their marks.
 
     Copies of a toxic document are one piece of evidence, however many there are: of those that share a mark
     one stays, by each mark in turn, so that a copy that misses one mark is likely met by the next. Other
     documents all speak for their words, but for exact copies. `apart` cuts them into halves, each to judge
-    what the other teaches.
+    what the other teaches. Which documents stay is told by keys and marks alone: a text is shuffled once, when it does.
     """
     known = known_labels(labels, label, key).select(F.col("_key").alias("key"), F.col("_label").cast("int").alias("label"))
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    rows = cut_lineage(with_marks(named.join(known, "key").select("key", "label", "text")))
+    # Equal keys of different types have different hashes.
+    alike = named.schema["key"].dataType == known.schema["key"].dataType
+    texts = with_marks(named, bitmap(known.select(F.xxhash64("key").alias("seen")), "seen") if alike else None)
     names = ["key", "label", *MARKS]
+    rows = cut_lineage(texts.drop("text").join(known, "key").select(names))
 
     def one_each(kept: DataFrame, *marks: str) -> DataFrame:
         rest = [c for c in names if c not in (*marks, "label")]
@@ -253,10 +267,10 @@ def evidence_documents(docs: DataFrame, labels: DataFrame, key: str, text: str,
     toxic = rows.select(names).filter("label = 1")
     for mark in MARKS:
         toxic = one_each(toxic, mark)
-    kept = toxic.unionByName(one_each(rows.select(names).filter("label = 0"), *MARKS))
+    kept = cut_lineage(toxic.unionByName(one_each(rows.select(names).filter("label = 0"), *MARKS)))
     # Rows that are repeated as a whole are one document.
-    left = rows.join(kept, names, "left_semi").dropDuplicates(names)
-    return left.select("key", "label", "text", (F.pmod(MARKS[0], F.lit(2)) == 0).alias("apart"))
+    left = texts.join(kept, ["key", *MARKS]).dropDuplicates(["key", *MARKS])
+    return left.select("key", "label", "text", (F.pmod(MARKS[0], F.lit(2)) == 0).alias("apart"), *MARKS)
 
 
 def often_toxic(rows: DataFrame) -> np.ndarray:
@@ -351,30 +365,29 @@ def toxic_words(labelled: DataFrame) -> tuple[Evidence, Evidence, Evidence]:
     return tuple(Evidence(passing(kind, *TAGGED), passing(kind, *SURE)) for kind in ("", "seen_", "apart_"))
 
 
-def tagged_parts(parts: list[Part], known: Evidence, half: bool | None) -> list[tuple[np.ndarray, ...]]:
-    """Weights to add up, tags and beginnings of the documents that the field learns from: of one half, or all."""
+def tagged_parts(parts: list[Part], known: Evidence, half: bool | None) -> list[tuple]:
+    """Parts, which tokens the field learns from, their tags and beginnings: of the documents of one half, or all."""
     out = []
     for part in parts:
         doc = part.doc
-        x = inputs(part.hashed, known.sure)
-        hit = holds(known.tagged, part.hashed[:KINDS]).any(axis=0) & (part.toxic[doc] > 0)
+        hit = marked(known.tagged, part.places[:KINDS]).any(axis=0) & (part.toxic[doc] > 0)
         # Toxic documents in which nothing could be tagged say nothing about their tokens.
         told = (part.toxic == 0) | (np.bincount(doc, hit, minlength=len(part.toxic)) > 0)
         if half is not None:
             told &= part.apart == half
         use = told[doc]
         if use.any():
-            out.append((x[:, use], hit[use].astype(np.float64), part.first[use]))
+            out.append((part, use, hit[use], part.first[use]))
     return out
 
 
 def fit_field(model: Model, parts: list[Part], known: Evidence, half: bool | None = None) -> bool:
     """Fit weights and moves to the tagged tokens; False if there is nothing to learn."""
     data = tagged_parts(parts, known, half)
-    if not any(y.any() for _, y, _ in data):
+    if not any(y.any() for _, _, y, _ in data):
         return False
     moved, started = np.zeros((2, 2)), np.zeros(2)
-    for _, y, begins in data:
+    for _, _, y, begins in data:
         pairs = 2 * y[:-1].astype(int) + y[1:].astype(int)
         moved += np.bincount(pairs[~begins[1:]], minlength=4).reshape(2, 2)
         started += np.bincount(y[begins].astype(int), minlength=2)
@@ -386,7 +399,8 @@ def fit_field(model: Model, parts: list[Part], known: Evidence, half: bool | Non
             "moves": DECAY * model.moves - moved,
             "start": DECAY * model.start - started,
         }
-        for x, y, begins in data:
+        for part, use, y, begins in data:
+            x = inputs(part.places[:, use], known.sure)
             marginal, moves, starts = chain(model, model.weights[x].sum(axis=0), begins, True)
             gap = np.broadcast_to(marginal - y, x.shape)
             slope["weights"] += np.bincount(x.ravel(), gap.ravel(), minlength=SIZE)
@@ -420,7 +434,7 @@ def fit(sample: Sample, known: Evidence, halves: tuple[Evidence, Evidence]) -> M
             # Too few documents for halves.
             trial = model
         for part in parts:
-            scores = trial.weights[inputs(part.hashed, trial.sure)].sum(axis=0)
+            scores = trial.weights[inputs(part.places, trial.sure)].sum(axis=0)
             marginal = chain(trial, scores, part.first) if len(scores) else scores
             other = part.apart != half
             rows.append(document_features(marginal, part.before)[other])
@@ -454,8 +468,12 @@ def train(
     known, *halves = toxic_words(labelled)
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     short = labelled.filter(F.length("text") <= longest)
-    order = [F.xxhash64("key"), F.col("key")]
-    rows = [r for value in (0, 1) for r in short.filter(F.col("label") == value).orderBy(*order).limit(per_class).collect()]
+    order = [F.xxhash64("key"), F.col("key"), *MARKS]
+    # Chosen by keys and marks, so that no task sends the driver texts that another's replace.
+    places = short.select("key", "label", *MARKS)
+    first, last = (places.filter(F.col("label") == value).orderBy(*order).limit(per_class) for value in (0, 1))
+    picked = F.broadcast(first.unionByName(last).drop("label"))
+    rows = short.join(picked, ["key", *MARKS]).select("label", "text", "apart", "key", *MARKS).orderBy("label", *order).collect()
     told = np.array([r["label"] for r in rows], np.float64)
     return fit(Sample(rows, told, (counts.get(0, 0), counts.get(1, 0))), known, tuple(halves))
 
@@ -468,7 +486,7 @@ def tag(model: Model, column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     data, ends = utf8(column)
     hashed, before, (start, end, first) = features(data, ends)
     if model.usable and len(first):
-        x = inputs(hashed, model.sure)
+        x = inputs(places_of(hashed), model.sure)
         marginal = chain(model, model.weights[x].sum(axis=0, dtype=np.float64), first)
     else:
         marginal = np.zeros(len(first))

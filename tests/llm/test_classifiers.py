@@ -195,3 +195,36 @@ def test_scores_do_not_depend_on_batches(spark):
     many = {r.doc_id: r.score for r in quality_fm.score(docs.repartition(30), fm).collect()}
     assert all(np.isclose(one[k], many[k]) for k in one)
     assert sigmoid(np.array([-1e9, 1e9])).tolist() == pytest.approx([0, 1])
+
+
+def shuffled_bytes(spark):
+    """What all stages so far have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    none, nothing = gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, nothing)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_shuffled_once_if_labelled(spark):
+    """Of the texts, those that are evidence are shuffled, and once; tables too large to broadcast change nothing."""
+    rng = random.Random(3)
+    letters = string.ascii_letters + string.digits
+    rows = [(i, " ".join("".join(rng.choices(letters, k=8)) for _ in range(400))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.filter("doc_id < 150").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    before, at_start = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = toxicity_crf.evidence_documents(docs, labels, "doc_id", "text", "toxic").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.key, r.label, r.text) for r in found) == [(i, i % 2, t) for i, t in rows[:150]]
+    assert shuffled_bytes(spark) - at_start < 1.5 * sum(len(t) for _, t in rows[:150])
+
+
+def test_the_sample_is_small_on_the_driver(spark):
+    """Of a token of the sample the driver holds four bytes a feature and no more."""
+    texts = [{"text": f"some words and word{i} " * 40, "apart": i % 2 == 0} for i in range(300)]
+    parts = toxicity_crf.parts_of(toxicity_crf.Sample(texts, np.arange(300) % 2, (150, 150)))
+    held = sum(v.nbytes for p in parts for v in vars(p).values())
+    assert held <= 45 * sum(len(p.first) for p in parts)
