@@ -9,10 +9,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisionlab.llm.labelled import Adam, sigmoid
+from decisionlab.llm.labelled import sigmoid
 from decisionlab.llm.text import Slices, chunks, mix
 from decisionlab.session import cut_lineage
 
@@ -25,11 +25,13 @@ HELD = 1 << 20
 # Grams are stored by hash: all languages together have this many places per order.
 PLACES = 22
 UNKNOWN = "und"
-# Bounds of the sample that scores are calibrated on: documents of each language, and their longest text.
-PER_LANGUAGE, LONGEST = 200, 20_000
-# Lengths of the beginnings of sampled texts that are judged, too, and the share of them to reject.
+# Lengths of the beginnings of texts that are judged in calibration, too, and the share of them to reject.
 BEGINNINGS = (20, 60, 200)
 REJECTED = 0.01
+# Parts of a nat that entropies are counted in, for the limits.
+FINE = 10_000
+# What holds the weights of a score: the constant hardly, so that it stays finite where every text is right.
+RIDGE = np.array([1e-6, 1e-3, 1e-3])
 
 
 @cache
@@ -293,50 +295,107 @@ def store(grams: DataFrame) -> Model:
     return Model(languages, bits, arrays, floors, np.zeros(3), np.full(len(languages), np.inf))
 
 
-def calibrate(model: Model, sample: list[tuple[str, bytes]]) -> None:
-    """Fit scores to how often the language is right, and limits to the entropies that texts of it have."""
-    index = {name: i for i, name in enumerate(model.languages)}
-    texts, told = [], []
-    for lang, text in sample:
-        decoded = text.decode("utf-8", "replace")
-        for part in (text, *[decoded[:n].encode("utf-8", "replace") for n in BEGINNINGS if n < len(decoded)]):
-            texts.append(part)
-            told.append(index[lang])
-    if not texts:
-        return
-    entropy, n, lettered = model.entropies(texts)
-    told = np.array(told)
-    x, y = evidence(entropy, n)[lettered], (entropy.argmin(axis=1) == told)[lettered]
-    weights, adam = {"score": model.score}, Adam(0.1)
-    for _ in range(400):
-        gap = (sigmoid(x @ model.score) - y) / max(len(y), 1)
-        adam.step(weights, {"score": x.T @ gap + 1e-3 * model.score * np.array([0, 1, 1])})
-    own = entropy[np.arange(len(told)), told]
-    for i in range(len(model.languages)):
-        mine = own[lettered & (told == i)]
-        if len(mine):
-            model.limits[i] = np.quantile(mine, 1 - REJECTED)
+def judged(named: DataFrame, model: Model) -> DataFrame:
+    """Every text (`lang`, `text`) with a letter and its beginnings, as the model sees them.
+
+    `lang` is the language's number, `right` whether it has the least entropy, `own` its entropy; `x1` and `x2` are
+    the evidence.
+    """
+    shared = named.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        index = {name: i for i, name in enumerate(model.languages)}
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                texts, told = [], []
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                    decoded = text.decode("utf-8", "replace")
+                    for some in (text, *[decoded[:n].encode("utf-8", "replace") for n in BEGINNINGS if n < len(decoded)]):
+                        texts.append(some)
+                        told.append(index[lang])
+                entropy, n, use = model.entropies(texts)
+                if not texts:
+                    continue
+                told = np.array(told, np.int32)
+                x = evidence(entropy, n)
+                right, own = entropy.argmin(axis=1) == told, entropy[np.arange(len(told)), told]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[use]) for c in (told, right, own, x[:, 1], x[:, 2])], ["lang", "right", "own", "x1", "x2"]
+                )
+
+    return named.mapInArrow(run, "lang int, right boolean, own double, x1 double, x2 double")
+
+
+def fit_score(rows: DataFrame) -> np.ndarray:
+    """Weights of the logistic regression of `right` on the evidence, over all rows, by Newton's method.
+
+    A step sums up gradient and curvature in one pass. Weights are rounded, so that the order of sums does not matter.
+    """
+    x: list[Column] = [F.lit(1.0), F.col("x1"), F.col("x2")]
+    weights = np.zeros(3)
+
+    def sums(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        odds = sum(F.lit(float(w)) * c for w, c in zip(weights, x))
+        p = 1 / (1 + F.exp(-odds))
+        # log(1 + exp(z)) without overflow, for z the odds against what was seen.
+        z = F.when(F.col("right"), -odds).otherwise(odds)
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        gap = p - F.col("right").cast("double")
+        pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+        n, total, *rest = rows.agg(
+            F.count("*"), F.sum(loss), *[F.sum(gap * c) for c in x], *[F.sum(p * (1 - p) * x[i] * x[j]) for i, j in pairs]
+        ).first()
+        if not n:
+            return 0.0, np.zeros(3), np.eye(3)
+        curve = np.zeros((3, 3))
+        for (i, j), value in zip(pairs, rest[3:]):
+            curve[i, j] = curve[j, i] = value / n
+        cost = total / n + float(RIDGE @ weights**2) / 2
+        return cost, np.array(rest[:3]) / n + RIDGE * weights, curve + np.diag(RIDGE)
+
+    cost, slope, curve = sums(weights)
+    for _ in range(30):
+        step = np.linalg.solve(curve, slope)
+        # A step that goes too far is halved.
+        for _ in range(10):
+            tried = sums(weights - step)
+            if tried[0] <= cost + 1e-12:
+                break
+            step = step / 2
+        weights = weights - step
+        cost, slope, curve = tried
+        if np.abs(step).max() < 1e-7:
+            break
+    return np.round(weights, 6)
+
+
+def fit_limits(rows: DataFrame, languages: int) -> np.ndarray:
+    """Per language the entropy that all but `REJECTED` of its rows stay under, rounded up to 1 / `FINE`.
+
+    Rows are counted by the entropy in these units, so what a language's counts are added up over does not grow with it.
+    """
+    counts = rows.groupBy("lang", F.floor(F.col("own") * FINE).alias("unit")).agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy("lang").orderBy("unit")
+    added = counts.withColumn("under", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+    ends = added.filter(F.col("under") >= (1 - REJECTED) * F.col("all")).groupBy("lang").agg(F.min("unit").alias("unit"))
+    limits = np.full(languages, np.inf)
+    for lang, unit in ends.collect():
+        limits[lang] = (unit + 1) / FINE
+    return limits
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Models of all languages named in `lang`, from all rows that have one and a text.
 
-    Counts and estimates cover every text. Only the calibration of scores takes a sample: up to 200 texts per
-    language of at most 20,000 characters, by the hash of their key.
+    Counts, estimates, scores and limits cover every text; `key` is not read.
     """
     model = store(cut_lineage(count_grams(docs, text, lang)))
-    named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= LONGEST))
-    named = named.select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(key)).alias("turn")
-    )
-    # Places within a language are limited in each task first, so no language is gathered.
-    order = Window.partitionBy("lang").orderBy("turn")
-    turns = named.select("lang", "turn").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_LANGUAGE)
-    # One row a language.
-    ends = turns.groupBy("lang").agg(F.max("turn").alias("end"))
-    picked = named.join(F.broadcast(ends), "lang").filter(F.col("turn") <= F.col("end"))
-    sample = picked.dropDuplicates(["lang", "turn"]).orderBy("lang", "turn").collect()
-    calibrate(model, [(r["lang"], bytes(r["text"])) for r in sample])
+    if model.languages:
+        named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+        named = named.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
+        rows = cut_lineage(judged(named, model))
+        model.score, model.limits = fit_score(rows), fit_limits(rows, len(model.languages))
     return model
 
 
@@ -346,7 +405,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     Returns `key`, `lang` (the one with the least cross-entropy per symbol; of equals the first by name;
     `und` for null texts, texts without a letter, and where no language was learned), `score` (0 to 1: how
     likely it is right; 0 for `und`), `accepted` (false where the score is under one half, or the entropy above what
-    99 % of the language's sampled texts have: such texts are likely in none of the languages) and `entropy`.
+    99 % of the language's texts and their beginnings have: such texts are likely in none of the languages) and `entropy`.
     Other columns are not read; repeated rows and null keys are judged row by row; an empty table gives
     an empty result.
     """

@@ -1,6 +1,7 @@
 """The character models against plain Kneser-Ney, and the held-out accuracy of the query."""
 
 import math
+import random
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -117,3 +118,23 @@ def test_odd_rows(spark, model):
     assert {(r.lang, r.score) for r in language_id.identify(docs, none).collect()} == {("und", 0.0)}
     one = language_id.train(docs.withColumn("doc_id", docs.key))
     assert one.languages == ["zz"] and {r.lang for r in language_id.identify(docs, one).collect()} == {"zz", "und"}
+
+
+def test_scores_and_limits_are_fitted_on_all_texts(spark):
+    """Of 900 texts, some longer than 20,000 characters, every one and its beginnings take part in the fit."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(400)]
+    size = [4000 if i % 90 == 0 else rng.randint(1, 60) for i in range(900)]
+    rows = [(i, "uv"[i % 2], " ".join(rng.choices(words[i % 2 * 150 : i % 2 * 150 + 250], k=n))) for i, n in enumerate(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(7)
+    model = language_id.train(docs)
+    texts = [(lang, part) for _, lang, t in rows for part in (t, *[t[:n] for n in (20, 60, 200) if n < len(t)])]
+    entropy, n, lettered = model.entropies([t.encode() for _, t in texts])
+    assert lettered.all()
+    told = np.array(["uv".index(lang) for lang, _ in texts])
+    for i in range(2):
+        own = np.sort(entropy[told == i, i])
+        assert abs(model.limits[i] - own[math.ceil(0.99 * len(own)) - 1]) <= 2e-4
+    x, y = language_id.evidence(entropy, n), entropy.argmin(axis=1) == told
+    slope = x.T @ (1 / (1 + np.exp(-x @ model.score)) - y) / len(y) + np.array([1e-6, 1e-3, 1e-3]) * model.score
+    assert 0 < y.mean() < 1 and np.abs(slope).max() < 1e-5
