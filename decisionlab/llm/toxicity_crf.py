@@ -15,7 +15,7 @@ from decisionlab.llm.labelled import Adam, Sample, known_labels, sigmoid
 from decisionlab.llm.text import Slices, chunks, lower_ascii, mix, utf8, words
 from decisionlab.session import cut_lineage
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 # Characters of the sample that one step of the fit holds at once.
 FIT_PART = 1 << 20
 FEATURE_BITS = 20
@@ -273,6 +273,13 @@ def evidence_documents(docs: DataFrame, labels: DataFrame, key: str, text: str,
     return left.select("key", "label", "text", (F.pmod(MARKS[0], F.lit(2)) == 0).alias("apart"), *MARKS)
 
 
+def add_documents(n: np.ndarray, places: np.ndarray, doc: np.ndarray) -> None:
+    """Add to `n` in how many documents each place occurs, without another table of all places."""
+    for row in places:
+        met, times = np.unique(np.unique(doc * CELLS + row) % CELLS, return_counts=True)
+        n[met] += times.astype(n.dtype)
+
+
 def often_toxic(rows: DataFrame) -> np.ndarray:
     """A bitmap (768 KB) of the places that enough toxic documents have; a task holds one number a place."""
 
@@ -281,9 +288,7 @@ def often_toxic(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
                 hashed, before, _ = features(*utf8(part.column("text")))
-                doc = np.repeat(np.arange(part.num_rows), np.diff(before))
-                for row in cells(hashed):
-                    n += np.bincount(np.unique(doc * CELLS + row) % CELLS, minlength=CELLS).astype(np.int32)
+                add_documents(n, cells(hashed), np.repeat(np.arange(part.num_rows), np.diff(before)))
         met = np.flatnonzero(n)
         for s in range(0, len(met), 1 << 16):
             some = met[s : s + (1 << 16)]

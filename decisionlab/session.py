@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,11 +73,28 @@ def drop_intermediates(spark: SparkSession) -> None:
     drop_folder(spark, f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
 
 
+@contextmanager
+def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete the files of their shuffles when they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
-    The rows survive the loss of executors, and later steps read only the columns they need.
+    The rows survive the loss of executors, and later steps read only the columns they need. Nothing
+    reads the write's shuffles again, so their files are deleted with it and not at some later garbage collection.
     """
     path = new_dir(df.sparkSession, "cut")
-    df.write.parquet(path)
+    with no_shuffles_left(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 import itertools
 import random
 import string
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -228,3 +229,17 @@ def test_the_sample_is_small_on_the_driver(spark):
     parts = toxicity_crf.parts_of(toxicity_crf.Sample(texts, np.arange(300) % 2, (150, 150)))
     held = sum(v.nbytes for p in parts for v in vars(p).values())
     assert held <= 45 * sum(len(p.first) for p in parts)
+
+
+def test_counting_holds_one_table_of_places():
+    """Adding a chunk's documents to the table of all places takes memory for the chunk alone."""
+    rng = np.random.default_rng(1)
+    places, doc = rng.integers(0, 5000, (2, 20_000)), np.sort(rng.integers(0, 90, 20_000))
+    n = np.zeros(toxicity_crf.CELLS, np.int32)
+    tracemalloc.start()
+    toxicity_crf.add_documents(n, places, doc)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = [p for row in places for _, p in set(zip(doc.tolist(), row.tolist()))]
+    assert n.sum() == len(pairs) and (n == np.bincount(pairs, minlength=len(n))).all()
+    assert held < 4 << 20

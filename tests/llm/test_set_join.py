@@ -1,9 +1,13 @@
 """Near-duplicate removal by Jaccard similarity alone, against brute force over all pairs."""
 
 import random
+import time
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from decisionlab.llm import set_join, simhash
+from decisionlab.session import cut_lineage
 from test_neighbours import roots_of
 from test_pipeline import near_copies, shingle_set
 
@@ -63,3 +67,22 @@ def test_leads_combine_before_the_shuffle(spark):
     want = {(n, min(r[:2] for r in rows if r[2:] == (p, v))) for n, _, p, v in rows}
     assert {(r.node, tuple(r.lead)) for r in got.collect()} == want and got.count() == len(rows)
     assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    """The files of a write's shuffles go with it; a setting of the session's own stays as it was."""
+    name, blocks = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    before = spark.conf.get(name)
+
+    def files():
+        return sum("shuffle_" in f for f in blocks.diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+
+    at_start = files()
+    written = cut_lineage(spark.range(20_000).repartition(5, "id").groupBy((F.col("id") % 100).alias("k")).count())
+    assert written.count() == 100 and spark.conf.get(name) == before
+    # Files are deleted on the side.
+    for _ in range(50):
+        if files() <= at_start:
+            break
+        time.sleep(0.1)
+    assert files() <= at_start
