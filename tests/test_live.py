@@ -167,3 +167,12 @@ def test_state_is_called_by_blocks_that_stay_small():
         assert blocks.kept.calls <= 6 * (before + size) / L.FILL + 10
     assert blocks.size.get()[1] == len(want) == 20_000
     assert max(len(c[0]) for c in blocks.kept.values()) <= 4 * L.FILL
+
+
+def test_a_join_keeps_one_store_a_partition(spark, tmp_path):
+    """Both sides of the join of votes and outcomes share a store, so a batch commits one and not four."""
+    inbox = Inbox(spark, str(tmp_path))
+    inbox.land(some_votes(40), some_outcomes(range(6)))
+    inbox.tables().advance("board")
+    stores = [p.name for p in (tmp_path / "live" / "scores-state" / "state" / "0" / "0").iterdir() if p.is_dir()]
+    assert not [n for n in stores if n.startswith(("left-", "right-"))]
