@@ -205,21 +205,21 @@ class Duplicates:
                     )
 
         found = self.rows.select("mark", "text").mapInArrow(run, "mark long, shingles array<long>")
-        return found.join(nodes, "mark").select("node", "shingles").dropDuplicates(["node"])
+        # Rows of one mark are copies of one node's row; they meet in the join, so this takes no further shuffle.
+        return found.join(nodes, "mark").dropDuplicates(["mark"]).select("node", "shingles")
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs whose sets of shingles have a Jaccard similarity of `similarity` or more."""
-        spark, path = pairs.sparkSession, new_dir(pairs.sparkSession, "sets")
+        path = new_dir(pairs.sparkSession, "sets")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        self.sets_of(nodes.join(ends, "node").select("node", "mark")).write.parquet(path)
-        sets = spark.read.schema("node long, shingles array<long>").parquet(path)
+        sets = cut_lineage(self.sets_of(nodes.join(ends, "node").select("node", "mark")), path)
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         like = both >= self.similarity * (F.size("x") + F.size("y") - both)
         found = cut_lineage(pairs.join(a, "a").join(b, "b").filter(like).select("a", "b"))
         # The sets are large and not read again.
-        drop_folder(spark, path)
+        drop_folder(pairs.sparkSession, path)
         return found
 
     def roots(self, nodes: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from decisionlab.llm.bitmap import BITS, bitmap, holds, marked, places_of
 from decisionlab.llm.labelled import Adam, Sample, known_labels, sigmoid
 from decisionlab.llm.text import Slices, chunks, lower_ascii, mix, utf8, words
-from decisionlab.session import cut_lineage
+from decisionlab.session import cut_lineage, drop_folder, new_dir, small_batches
 
 CHUNK = 1 << 20
 # Characters of the sample that one step of the fit holds at once.
@@ -300,7 +300,9 @@ def often_toxic(rows: DataFrame) -> np.ndarray:
         F.bitmap_construct_agg(F.col("place") % BITMAP).alias("bits")
     )
     out = np.zeros(CELLS // 8, np.uint8)
-    for block, bits in blocks.collect():
+    with small_batches(rows.sparkSession):
+        found = blocks.collect()
+    for block, bits in found:
         out[block * BITMAP // 8 : block * BITMAP // 8 + len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
@@ -469,7 +471,8 @@ def train(
 
     The sample has at most `per_class` documents of each label with up to `longest` characters.
     """
-    labelled = cut_lineage(evidence_documents(docs, labels, key, text, label))
+    path = new_dir(docs.sparkSession, "labelled")
+    labelled = cut_lineage(evidence_documents(docs, labels, key, text, label), path)
     known, *halves = toxic_words(labelled)
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     short = labelled.filter(F.length("text") <= longest)
@@ -479,6 +482,8 @@ def train(
     first, last = (places.filter(F.col("label") == value).orderBy(*order).limit(per_class) for value in (0, 1))
     picked = F.broadcast(first.unionByName(last).drop("label"))
     rows = short.join(picked, ["key", *MARKS]).select("label", "text", "apart", "key", *MARKS).orderBy("label", *order).collect()
+    # Their texts are not read again.
+    drop_folder(docs.sparkSession, path)
     told = np.array([r["label"] for r in rows], np.float64)
     return fit(Sample(rows, told, (counts.get(0, 0), counts.get(1, 0))), known, tuple(halves))
 

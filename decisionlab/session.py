@@ -9,6 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Bytes of rows that a Python worker is handed at a time when a table is written; a larger row goes alone.
+BATCH = 2 << 20
+
 
 def get_session(app: str = "decisionlab", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are planned for; `conf` overrides any of them."""
@@ -74,11 +77,10 @@ def drop_intermediates(spark: SparkSession) -> None:
 
 
 @contextmanager
-def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside delete the files of their shuffles when they end."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Queries run inside see another value of one of the session's settings."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -88,13 +90,24 @@ def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def no_shuffles_left(spark: SparkSession):
+    """Queries run inside delete the files of their shuffles when they end."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession):
+    """Queries run inside hand Python small batches; Spark's default holds 64 MB on both sides of every task."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
+def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     The rows survive the loss of executors, and later steps read only the columns they need. Nothing
     reads the write's shuffles again, so their files are deleted with it and not at some later garbage collection.
+    With a `path` of its own the table can be dropped when it is not read again.
     """
-    path = new_dir(df.sparkSession, "cut")
-    with no_shuffles_left(df.sparkSession):
+    path = path or new_dir(df.sparkSession, "cut")
+    with no_shuffles_left(df.sparkSession), small_batches(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,13 +1,15 @@
 """Near-duplicate removal by Jaccard similarity alone, against brute force over all pairs."""
 
+import os
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from decisionlab.llm import set_join, simhash
-from decisionlab.session import cut_lineage
+from decisionlab.session import BATCH, cut_lineage, shared_dir
 from test_neighbours import roots_of
 from test_pipeline import near_copies, shingle_set
 
@@ -86,3 +88,41 @@ def test_written_tables_leave_no_shuffles(spark):
             break
         time.sleep(0.1)
     assert files() <= at_start
+
+
+def test_written_tables_are_made_of_small_batches(spark):
+    """A task that writes a table hands Python a bounded part of its rows, whatever the texts' length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    longest = 100_000
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    texts = spark.range(0, 200, 1, 2).select(F.repeat(F.lit("x"), longest).alias("text"))
+    got = cut_lineage(texts.mapInArrow(run, "n long, bytes long")).collect()
+    assert sum(r.n for r in got) == 200 and spark.conf.get(name) == before
+    assert max(r.bytes for r in got) <= BATCH + 2 * longest
+
+
+def test_sets_are_shuffled_once(spark):
+    """Sets of shingles, larger than their texts, are dealt by their rows' marks alone."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c d")], "doc_id long, text string")
+    job = set_join.SetDuplicates(docs, "doc_id", "text", 5, 0.8)
+    nodes = cut_lineage(job.prints().filter("node IS NOT NULL").select("node", "mark").distinct())
+    sets = job.sets_of(nodes)
+    assert sets.count() == sets.select("node").distinct().count() == 2
+    assert "hashpartitioning(node" not in sets._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_tables_of_the_search_do_not_stay(spark):
+    """Counts of places and prefixes are dropped once they are read: what stays is smaller than the texts."""
+    rng = random.Random(5)
+    rows = [(d, " ".join(str(rng.randrange(10**6)) for _ in range(2000))) for d in range(100)]
+    docs = cut_lineage(spark.createDataFrame(rows, "doc_id long, text string"))
+    folder = f"{shared_dir(spark).removeprefix('file:')}/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder))
+    assert set_join.unique_rows(docs).count() == 100
+    new = [os.path.join(p, f) for n in set(os.listdir(folder)) - before for p, _, files in os.walk(f"{folder}/{n}") for f in files]
+    assert sum(map(os.path.getsize, new)) < 300_000
