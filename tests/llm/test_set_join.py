@@ -126,3 +126,21 @@ def test_large_tables_of_the_search_do_not_stay(spark):
     assert set_join.unique_rows(docs).count() == 100
     new = [os.path.join(p, f) for n in set(os.listdir(folder)) - before for p, _, files in os.walk(f"{folder}/{n}") for f in files]
     assert sum(map(os.path.getsize, new)) < 300_000
+
+
+def test_sets_are_made_only_where_counts_allow(spark, monkeypatch):
+    """Long texts fill all places of the parities; their counts still rule out all pairs but the copies."""
+    rng = random.Random(6)
+    words = [[str(rng.randrange(10**6)) for _ in range(3000)] for _ in range(8)]
+    words += [[*w[:1500], "other", *w[1501:]] for w in words[:2]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    job = set_join.SetDuplicates(docs, "doc_id", "text", 5, 0.8)
+    found = cut_lineage(job.prints())
+    cards = cut_lineage(job.cards(job.levels(found.filter("place IS NOT NULL").select("place", "n"))))
+    x, y = cards.alias("x"), cards.alias("y")
+    pairs = x.join(y, F.col("x.node") < F.col("y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs, made = cut_lineage(pairs), []
+    plain = simhash.Duplicates.verified
+    monkeypatch.setattr(simhash.Duplicates, "verified", lambda self, left, nodes: made.append(left.count()) or plain(self, left, nodes))
+    assert job.verified(pairs, cards).count() == 2 and made == [2]
+    assert pairs.count() == 45
