@@ -115,6 +115,8 @@ def near_pairs(prints: DataFrame, bits: int = 4, node: str = "fp", other: Column
     most two bits apart share one. Table matches are then held against the complete
     distance within the join, where each pair counts at one place only. `node` is a unique
     column, the fingerprint itself by default; `other` is a condition on the sides `a` and `b`.
+    The join is a merge: Spark's size estimate does not see that entries are exploded, and
+    would send all of them to the driver to broadcast them.
     """
     segments = Segments(bits)
     table = segments.balls(prints)
@@ -125,7 +127,7 @@ def near_pairs(prints: DataFrame, bits: int = 4, node: str = "fp", other: Column
     if other is not None:
         fits = other & fits
     here = segments.meeting(left, right, F.col("a.part"), F.col("a.value"))
-    found = a.join(b, same & fits & here)
+    found = a.join(b.hint("merge"), same & fits & here)
     return found.select(F.col(f"a.{node}").alias("a"), F.col(f"b.{node}").alias("b"))
 
 

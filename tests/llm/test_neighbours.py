@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from decisionlab.llm import embedding_dedup, queries, simhash
 from decisionlab.llm.graph import components
+from decisionlab.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,6 +101,13 @@ def test_near_pairs_finds_every_pair(spark, bits):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_near_pairs_sends_no_entries_to_the_driver(spark):
+    """A stored table of fingerprints becomes many entries, which no size estimate sees; they are not broadcast."""
+    prints = cut_lineage(spark.createDataFrame([(1,), (3,)], "fp long"))
+    plan = simhash.near_pairs(prints, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1
+
+
 def test_simhash_edge_cases(spark):
     long = " ".join(f"word{i % 977}" for i in range(60_000))
     rows = [
