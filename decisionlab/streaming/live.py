@@ -14,13 +14,15 @@ get the new rows of the keys a batch touches, the newest of each key counting.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from zlib import crc32
 
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -39,11 +41,15 @@ FILL = 256
 DAY = 86_400_000_000
 # Stands for the time of a decision without one: before all others.
 EARLIEST = -(1 << 62)
+# Stands for the time or number of a vote without one: before all others.
+UNKNOWN = -(1 << 63)
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # A batch stores what it changed instead of a whole snapshot.
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Else every row that is put is looked up first, for a count of all rows that nothing reads.
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     # One store for both sides of a join, in column families, instead of four.
     "spark.sql.streaming.join.stateFormatVersion": "3",
 }
@@ -85,32 +91,54 @@ def _block(h: int, n: int) -> int:
     return block if block < n else block - top
 
 
-def _plain(column: list) -> list:
-    """Values of state as they are stored: structs in lists come back as rows, which cannot be stored again."""
-    lists = any(isinstance(v, list) for v in column)
-    return [[tuple(e) for e in v] for v in column] if lists else column
+def _column(frame: pd.DataFrame, name: str) -> list:
+    """The values of a column, None where its mark of `_marked` says so."""
+    values, mark = frame[name].tolist(), f"no_{name}"
+    if mark not in frame or not frame[mark].any():
+        return values
+    return [None if no else v for v, no in zip(values, frame[mark].tolist())]
+
+
+def _tuples(frame: pd.DataFrame, names: list[str]) -> Iterator[tuple]:
+    return zip(*[_column(frame, n) for n in names])
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, columns)})
+
+
+def _marked(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Whole numbers without nulls, which pandas would turn into floats, and where they were."""
+    whole = [n for n in names if isinstance(rows.schema[n].dataType, T.IntegralType)]
+    marks = [F.col(n).isNull().alias(f"no_{n}") for n in whole]
+    zero = {n: F.coalesce(n, F.lit(0).cast(rows.schema[n].dataType)) for n in whole}
+    return rows.select("*", *marks).withColumns(zero) if whole else rows
 
 
 class Blocks:
     """Rows of state by key in blocks of about `FILL`: a call to the state store costs much more than a row.
 
-    Blocks are split as rows come (linear hashing), so that none grows with what is stored.
+    Blocks are split as rows come (linear hashing), so that none grows with what is stored. The first column is
+    a list, the others are one value: Spark goes through lists element by element, nested ones as well.
     """
 
     def __init__(self, handle: StatefulProcessorHandle, columns: dict[str, str], width: int):
         self.width, self.columns = width, len(columns)
-        # Column by column: a list of numbers is far cheaper to hand over than as many rows.
-        kinds = ", ".join(f"{name} array<{kind}>" for name, kind in columns.items())
-        self.kept = handle.getMapState("blocks", "block bigint", kinds)
+        name, kind = next(iter(columns.items()))
+        self.kept = handle.getMapState("blocks", "block bigint", f"{name} array<{kind}>, others binary")
         self.size = handle.getValueState("size", "blocks bigint, rows bigint")
 
     def _read(self, block: int) -> dict[tuple, tuple]:
         stored = self.kept.getValue((block,))
-        return {} if stored is None else {r[: self.width]: r for r in zip(*[_plain(c) for c in stored])}
+        if stored is None:
+            return {}
+        first, others = stored
+        return {r[: self.width]: r for r in zip(first, *pickle.loads(others))}
 
     def _write(self, block: int, rows: dict[tuple, tuple]) -> None:
-        columns = zip(*rows.values()) if rows else [()] * self.columns
-        self.kept.updateValue((block,), tuple(list(c) for c in columns))
+        first, *others = [list(c) for c in zip(*rows.values())] if rows else [[]] * self.columns
+        self.kept.updateValue((block,), (first, pickle.dumps(others, 5)))
 
     def _hash(self, name: tuple) -> int:
         return crc32(repr(name).encode())
@@ -162,7 +190,7 @@ class Newest(StatefulProcessor):
         self.values = [n for n in kind.names if n not in [*keys, "group"]]
         self.ordered = [self.values.index(n) for n in order]
         self.columns = {n: kind[n].dataType.simpleString() for n in [*keys, *self.values]} | {"turn": "bigint"}
-        self.row = Row(*keys, *self.values, *[f"old_{n}" for n in self.values], "turn")
+        self.names = [*keys, *self.values, *[f"old_{n}" for n in self.values], "turn"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = Blocks(handle, self.columns, len(self.keys))
@@ -171,23 +199,27 @@ class Newest(StatefulProcessor):
         """Sorts by `order`, nulls first."""
         return tuple((value[i] is not None, value[i]) for i in self.ordered)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         newest: dict[tuple, tuple] = {}
-        taken = None
-        for r in rows:
-            if taken is None:
-                taken = [[r.__fields__.index(n) for n in names] for names in (self.keys, self.values)]
-            name, value = (tuple(r[i] for i in places) for places in taken)
-            if name not in newest or self.place(newest[name]) < self.place(value):
-                newest[name] = value
-        width = len(self.keys)
+        for frame in rows:
+            for name, value in zip(_tuples(frame, self.keys), _tuples(frame, self.values)):
+                if name not in newest or self.place(newest[name]) < self.place(value):
+                    newest[name] = value
+        width, out = len(self.keys), []
+        none = (None,) * len(self.values)
         for stored, names in self.kept.holding(newest):
             for name in names:
-                value, (*before, turn) = newest[name], stored[name][width:] if name in stored else (0,)
-                before = tuple(before)
-                if before != value and (not before or self.late or self.place(before) < self.place(value)):
-                    stored[name] = (*name, *value, turn + 1)
-                    yield self.row(*name, *value, *(before or [None] * len(value)), turn + 1)
+                value = newest[name]
+                if name in stored:
+                    *before, turn = stored[name][width:]
+                    before = tuple(before)
+                    if before == value or not (self.late or self.place(before) < self.place(value)):
+                        continue
+                else:
+                    before, turn = none, 0
+                stored[name] = (*name, *value, turn + 1)
+                out.append((*name, *value, *before, turn + 1))
+        yield _frame(out, self.names)
 
     def close(self) -> None:
         pass
@@ -196,11 +228,11 @@ class Newest(StatefulProcessor):
 def _changes(rows: DataFrame, keys: list[str], order: list[str], late: bool, groups: int) -> DataFrame:
     kind = rows.schema
     processor = Newest(kind, keys, order, late)
-    named = [n for n in processor.row if n != "turn"]
+    named = [n for n in processor.names if n != "turn"]
     out = T.StructType([T.StructField(n, kind[n.removeprefix("old_")].dataType) for n in named])
     out = out.add("turn", T.LongType())
-    grouped = rows.withColumn("group", _hashed(groups, *keys)).groupBy("group")
-    return grouped.transformWithState(processor, out, "Append", "None")
+    grouped = _marked(rows, processor.values).withColumn("group", _hashed(groups, *keys)).groupBy("group")
+    return grouped.transformWithStateInPandas(processor, out, "Append", "None")
 
 
 def vote_rows(votes: DataFrame) -> DataFrame:
@@ -308,19 +340,21 @@ def board_totals(votes: DataFrame, scores: DataFrame) -> DataFrame:
 class DayStreaks(StatefulProcessor):
     """Users' votes on the events decided on one day, and what their runs look like from outside."""
 
+    change = ["turn", "sign", "created", "seq", "decided", "event_id", "right"]
+
     def __init__(self, kind: T.StructType):
-        event = kind["event_id"].dataType.simpleString()
-        votes = f"array<struct<decided:bigint,event_id:{event},right:boolean,turn:bigint,created:bigint,seq:bigint>>"
-        self.columns = {"user": kind["user"].dataType.simpleString(), "day": "bigint", "votes": votes}
-        self.row = Row("user", "day", "n", "lead", "tail", "best")
+        self.columns = {"user": kind["user"].dataType.simpleString(), "day": "bigint", "votes": "array"}
+        self.names = ["user", "day", "n", "lead", "tail", "best"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.days = Blocks(handle, self.columns, 2)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         touched: dict[tuple, list] = {}
-        for r in rows:
-            touched.setdefault((r.user, r.day), []).append(r)
+        for frame in rows:
+            for name, change in zip(_tuples(frame, ["user", "day"]), _tuples(frame, self.change)):
+                touched.setdefault(name, []).append(change)
+        out = []
         for stored, names in self.days.holding(touched):
             for name in names:
                 before = stored[name][2] if name in stored else []
@@ -331,20 +365,21 @@ class DayStreaks(StatefulProcessor):
                     run = run + 1 if vote[2] else 0
                     best = max(best, run)
                     lead = n if run == n else lead
-                yield self.row(*name, len(listed), lead, run, best)
+                out.append((*name, len(listed), lead, run, best))
+        yield _frame(out, self.names)
 
     def changed(self, before: list, changes: list) -> list[tuple]:
         """The votes of a day after some changes, in the order of their runs."""
-        votes = {v[1]: tuple(v) for v in before}
+        votes = {v[1]: v for v in before}
         # By outcome, what one takes back before what it gives, and then by vote.
-        for r in sorted(changes, key=lambda r: (r.turn, r.sign, r.created, r.seq)):
-            stored = votes.get(r.event_id)
-            if stored is not None and stored[3:] > (r.turn, r.created, r.seq):
+        for turn, sign, created, seq, decided, event_id, right in sorted(changes, key=lambda c: c[:4]):
+            stored = votes.get(event_id)
+            if stored is not None and stored[3:] > (turn, created, seq):
                 continue
-            if r.sign > 0:
-                votes[r.event_id] = (r.decided, r.event_id, r.right, r.turn, r.created, r.seq)
-            elif stored is not None and stored[3] < r.turn:
-                del votes[r.event_id]
+            if sign > 0:
+                votes[event_id] = (decided, event_id, right, turn, created, seq)
+            elif stored is not None and stored[3] < turn:
+                del votes[event_id]
         return sorted(votes.values(), key=lambda v: v[:2])
 
     def close(self) -> None:
@@ -359,13 +394,14 @@ def day_streaks(scores: DataFrame, groups: int = GROUPS) -> DataFrame:
     """
     rows = scores.select(
         "user", "event_id", F.floor(F.col("decided") / DAY).alias("day"), "decided",
-        (F.col("label") == F.col("outcome")).alias("right"), "turn", "created", "seq", "sign",
+        (F.col("label") == F.col("outcome")).alias("right"), "turn",
+        *[F.coalesce(c, F.lit(UNKNOWN)).alias(c) for c in ("created", "seq")], "sign",
     )
     out = T.StructType().add("user", rows.schema["user"].dataType).add("day", T.LongType())
     for name in ("n", "lead", "tail", "best"):
         out = out.add(name, T.LongType())
     rows = rows.withColumn("group", _hashed(groups, "user", "day"))
-    return rows.groupBy("group").transformWithState(DayStreaks(rows.schema), out, "Update", "None")
+    return rows.groupBy("group").transformWithStateInPandas(DayStreaks(rows.schema), out, "Update", "None")
 
 
 def user_streaks(days: DataFrame) -> DataFrame:

@@ -169,6 +169,61 @@ def test_state_is_called_by_blocks_that_stay_small():
     assert max(len(c[0]) for c in blocks.kept.values()) <= 4 * L.FILL
 
 
+def test_state_is_handed_over_as_few_values():
+    """Spark goes through what it stores element by element: the first column alone, and no nested list."""
+
+    class Kept(dict):
+        def getValue(self, key):
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    class Size:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    class Handle:
+        def getMapState(self, *schemas):
+            return Kept()
+
+        def getValueState(self, *schemas):
+            return Size()
+
+    blocks = L.Blocks(Handle(), {"user": "string", "day": "bigint", "votes": "array<struct<a:bigint,right:boolean>>"}, 2)
+    names = [(f"u{i}", i) for i in range(1000)]
+    for n in (1, 2):
+        for stored, here in blocks.holding(names):
+            for name in here:
+                assert stored.get(name, (*name, []))[2] == [(i, None) for i in range(n - 1)]
+                stored[name] = (*name, [(i, None) for i in range(n)])
+    elements = sum(len(v) for value in blocks.kept.values() for v in value if isinstance(v, list))
+    assert elements == len(names)
+
+
+def test_nulls_and_large_numbers_pass_the_state(spark, tmp_path):
+    """Votes without a time or number come before all others; whole numbers stay whole beside them."""
+    inbox, large = Inbox(spark, str(tmp_path)), (1 << 60) + 1
+    inbox.land([("a", "u", 1, "CRL", None, None), ("b", "u", 2, "CRL", None, large), ("c", "v", 1, "CRL", START, large)],
+               [(1, "CRL", None), (2, "CRL", START)])
+    inbox.tables().advance()
+    inbox.land([("d", "u", 1, "APPROVE", None, 5), ("e", "u", 2, "APPROVE", None, large + 1), ("f", "v", 1, "APPROVE", START, large - 1)])
+    inbox.tables().advance()
+    told = spark.read.parquet(f"{tmp_path}/live/votes").select("user", "event_id", "label", "old_label", "seq", "old_seq", "turn")
+    micros = int(START.timestamp()) * 10**6
+    assert sorted(map(tuple, told.collect()), key=repr) == sorted([
+        ("u", 1, "CRL", None, None, None, 1), ("u", 2, "CRL", None, large, None, 1), ("v", 1, "CRL", None, large, None, 1),
+        ("u", 1, "APPROVE", "CRL", 5, None, 2), ("u", 2, "APPROVE", "CRL", large + 1, large, 2),
+    ], key=repr)
+    assert {r.created for r in spark.read.parquet(f"{tmp_path}/live/votes").collect()} == {None, micros}
+    assert rows(inbox.tables().board(), "user", "correct", "current", "best") == [("u", 0, 0, 0), ("v", 1, 1, 1)]
+
+
 def test_a_join_keeps_one_store_a_partition(spark, tmp_path):
     """Both sides of the join of votes and outcomes share a store, so a batch commits one and not four."""
     inbox = Inbox(spark, str(tmp_path))
